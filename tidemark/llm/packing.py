@@ -10,6 +10,7 @@ the place, each partition starts with the right ones and no partition waits for
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,21 +26,44 @@ _PIECE = "id {id}, start long, length long, doc_tokens long, sequence_id long, q
 
 
 class _ChunkIds(dict):
-    """Packed identifiers of chunks between ASCII white space, which no pretoken crosses; bounded."""
+    """Packed identifiers of lower-cased chunks between ASCII white space, which no pretoken crosses.
 
-    def __init__(self, tokenizer, kind: np.dtype, bound: int = 500_000):
+    A sign at the end of a chunk is a pretoken of its own after an ASCII letter, so the word before it
+    is looked up alone. Emptied at `bound` chunks or 32 bytes for each, so that memory stays bounded.
+    """
+
+    LETTERS, SIGNS = frozenset(b"abcdefghijklmnopqrstuvwxyz"), frozenset(b",.;:!?")
+
+    def __init__(self, tokenizer, kind: np.dtype, bound: int = 1_500_000):
         super().__init__()
-        self.tokenizer, self.kind, self.bound = tokenizer, kind, bound
+        self.tokenizer, self.code, self.bound, self.size = tokenizer, "H" if kind.itemsize == 2 else "I", bound, 0
 
     def learn(self, chunks: set[bytes]) -> None:
-        new = list(chunks - self.keys())
-        if len(self) + len(new) > self.bound:
+        new = chunks - self.keys()
+        more = sum(map(len, new))
+        if len(self) + 2 * len(new) > self.bound or self.size + more > 32 * self.bound:
             self.clear()
-            new = list(chunks)
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
+            self.size, new = 0, chunks
+            more = sum(map(len, new))
+        self.size += more
+        signed = [c for c in new if len(c) > 1 and c[-1] in self.SIGNS and c[-2] in self.LETTERS]
+        asked = new.difference(signed)
+        for c in signed:
+            asked.add(c[:-1])
+            asked.add(c[-1:])
+        asked = list(asked - self.keys())
+        for i in range(0, len(asked), 4096):
+            some = asked[i : i + 4096]
             for chunk, coded in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
-                self[chunk] = np.array(coded.ids, self.kind).tobytes()
+                self[chunk] = array(self.code, coded.ids).tobytes()
+        for c in signed:
+            self[c] = self[c[:-1]] + self[c[-1:]]
+
+    def lowered(self, text: bytes | None) -> list[bytes]:
+        """Chunks of a text; lower-cased, which the tokenizer does anyway, unless that could make a special string."""
+        if not text:
+            return []
+        return (text if b"<|" in text else text.lower()).split()
 
 
 def queue_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str, max_queues: int) -> DataFrame:
@@ -59,7 +83,7 @@ def queue_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 some = batch.slice(low, 512)
-                split = [(t or b"").split() for t in some.column(1).to_pylist()]
+                split = list(map(known.lowered, some.column(1).to_pylist()))
                 known.learn(set().union(*split))
                 ids = [b"".join(map(known.__getitem__, chunks)) + end for chunks in split]
                 n = [len(x) // width.itemsize for x in ids]
