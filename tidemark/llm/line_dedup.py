@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_SEPARATORS, read_table
+from tidemark.llm.common import WORD_SEPARATORS, materialise, read_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,9 +54,11 @@ def dedup_lines(
         .select(F.col(id_col).alias("id"), F.explode(F.array_distinct(_counting_lines(F.col(text_col), min_chars))).alias("h"))
         .select("id", "h.h1", "h.h2")
     )
+    seen = materialise(seen, "lines")  # read twice; hashing the lines is the dear part
     # rows bound the distinct ids from above; the exact count follows on what is left
     frequent = seen.groupBy("h1", "h2").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_docs).select("h1", "h2")
-    hits = seen.join(frequent, ["h1", "h2"])
+    # written, so that the join has nothing above it that needs a key's rows together and a hot key can be split
+    hits = materialise(seen.join(frequent, ["h1", "h2"]), "hits")
     shared = (
         hits.distinct().groupBy("h1", "h2").agg(F.count("*").alias("ids"), F.max("id").alias("keeper")).where(F.col("ids") >= min_docs)
     )
