@@ -86,6 +86,26 @@ def test_large_group_of_near_copies(spark):
     assert got_rows(near_duplicates(docs)) == brute(rows)
 
 
+def test_bands_of_many_unlinked_near_copies(spark, monkeypatch):
+    """Heavily edited copies of one text: some links only between copies, not with the base; by pivot and directly."""
+    import tidemark.llm.near_dedup as module
+
+    rng = random.Random(5)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 140):
+        text = base[: rng.choice([60, 60, 56, 50])]
+        for _ in range(rng.choice([0, 1, 2, 3, 4])):
+            text[rng.randrange(0, len(text), 6)] = f"e{rng.randrange(3)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = brute(rows)
+    assert 2 < sum(r[3] for r in wanted) < 100
+    for direct in (2, 1000):
+        monkeypatch.setattr(module, "DIRECT", direct)
+        assert got_rows(near_duplicates(docs)) == wanted
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 41)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

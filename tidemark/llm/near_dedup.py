@@ -8,8 +8,9 @@ share a band are candidates, and candidates are confirmed on their full shingle
 
 Documents with equal shingle sets are one node. Links are only sought between nodes that earlier links
 have not yet joined: first each node with the smallest node that it shares a band with, then with the
-hub of each of its bands, and at last all pairs across components within a band. Links within a
-component change nothing, so a group of n near copies costs about n confirmations, not n squared.
+hub of each of its bands, and at last pairs across components within a band: all of them in small
+bands, in large ones those that a bound by a pivot doesn't rule out. Links within a component change
+nothing, so a group of n near copies costs about n confirmations, not n squared.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ WORDS = 5
 SIMILARITY = 75  # per cent
 #: Rounds that offer every band a new hub before the exact pass over what is left.
 HUB_ROUNDS = 3
+#: Nodes of a band up to which all its pairs across components are compared; larger bands go by a pivot.
+DIRECT = 32
 _SEEDS = mix64(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOW = np.uint64((1 << 56) - 1)
 
@@ -152,7 +155,7 @@ def link_nodes(buckets: DataFrame, texts: DataFrame, words: int, percent: int, k
             return buckets.withColumn("label", F.col("node"))
         return buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
 
-    def take(pairs: DataFrame, last: bool = False) -> bool:
+    def take(pairs: DataFrame) -> bool:
         nonlocal labels
         ordered = pairs.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct()
         new = materialise(confirm(ordered, texts, words, percent), "links")
@@ -173,18 +176,89 @@ def link_nodes(buckets: DataFrame, texts: DataFrame, words: int, percent: int, k
         across = now.join(hubs, "band").join(of_hub, ["band", "hub"]).where(F.col("label") != F.col("hub_label"))
         if not take(across.select(F.col("node").alias("u"), F.col("hub").alias("v"))) and k:
             break
-    # all that is left: nodes outside the largest component of a band against all nodes of other components there
+    # all that is left: pairs across components within a band
     now = materialise(labelled(), "labelled")
     sizes = now.groupBy("band", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where(F.col("labels") > 1)
-    mixed = now.join(main, "band")
-    minor = mixed.where(F.col("label") != F.col("main")).select("band", F.col("node").alias("u"), F.col("label").alias("label_u"))
-    all_of = mixed.select("band", F.col("node").alias("v"), F.col("label").alias("label_v"), (F.col("label") == F.col("main")).alias("major"))
-    rest = minor.join(all_of, "band").where((F.col("label_u") != F.col("label_v")) & (F.col("major") | (F.col("u") < F.col("v"))))
-    take(rest.select("u", "v"))
+    main = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("nodes"))
+    mixed = materialise(now.join(main.where("labels > 1"), "band"), "mixed")
+    small = mixed.where(F.col("nodes") <= DIRECT)
+    ends = [small.select("band", F.col("node").alias(e), F.col("label").alias(f"label_{e}")) for e in "uv"]
+    take(ends[0].join(ends[1], "band").where("u < v and label_u <> label_v").select("u", "v"))
+    links = reduce(DataFrame.unionByName, found) if found else pairs_like(buckets)
+    take(pivot_pairs(mixed.where(F.col("nodes") > DIRECT), links, labels, texts, words, percent))
     return labels
 
 
+def pairs_like(buckets: DataFrame) -> DataFrame:
+    """No pairs."""
+    return buckets.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+
+
+def pivot_pairs(mixed: DataFrame, links: DataFrame, labels: DataFrame | None, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """All pairs (u, v) across components in bands of many nodes that could be similar, found without emitting the others.
+
+    Every node of such a band is held against a pivot p, the most linked node of the band's largest
+    component. With I the shingles that a node shares with p and R those that two nodes share outside
+    p, two nodes have at most min(I) + R in common. So a pair needs a common shingle outside p, and
+    enough of them, or both I are large enough by themselves, which only few sizes allow where one
+    of the two is no neighbour of p. Nothing that could be similar is left out.
+    """
+    ends = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    if labels is None:
+        centres = ends.select("node", F.col("node").alias("label"), "degree")
+    else:
+        centres = ends.join(labels, "node")
+    centres = centres.groupBy("label").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot"))
+    held = mixed.select("node", "label", "main").distinct().join(centres.withColumnRenamed("label", "main"), "main", "left")
+    held = materialise(held.select("node", "label", F.coalesce("pivot", "main").alias("pivot")).distinct(), "held")
+    rest = materialise(residuals(held, texts, words), "residuals")
+    enough = lambda both, sizes: (100 + percent) * both >= percent * sizes
+    with_pivot = rest.where(F.col("node") != F.col("pivot")).where(enough(F.col("i"), F.col("n") + F.col("n_pivot"))).select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+
+    def side(e: str, *more: str) -> DataFrame:
+        return rest.select("pivot", *more, F.col("node").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in ("label", "n", "i")))
+
+    out = F.explode("outside").alias("shingle")
+    shared = side("u", "outside").select("pivot", out, "u", "label_u", "n_u", "i_u").join(side("v", "outside").select("pivot", out, "v", "label_v", "n_v", "i_v"), ["pivot", "shingle"])
+    shared = shared.where("u < v and label_u <> label_v").where((100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")))
+    shared = shared.groupBy("pivot", "u", "v", "n_u", "n_v", "i_u", "i_v").agg(F.count("*").alias("r"))
+    shared = shared.where(enough(F.least("i_u", "i_v") + F.col("r"), F.col("n_u") + F.col("n_v"))).select("u", "v")
+    sizes = rest.select("pivot", F.col("n").alias("size")).distinct()
+    far = rest.where(~enough(F.col("i"), F.col("n") + F.col("n_pivot")) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("u"), "pivot", F.col("label").alias("label_u"), F.col("n").alias("n_u"), F.col("i").alias("i_u"))
+    fitting = far.join(sizes, "pivot").where(enough(F.col("i_u"), F.col("n_u") + F.col("size")) & (100 * F.col("size") >= percent * F.col("n_u")))
+    inside = fitting.join(side("v").withColumnRenamed("n_v", "size"), ["pivot", "size"]).where("label_u <> label_v").where(enough(F.col("i_v"), F.col("n_u") + F.col("size")))
+    return with_pivot.unionByName(shared).unionByName(inside.select("u", "v"))
+
+
+def residuals(held: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(node, label, pivot, n, n_pivot, i, outside): sizes of the sets of node and pivot, shingles in common, and those of the node alone."""
+    kind = held.schema["node"].dataType.simpleString()
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, last, pivot = WordHashes(), None, None
+        for whole in batches:
+            for low in range(0, whole.num_rows, 512):
+                batch = whole.slice(low, 512)
+                n, n_pivot, i, outside = [], [], [], []
+                for text, pivot_text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                    if pivot is None or pivot_text != last:
+                        last, pivot = pivot_text, shingle_set(pivot_text, hashes, words)
+                    own = shingle_set(text, hashes, words)
+                    alone = np.setdiff1d(own, pivot, assume_unique=True)
+                    n.append(len(own))
+                    n_pivot.append(len(pivot))
+                    i.append(len(own) - len(alone))
+                    outside.append(alone.view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k) for k in range(3)), pa.array(n, pa.int64()), pa.array(n_pivot, pa.int64()), pa.array(i, pa.int64()), pa.array(outside, pa.list_(pa.int64()))],
+                    names=["node", "label", "pivot", "n", "n_pivot", "i", "outside"],
+                )
+
+    joined = held.join(texts, "node").join(texts.withColumnsRenamed({"node": "pivot", "text": "pivot_text"}), "pivot")
+    joined = joined.select("node", "label", "pivot", "text", "pivot_text")
+    return joined.mapInArrow(compared, f"node {kind}, label {kind}, pivot {kind}, n long, n_pivot long, i long, outside array<long>")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILARITY
 ) -> DataFrame:
