@@ -77,6 +77,16 @@ def test_odd_rows(spark):
     same(score_documents(spark.createDataFrame(held, "doc_id long, text string"), rounds=1).collect(), brute_base(held))
 
 
+def test_few_held_words_change_no_base_score(spark, monkeypatch):
+    import tidemark.llm.lm_score as module
+
+    rows = [(i, " ".join(f"w{(i * k) % 37}" for k in range(i % 20))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for held in (1, 9):
+        monkeypatch.setattr(module, "HELD_WORDS", held)
+        same(score_documents(docs, rounds=1).collect(), brute_base(rows))
+
+
 def test_query_against_brute_force_and_held_out_gain(spark):
     d = "/root/testdata/sf0.01"
     got = op10_lm_score(spark, d).collect()

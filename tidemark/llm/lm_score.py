@@ -23,7 +23,7 @@ from tidemark.llm.common import materialise, read_table, words_of
 
 #: Words that are classes of their own, classes of endings, bytes of an ending.
 OWN, ENDINGS, ENDING_BYTES = 4096, 1024, 3
-#: Most frequent words whose counts every task holds; counts of the others come by a join.
+#: Most frequent words, at most, whose counts every task holds; counts of the others come by a join.
 HELD_WORDS = 65_536
 STATES, ROUNDS, SEED = 8, 5, 12
 #: Training sequences are cut to this many tokens; a piece starts as a text does. Scores use whole texts.
@@ -264,7 +264,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     asked = docs.select(F.col(id_col).alias("id"), held_out_column(F.col(id_col)).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     vocabulary = materialise(count_words(asked.where("not held_out")), "vocabulary")
-    top = vocabulary.orderBy(F.desc("c"), "word").limit(HELD_WORDS).toPandas()
+    top = held_words(vocabulary)
     frequent, counts = [bytes(w) for w in top.word], top.c.to_numpy(np.int64) if len(top) else np.zeros(0, np.int64)
     tokens, distinct = (x or 0 for x in vocabulary.agg(F.sum("c"), F.count("*")).first())
     class_counts, class_words = class_totals(vocabulary, frequent)
@@ -284,6 +284,23 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def held_words(vocabulary: DataFrame):
+    """The most frequent words, HELD_WORDS at most, as pandas rows in order; always with the end token.
+
+    Cut between steps of a logarithmic histogram of the counts, so that only what is held goes to the driver.
+    """
+    step = F.floor(F.log2("c") * 16)
+    steps = sorted(((r.step, r.n) for r in vocabulary.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = None, 1
+    for value, n in steps:
+        held += n
+        if held > HELD_WORDS:
+            break
+        least = value
+    wanted = F.length("word") == 0 if least is None else (step >= least) | (F.length("word") == 0)
+    return vocabulary.where(wanted).toPandas().sort_values(["c", "word"], ascending=[False, True])
+
+
 def class_totals(vocabulary: DataFrame, frequent: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Training tokens and distinct words of each class."""
 
