@@ -85,6 +85,6 @@ ENTRIES_SQL = """entries AS (
     SELECT 'u' || user_id AS session_key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, event_id, 'call_' || event_id AS tool_call_id,
            CAST(event_id % 11 AS BIGINT) AS score,
            CASE event_id % 3 WHEN 0 THEN lpad(CAST(event_id % 7 AS VARCHAR), 3, '0') || '-N' || (event_id % 5) WHEN 1 THEN 'wait' END AS node_id,
-           epoch_ms(ts) AS ts_ms, props AS summary
+           epoch_ns(ts) // 1000000 AS ts_ms, props AS summary
     FROM events WHERE event_type = 'error'
 )"""
