@@ -11,8 +11,8 @@ from tidemark.functions.timefn import iso_to_ms, local_date
 from tidemark.operators.stores import parse_scene
 
 SHARD = r"^\d{4}-\d{2}-\d{2}\.jsonl$"
-UNSAFE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f  ￾￿]"
-NARROW = r"[^\x09\x0a\x0d\x20-\x7e -퟿-�]"
+UNSAFE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\u2028\u2029\uFFFE\uFFFF]"
+NARROW = r"[^\x09\x0a\x0d\x20-\x7e\u00A0-\uD7FF\uE000-\uFFFD]"
 ROLES = {"human": "user", "user": "user", "ai": "assistant", "assistant": "assistant", "model": "assistant", "system": "system", "tool": "tool"}
 
 
@@ -103,8 +103,9 @@ def read_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     """
     lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     lines = lines.where(F.trim("line") != "")
-    clean = F.when(F.get_json_object("line", "$").isNotNull(), F.col("line")).otherwise(F.regexp_replace("line", UNSAFE, ""))
-    marked = lines.withColumn("clean", clean).withColumn("there", F.get_json_object("clean", "$").isNotNull()).withColumn("e", F.from_json("clean", schemas.ENTRY))
+    clean = F.regexp_replace("line", UNSAFE, "")
+    whole, again = F.from_json("line", schemas.ENTRY), F.from_json(clean, schemas.ENTRY)
+    marked = lines.withColumn("there", F.get_json_object(clean, "$").isNotNull()).withColumn("e", F.when(whole["tool_call_id"].isNotNull(), whole).otherwise(again))
     ok = F.coalesce(F.col("e.tool_call_id"), F.lit("")) != ""
     report = marked.groupBy("file").agg(
         F.count(F.when(~F.col("there"), 1)).alias("corrupt"), F.count(F.when(F.col("there") & ~ok, 1)).alias("invalid"),
