@@ -10,6 +10,7 @@ the place, each partition starts with the right ones and no partition waits for
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -20,23 +21,37 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, read_table, tokenizer_path
+from tidemark.llm.token_counts import byte_symbols
 
 _QUEUED = "id {id}, queue string, part int, at long, n long, ids binary"
 _PIECE = "id {id}, start long, length long, doc_tokens long, sequence_id long, queue int, x long, ids binary"
 
 
+_LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_WORD = re.compile(f"([{_LETTERS}]+)([,.;:!?#*$%&|<>]*)")
+
+
 class _ChunkIds(dict):
     """Packed identifiers of lower-cased chunks between ASCII white space, which no pretoken crosses.
 
-    A sign at the end of a chunk is a pretoken of its own after an ASCII letter, so the word before it
-    is looked up alone. Emptied at `bound` chunks or 32 bytes for each, so that memory stays bounded.
+    A chunk of plain Latin letters, signs after them or not, is one pretoken and one for the signs: its
+    letters go straight to the merges, as the bytes' stand-ins. Every other chunk is encoded as a whole.
+    Emptied at `bound` chunks or 32 bytes for each, so that memory stays bounded.
     """
 
-    LETTERS, SIGNS = frozenset(b"abcdefghijklmnopqrstuvwxyz"), frozenset(b",.;:!?")
-
     def __init__(self, tokenizer, kind: np.dtype, bound: int = 1_500_000):
         super().__init__()
         self.tokenizer, self.code, self.bound, self.size = tokenizer, "H" if kind.itemsize == 2 else "I", bound, 0
+        self.model = tokenizer.model
+        self.shown = {b: c for c, b in byte_symbols().items()}
+        self.direct = self._as_whole("\u00c9T\u00c9") == self._letters("\u00c9T\u00c9") and self._as_whole("it") == self._letters("it")
+
+    def _as_whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        shown = word.lower().encode().decode("latin-1").translate(self.shown)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def learn(self, chunks: set[bytes]) -> None:
         new = chunks - self.keys()
@@ -46,18 +61,23 @@ class _ChunkIds(dict):
             self.size, new = 0, chunks
             more = sum(map(len, new))
         self.size += more
-        signed = [c for c in new if len(c) > 1 and c[-1] in self.SIGNS and c[-2] in self.LETTERS]
-        asked = new.difference(signed)
-        for c in signed:
-            asked.add(c[:-1])
-            asked.add(c[-1:])
-        asked = list(asked - self.keys())
-        for i in range(0, len(asked), 4096):
-            some = asked[i : i + 4096]
-            for chunk, coded in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
-                self[chunk] = array(self.code, coded.ids).tobytes()
-        for c in signed:
-            self[c] = self[c[:-1]] + self[c[-1:]]
+        for c in new:
+            text = c.decode()
+            m = _WORD.fullmatch(text) if self.direct else None
+            if m is None:
+                self[c] = self._as_whole(text)
+                continue
+            word, signs = m.groups()
+            if not signs:
+                if c not in self:
+                    self[c] = self._letters(word)
+                continue
+            base, end = word.encode(), signs.encode()
+            if base not in self:
+                self[base] = self._letters(word)
+            if end not in self:
+                self[end] = self._as_whole(signs)
+            self[c] = self[base] + self[end]
 
     def lowered(self, text: bytes | None) -> list[bytes]:
         """Chunks of a text; lower-cased, which the tokenizer does anyway, unless that could make a special string."""
@@ -66,19 +86,27 @@ class _ChunkIds(dict):
         return (text if b"<|" in text else text.lower()).split()
 
 
-def queue_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str, max_queues: int) -> DataFrame:
-    """(id, queue, part, at, n, ids): identifiers of each row, and where they start in its queue within its task."""
-    kind = docs.schema[id_col].dataType.simpleString()
+_KNOWN: dict[str, tuple[_ChunkIds, np.dtype]] = {}
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def known_chunks(tokenizer: str) -> tuple[_ChunkIds, np.dtype]:
+    """The chunks that this worker process knows; tasks of a process share them."""
+    if tokenizer not in _KNOWN:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(tokenizer)
         width = np.dtype("<u2" if library.get_vocab_size() <= 1 << 16 else "<u4")
-        known, end, ends = _ChunkIds(library, width), np.array([end_id], width).tobytes(), {}
+        _KNOWN[tokenizer] = _ChunkIds(library, width), width
+    return _KNOWN[tokenizer]
+
+
+def queue_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str, max_queues: int) -> DataFrame:
+    """(id, queue, part, at, n, ids): identifiers of each row, and where they start in its queue within its task."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, width = known_chunks(tokenizer)
+        end, ends = np.array([end_id], width).tobytes(), {}
         part = TaskContext.get().partitionId()
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
