@@ -26,4 +26,4 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def data_dir():
-    return "/root/testdata/sf0.001"
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

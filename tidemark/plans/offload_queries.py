@@ -30,7 +30,8 @@ def j7_boundaries(spark, d):
 
 
 def a18_triggers(spark, d):
-    last = tool_entries(spark, d).select("session_key").distinct().where("pmod(crc32(session_key), 3) <> 0").withColumn("last_ms", F.lit(NOW_MS - 1_000_000_000) + F.crc32("session_key") % 1_000_000_000)
+    k = F.substring("session_key", 2, 20).cast("long")
+    last = tool_entries(spark, d).select("session_key").distinct().where(k % 3 != 0).withColumn("last_ms", F.lit(NOW_MS - 1_000_000_000) + k * 7_919_000 % 1_000_000_000)
     return O.triggers(tool_entries(spark, d).where("event_id % 3 <> 0 or event_id % 2 = 0"), boundaries(spark, d), last, NOW_MS)
 
 
@@ -161,6 +162,13 @@ _BLOCKS = f"""blocks AS (SELECT conv_id, turn, block, kind, CASE WHEN kind <> 't
     SELECT conv_id, turn, {_QUICK} AS tokens, unnest(CASE WHEN role = 'assistant' THEN [{{'block': 0, 'kind': 'text'}}, {{'block': 1, 'kind': 'tool_use'}}, {{'block': 2, 'kind': 'tool_use'}}] ELSE [{{'block': 0, 'kind': 'tool_result'}}] END, recursive := true) FROM conversations))"""
 ORACLES = {
     "j7_boundaries": f"WITH {ENTRIES_SQL}, {_B} SELECT event_id, result, target FROM own",
+    "a18_triggers": f"""WITH {ENTRIES_SQL}, {_B}, held AS (SELECT * FROM entries WHERE event_id % 3 <> 0 OR event_id % 2 = 0),
+        e AS (SELECT * FROM own WHERE (event_id % 3 <> 0 OR event_id % 2 = 0) AND (node_id IS NULL OR (node_id = 'wait' AND ({NOW_MS} - ts_ms) / 1000.0 >= 120)) AND result = 'long' AND target IS NOT NULL),
+        s AS (SELECT session_key, count(DISTINCT (target, tool_call_id)) AS eligible, count(*) FILTER (WHERE node_id IS NULL) AS nulls, count(DISTINCT target) AS canvases FROM e GROUP BY 1),
+        o AS (SELECT session_key, min_by(ts_ms, idx) AS oldest, max(ts_ms) AS latest FROM held WHERE node_id IS NULL GROUP BY 1),
+        l AS (SELECT DISTINCT session_key, {NOW_MS - 1_000_000_000} + CAST(substr(session_key, 2) AS BIGINT) * 7919000 % 1000000000 AS last_ms FROM entries WHERE CAST(substr(session_key, 2) AS BIGINT) % 3 <> 0)
+        SELECT session_key, eligible, nulls, canvases, CASE WHEN nulls >= 4 THEN 'null_count' WHEN last_ms IS NOT NULL AND ({NOW_MS} - last_ms) / 1000.0 >= 300 AND (eligible > nulls OR latest > last_ms) THEN 'timeout'
+            WHEN last_ms IS NULL AND eligible > nulls THEN 'retry_wait' WHEN last_ms IS NULL AND ({NOW_MS} - oldest) / 1000.0 >= 300 THEN 'oldest_null' END AS reason FROM s LEFT JOIN o USING (session_key) LEFT JOIN l USING (session_key)""",
     "a20_residue": f"""WITH {ENTRIES_SQL}, {_B}, s AS (SELECT *, lag(target) OVER (PARTITION BY session_key ORDER BY start_index) AS before FROM bounds),
         l AS (SELECT session_key, max(start_index) AS start, max_by(before, start_index) AS before FROM s WHERE before IS NOT NULL AND target IS NOT NULL AND before <> target GROUP BY 1)
         SELECT event_id, own.session_key FROM own JOIN l USING (session_key) WHERE idx < start AND (node_id IS NULL OR node_id = 'wait') AND target = before""",
