@@ -45,6 +45,16 @@ def test_chunks_give_the_identifiers_of_whole_texts(text):
     assert ids == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_few_known_chunks_change_nothing():
+    known, text = _ChunkIds(LIBRARY, np.dtype("<u2"), bound=4), "the cat, the dog. the end of a tale of the cat and 12 dogs!!"
+    for _ in range(3):
+        for words in (text.split()[:5], text.split()[4:9], text.split()):
+            chunks = [w.encode() for w in words]
+            known.learn(set(chunks))
+            ids = np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u2").tolist()
+            assert ids == LIBRARY.encode(" ".join(words), add_special_tokens=False).ids
+
+
 def check_pieces(rows, pieces, size):
     by_doc, by_window = defaultdict(list), defaultdict(list)
     for p in pieces:

@@ -36,12 +36,14 @@ class _ChunkIds(dict):
 
     A chunk of plain Latin letters, signs after them or not, is one pretoken and one for the signs: its
     letters go straight to the merges, as the bytes' stand-ins. Every other chunk is encoded as a whole.
-    Emptied at `bound` chunks or 32 bytes for each, so that memory stays bounded.
+    At `bound` chunks, or 32 bytes for each, the chunks at hand become the old ones, from which those that
+    are met again come back, and the old ones before go; so memory stays bounded and what is frequent stays.
     """
 
-    def __init__(self, tokenizer, kind: np.dtype, bound: int = 1_500_000):
+    def __init__(self, tokenizer, kind: np.dtype, bound: int = 300_000):
         super().__init__()
         self.tokenizer, self.code, self.bound, self.size = tokenizer, "H" if kind.itemsize == 2 else "I", bound, 0
+        self.old: dict[bytes, bytes] = {}
         self.model = tokenizer.model
         self.shown = {b: c for c, b in byte_symbols().items()}
         self.direct = self._as_whole("\u00c9T\u00c9") == self._letters("\u00c9T\u00c9") and self._as_whole("it") == self._letters("it")
@@ -57,11 +59,16 @@ class _ChunkIds(dict):
         new = chunks - self.keys()
         more = sum(map(len, new))
         if len(self) + 2 * len(new) > self.bound or self.size + more > 32 * self.bound:
+            self.old = dict(self)
             self.clear()
             self.size, new = 0, chunks
             more = sum(map(len, new))
         self.size += more
         for c in new:
+            before = self.old.get(c)
+            if before is not None:
+                self[c] = before
+                continue
             text = c.decode()
             m = _WORD.fullmatch(text) if self.direct else None
             if m is None:
