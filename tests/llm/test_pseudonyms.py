@@ -36,7 +36,7 @@ def test_dates_stay_dates_and_differ(spark):
 
 VALID = {
     "a.b@mail.example.com": r"[a-z]\.[a-z]@[a-z]{4}\.[a-z]{7}\.com", "Joe.19@x-y.org": r"[A-Z][a-z]{2}\.\d{2}@[a-z]-[a-z]\.org", "+1 (743) 555-3824": r"\+1 \(\d{3}\) \d{3}-\d{4}",
-    "152.143.123.131": r"(\d+\.){3}\d+", "2321bac4d15ec8f90433955bf9d3cf61da5bdd00": "[0-9a-f]{40}", "123-45-6789": r"\d{3}-\d\d-\d{4}", "2024-02-29": r"\d{4}-\d\d-\d\d",
+    "152.143.123.131": r"(\d+\.){3}\d+", "2321bac4d15ec8f90433955bf9d3cf61da5bdd00": "[0-9a-f]{40}", "9233A8ECF7C5B09FE594": "[0-9A-F]{20}", "123-45-6789": r"\d{3}-\d\d-\d{4}", "2024-02-29": r"\d{4}-\d\d-\d\d",
     "01.02.1999": r"\d\d\.\d\d\.\d{4}", "3/4/2001": r"\d+/\d+/\d{4}", "4111 1111 1111 1111": r"(\d{4} ){3}\d{4}",
 }
 INVALID = ["4111111111111112", "2023-02-29", "999.1.1.1", "31.04.2001", "000-12-3456", "1.2.3.4.5", "x4111111111111111", "", "no value", "1234", "0000000000000000", "3000-01-01"]

@@ -35,7 +35,7 @@ NATIONAL_ID = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 DATE = r"(?<![0-9A-Za-z./-])(?:[12][0-9]{3}-[01][0-9]-[0-3][0-9]|[0-3]?[0-9]\.[01]?[0-9]\.[12][0-9]{3}|[0-3]?[0-9]/[01]?[0-9]/[12][0-9]{3})(?![0-9A-Za-z/-]|\.[0-9])"
 MACHINE = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
 MAIL = r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z][0-9A-Za-z._%+-]*@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*\.[A-Za-z]{2,}(?![0-9A-Za-z])"
-SECRET = r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{20,128}(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{20,128}|[0-9A-F]{20,128})(?![0-9A-Za-z])"
 #: In the order in which a place is taken.
 KINDS = {"mail": MAIL, "secret": SECRET, "card": CARD, "national_id": NATIONAL_ID, "phone": PHONE, "date": DATE, "machine": MACHINE}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -207,7 +207,8 @@ def mail_pseudonym(text: Column, key: str) -> Column:
 
 
 def secret_pseudonym(text: Column, key: str) -> Column:
-    return permute_characters(text, key, "secret", ("0123456789abcdef",))
+    lower, upper = (permute_characters(text, key, "secret", (letters,)) for letters in ("0123456789abcdef", "0123456789ABCDEF"))
+    return F.when(text.rlike("[a-f]"), lower).otherwise(upper)
 
 
 def kind_of(value: Column) -> Column:
