@@ -21,7 +21,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WordHashes, materialise, mix64, read_table, shingles, words_of
@@ -218,11 +218,10 @@ def pivot_pairs(mixed: DataFrame, links: DataFrame, labels: DataFrame | None, te
     def side(e: str, *more: str) -> DataFrame:
         return rest.select("pivot", *more, F.col("node").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in ("label", "n", "i")))
 
-    out = F.explode("outside").alias("shingle")
-    shared = side("u", "outside").select("pivot", out, "u", "label_u", "n_u", "i_u").join(side("v", "outside").select("pivot", out, "v", "label_v", "n_v", "i_v"), ["pivot", "shingle"])
-    shared = shared.where("u < v and label_u <> label_v").where((100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")))
-    shared = shared.groupBy("pivot", "u", "v", "n_u", "n_v", "i_u", "i_v").agg(F.count("*").alias("r"))
-    shared = shared.where(enough(F.least("i_u", "i_v") + F.col("r"), F.col("n_u") + F.col("n_v"))).select("u", "v")
+    shared = prefix_pairs(rest, percent)
+    both = shared.join(side("u", "outside").withColumnRenamed("outside", "out_u"), ["pivot", "u"]).join(side("v", "outside").withColumnRenamed("outside", "out_v"), ["pivot", "v"])
+    common = F.size(F.array_intersect("out_u", "out_v"))
+    shared = both.where(enough(F.least("i_u", "i_v") + common, F.col("n_u") + F.col("n_v"))).select("u", "v")
     sizes = rest.select("pivot", F.col("n").alias("size")).distinct()
     far = rest.where(~enough(F.col("i"), F.col("n") + F.col("n_pivot")) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("u"), "pivot", F.col("label").alias("label_u"), F.col("n").alias("n_u"), F.col("i").alias("i_u"))
     fitting = far.join(sizes, "pivot").where(enough(F.col("i_u"), F.col("n_u") + F.col("size")) & (100 * F.col("size") >= percent * F.col("n_u")))
@@ -230,6 +229,26 @@ def pivot_pairs(mixed: DataFrame, links: DataFrame, labels: DataFrame | None, te
     return with_pivot.unionByName(shared).unionByName(inside.select("u", "v"))
 
 
+def prefix_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """(pivot, u, v) with a common shingle outside the pivot, found through prefixes.
+
+    A node needs `need` common shingles outside with any partner, however small the partner. In one
+    order of all shingles, rare ones first, the first common shingle of two such nodes then stands among the
+    first size - need + 1 of each, so only these are joined, and what many nodes share is mostly left out.
+    """
+    least = rest.groupBy("pivot").agg(F.min("n").alias("least"))
+    smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    need = F.greatest(F.lit(1), F.ceil((F.col("n") + smallest) * percent / (100 + percent)) - F.col("i"))
+    rows = rest.join(least, "pivot").select("pivot", "node", "label", "n", F.xxhash64("outside").alias("set"), (F.size("outside") - need + 1).alias("prefix"), F.explode("outside").alias("shingle"))
+    counts = rows.groupBy("pivot", "shingle").agg(F.count("*").alias("nodes"))
+    place = F.row_number().over(Window.partitionBy("pivot", "node", "set").orderBy("nodes", "shingle"))  # an id may come with several texts
+    rows = rows.join(counts, ["pivot", "shingle"]).withColumn("place", place).where("place <= prefix and nodes > 1")
+    rows = materialise(rows.select("pivot", "shingle", "node", "label", "n"), "prefixes")
+    u, v = (rows.withColumnsRenamed({c: f"{c}_{e}" for c in ("label", "n")} | {"node": e}) for e in "uv")
+    found = u.join(v, ["pivot", "shingle"]).where("u < v and label_u <> label_v").where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
+    return found.select("pivot", "u", "v").distinct()
+
+
 def residuals(held: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(node, label, pivot, n, n_pivot, i, outside): sizes of the sets of node and pivot, shingles in common, and those of the node alone."""
     kind = held.schema["node"].dataType.simpleString()
