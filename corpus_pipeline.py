@@ -51,7 +51,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The line field and the walk's keys are no SQL; tests hold the stages against brute force.
+#: The line field and the edit distances are no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -104,3 +104,19 @@ def test_query_finds_every_exact_copy(spark):
     exact = {(r.doc_id, i.item_id) for r in docs for i in items if b" " + b" ".join(words(i.text)) + b" " in b" " + b" ".join(words(r.text)) + b" "}
     assert exact and exact <= got
     assert len(got) < 2 * len(exact)
+
+
+def test_recall_by_length_at_all_allowed_edits(spark):
+    rng = random.Random(31)
+    items, docs = [], []
+    for n in (8, 9, 11, 12, 15, 16, 20, 32):
+        for _ in range(30):
+            i, item = len(items), [f"u{rng.randrange(10**6)}" for _ in range(n)]
+            items.append((i, " ".join(item)))
+            copy, k = item[:], n // 4
+            for e in range(k):  # evenly spread
+                copy[(2 * e + 1) * n // (2 * k)] = "edit"
+            docs.append((i, " ".join([f"z{rng.randrange(10**6)}" for _ in range(20)] + copy + ["end"] * 9)))
+    rows = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r.edits for r in rows}
+    assert got == {(i, i): len(text.split()) // 4 for i, text in items}

@@ -1,15 +1,10 @@
-"""Benchmark decontamination: random-walk embedding, bit-sampling keys, exact edit verification.
-
-Texts are sequences of words. The embedding of a sequence is a walk: in each step it emits the word
-it stands on and moves on by a random bit of that word and step, so sequences at a small edit distance
-emit mostly the same words in the same steps (edit distance becomes Hamming distance). A key takes a
-few steps of one walk; there are several walks with steps of their own. Windows of the documents start
-at anchors, pairs of words whose hash is the smallest among `NEAR` neighbouring pairs, which are the
-same in a passage wherever it stands; the items' windows start at theirs. Where keys meet, the item
-is aligned with the document around that place, and the word edit distance decides.
-
-An exact copy of an item of `SHORT` words or more always meets: some anchor is among its first `NEAR`
-pairs and the first walk's steps end within `SHORT` words. Shorter items are looked up as they are.
+"""Benchmark decontamination: disjoint pieces looked up exactly, exact edit verification.
+
+Texts are sequences of words. Where k edits are allowed, an item is cut into k + 1 pieces of equal
+length: k edits leave one of them as it is, so every run of a document within k edits holds a piece.
+All runs of a document of the pieces' lengths are looked up; where a piece is met, the item is aligned
+with the document around that place, and the word edit distance decides. Items of fewer than `SHORT`
+words are one piece each and looked up as they are.
 """
 
 from __future__ import annotations
@@ -25,45 +20,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import WordHashes, mix64, read_table, shingles, words_of
 
-#: Steps of each walk whose words make its key.
-WALKS = ((2, 3, 4), (3, 5, 8), (4, 7, 11), (3, 6, 10), (2, 5, 9), (4, 6, 13))
-NEAR, SHORT = 4, 8
+SHORT = 8
 EDIT_PERCENT = 25
 #: Words of items that one pass over the documents looks for.
 BLOCK_WORDS = 1_000_000
-_SEEDS = mix64(np.arange(11, 11 + len(WALKS), dtype=np.uint64))
-_ONE = np.uint64(1)
-
-
-def anchors(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of words with the smallest hash among some `NEAR` neighbouring pairs, and those hashes."""
-    pairs = shingles(symbols, 2)
-    n = len(pairs) - NEAR + 1
-    if len(symbols) < 2 or n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    low = pairs[:n]
-    for k in range(1, NEAR):
-        low = np.minimum(low, pairs[k : n + k])
-    chosen = np.zeros(len(pairs), bool)
-    for k in range(NEAR):
-        chosen[k : n + k] |= pairs[k : n + k] == low
-    at = np.flatnonzero(chosen)
-    return at, pairs[at]
-
-
-def walk_keys(symbols: np.ndarray, at: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each walk, the keys of windows starting at `at`, and whether the walk stayed within the symbols."""
-    end = len(symbols) - 1
-    for walk, (steps, seed) in enumerate(zip(WALKS, _SEEDS)):
-        bits = mix64(symbols ^ seed)
-        place, key, inside = at.copy(), pairs ^ seed, np.ones(len(at), bool)
-        for step in range(steps[-1] + 1):
-            if step in steps:
-                inside &= place <= end
-                key = mix64(key ^ symbols[np.minimum(place, end)])
-            if step < steps[-1]:
-                place = place + (bits[np.minimum(place, end)] >> np.uint64(step) & _ONE).astype(np.int64)
-        yield key ^ np.uint64(walk), inside
 
 
 def best_window(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -82,35 +42,39 @@ def best_window(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 @dataclass
 class Items:
-    """A block of items, with their windows' keys."""
+    """A block of items, with the hashes of their pieces: for each length the sorted hashes, the holders' numbers and the offsets there."""
 
+    percent: int = EDIT_PERCENT
     ids: list = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
-    keys: np.ndarray | None = None
-    holders: dict[int, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
-    short: dict[int, dict[int, list[int]]] = field(default_factory=lambda: defaultdict(lambda: defaultdict(list)))
+    pieces: dict[int, list[tuple[int, int, int]]] = field(default_factory=lambda: defaultdict(list))
+    known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+    def most(self, number: int) -> int:
+        """Edits that an item may have."""
+        n = len(self.words[number])
+        return self.percent * n // 100 if n >= SHORT else 0
 
     def add(self, item_id, words: np.ndarray) -> None:
         number = len(self.ids)
         self.ids.append(item_id)
         self.words.append(words)
-        if len(words) < SHORT:
-            self.short[len(words)][int(shingles(words, len(words))[0])].append(number)
-            return
-        at, pairs = anchors(words)
-        for keys, inside in walk_keys(words, at, pairs):
-            for key, place in zip(keys[inside].tolist(), at[inside].tolist()):
-                self.holders[key].append((number, place))
+        width = max(1, len(words) // (self.most(number) + 1))
+        runs = shingles(words, width)
+        for k in range(min(self.most(number) + 1, len(words))):
+            self.pieces[width].append((int(runs[k * width]), number, k * width))
 
     def close(self) -> Items:
-        self.keys = np.array(sorted(self.holders), np.uint64)
-        self.holders, self.short = dict(self.holders), {k: dict(v) for k, v in self.short.items()}
+        for width, rows in self.pieces.items():
+            rows.sort()
+            self.known[width] = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+        self.pieces = {}
         return self
 
 
-def blocks_of(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[Items]:
+def blocks_of(items: DataFrame, id_col: str, text_col: str, block_words: int, percent: int) -> Iterator[Items]:
     """The items in blocks of bounded size, one at a time."""
-    hashes, block, size = WordHashes(), Items(), 0
+    hashes, block, size = WordHashes(), Items(percent), 0
     asked = items.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).distinct().orderBy("id", "text")
     for row in asked.toLocalIterator():
         words = hashes.of(words_of(bytes(row.text) if row.text is not None else None))
@@ -119,7 +83,7 @@ def blocks_of(items: DataFrame, id_col: str, text_col: str, block_words: int) ->
             size += len(words)
         if size >= block_words:
             yield block.close()
-            block, size = Items(), 0
+            block, size = Items(percent), 0
     if block.ids:
         yield block.close()
 
@@ -130,6 +94,7 @@ class Finder:
     def __init__(self, items: Items, percent: int):
         self.items, self.percent, self.hashes = items, percent, WordHashes()
         self.sets = [set(w.tolist()) for w in items.words]
+        self.most = np.array([items.most(k) for k in range(len(items.words))], np.int64)
 
     def find(self, texts: list[bytes | None]) -> list[dict[int, tuple[int, int, int]]]:
         """For each text, item number: (edits, start, end). Texts go through in joint arrays."""
@@ -145,7 +110,7 @@ class Finder:
         return out
 
     def _joint(self, split: list[list[bytes]]) -> list[dict[int, tuple[int, int, int]]]:
-        gap = 2 * SHORT + 4
+        gap = 4
         starts = np.cumsum([0] + [len(w) + gap for w in split])
         symbols = np.empty(starts[-1], np.uint64)
         for k, words in enumerate(split):
@@ -155,34 +120,30 @@ class Finder:
         if len(symbols) == 0:
             return found
         ends = starts[:-1] + [len(w) for w in split]
-        tried: set[tuple[int, int, int]] = set()
-        at, pairs = anchors(symbols)
-        for keys, inside in walk_keys(symbols, at, pairs):
-            if not len(self.items.keys):
-                break
-            near = self.items.keys[np.minimum(np.searchsorted(self.items.keys, keys), len(self.items.keys) - 1)]
-            for k in np.flatnonzero((near == keys) & inside).tolist():
-                place = int(at[k])
-                doc = int(np.searchsorted(starts, place, "right")) - 1
-                if place < ends[doc]:
-                    for number, offset in self.items.holders[int(keys[k])]:
-                        self._try(found[doc], tried, symbols, doc, int(starts[doc]), int(ends[doc]), number, place - offset)
-        for width, known in self.items.short.items():
+        hits = []
+        for width, (keys, numbers, offsets) in self.items.known.items():
             runs = shingles(symbols, width) if len(symbols) >= width else np.zeros(0, np.uint64)
-            for place in np.flatnonzero(np.isin(runs, np.array(list(known), np.uint64))).tolist():
-                doc = int(np.searchsorted(starts, place, "right")) - 1
-                for number in known[int(runs[place])]:
-                    if place + width <= ends[doc]:
-                        found[doc].setdefault(number, (0, place - int(starts[doc]), place - int(starts[doc]) + width))
+            place = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, runs), len(keys) - 1)] == runs)
+            doc = np.searchsorted(starts, place, "right") - 1
+            inside = place + width <= ends[doc]
+            place, doc = place[inside], doc[inside]
+            low = np.searchsorted(keys, runs[place], "left")
+            n = np.searchsorted(keys, runs[place], "right") - low
+            own = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            hits.append(np.stack([np.repeat(doc, n), numbers[own], np.repeat(place, n) - offsets[own]]))
+        doc, number, at = np.concatenate(hits, axis=1) if hits else np.zeros((3, 0), np.int64)
+        order = np.lexsort((at, number, doc))
+        doc, number, at = doc[order], number[order], at[order]
+        near = at // np.maximum(1, self.most[number])  # one window serves all starts that are so near
+        first = np.ones(len(at), bool)
+        first[1:] = (doc[1:] != doc[:-1]) | (number[1:] != number[:-1]) | (near[1:] != near[:-1])
+        for d, k, x in zip(doc[first].tolist(), number[first].tolist(), at[first].tolist()):
+            self._try(found[d], symbols, int(starts[d]), int(ends[d]), k, x)
         return found
 
-    def _try(self, found: dict, tried: set, symbols: np.ndarray, doc: int, start: int, end: int, number: int, at: int) -> None:
+    def _try(self, found: dict, symbols: np.ndarray, start: int, end: int, number: int, at: int) -> None:
         item = self.items.words[number]
-        most = self.percent * len(item) // 100
-        near = (doc, number, at // max(1, most))
-        if near in tried:
-            return
-        tried.add(near)
+        most = int(self.most[number])
         low, high = max(start, at - 2 * most), min(end, at + len(item) + 3 * most + 1)
         text = symbols[low:high]
         wanted = self.sets[number]
@@ -211,9 +172,9 @@ def find_leaks(
     Items go out in blocks of `block_words` words, each a pass over the documents, so what executors
     hold doesn't grow with the benchmark; documents are never shuffled.
     """
-    parts = [leaks_of_block(docs, block, percent, id_col, text_col, items.schema[item_col].dataType.simpleString()) for block in blocks_of(items, item_col, item_text_col, block_words)]
+    parts = [leaks_of_block(docs, block, percent, id_col, text_col, items.schema[item_col].dataType.simpleString()) for block in blocks_of(items, item_col, item_text_col, block_words, percent)]
     if not parts:
-        parts = [leaks_of_block(docs.limit(0), Items().close(), percent, id_col, text_col, items.schema[item_col].dataType.simpleString())]
+        parts = [leaks_of_block(docs.limit(0), Items(percent).close(), percent, id_col, text_col, items.schema[item_col].dataType.simpleString())]
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
@@ -245,7 +206,7 @@ def leaks_of_block(docs: DataFrame, block: Items, percent: int, id_col: str, tex
 
 def keep_clean(docs: DataFrame, items: DataFrame, percent: int = EDIT_PERCENT, block_words: int = BLOCK_WORDS, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that hold no item, all columns as they were."""
-    for block in blocks_of(items, "item_id", "text", block_words):
+    for block in blocks_of(items, "item_id", "text", block_words, percent):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
