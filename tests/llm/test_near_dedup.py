@@ -3,6 +3,7 @@ import random
 import numpy as np
 from oracle import rows_of, sql_rows
 
+from tidemark.llm.common import Scratch
 from tidemark.llm.near_dedup import ORACLES, SIZE, components, near_duplicates, op4_near_dedup, sketch
 
 
@@ -108,7 +109,7 @@ def test_bands_of_many_unlinked_near_copies(spark, monkeypatch):
 
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 41)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark)).collect()}
     assert got == {**{i: 0 for i in range(42)}, 90: 90, 95: 90, 100: 90}
 
 

@@ -44,6 +44,35 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one job, which go when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        self._drop(lambda t: any(t is x for x in tables))
+
+    def drop_but(self, *tables: DataFrame | None) -> None:
+        """Drop all but these."""
+        self._drop(lambda t: not any(t is x for x in tables))
+
+    def _drop(self, goes) -> None:
+        context = self.spark.sparkContext
+        for table, path in self.held:
+            if goes(table):
+                folder = context._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        self.held = [(t, p) for t, p in self.held if not goes(t)]
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

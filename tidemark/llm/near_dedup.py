@@ -7,32 +7,34 @@ with the Jaccard similarity as probability. Runs of `ROWS` coordinates are the b
 share a band are candidates, and candidates are confirmed on their full shingle sets.
 
 Documents with equal shingle sets are one node. Links are only sought between nodes that earlier links
-have not yet joined: first each node with the smallest node that it shares a band with, then with the
-hub of each of its bands, and at last pairs across components within a band: all of them in small
-bands, in large ones those that a bound by a pivot doesn't rule out. Links within a component change
-nothing, so a group of n near copies costs about n confirmations, not n squared.
+have not yet joined: first each node with one hub, the heaviest node of the bands that it shares most of,
+then once more with another, and at last pairs across components within a band: all of them in small
+bands, in large ones by what each node differs from a pivot in, so that a pair is met only where the two
+share enough of these differences. Links within a component change nothing, so a group of n near copies
+costs about n comparisons, not n squared, and nothing that could be a link is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHashes, materialise, mix64, read_table, shingles, words_of
+from tidemark.llm.common import Scratch, WordHashes, mix64, read_table, shingles, words_of
 
 SIZE, ROWS = 128, 4
 WORDS = 5
 SIMILARITY = 75  # per cent
-#: Rounds that offer every band a new hub before the exact pass over what is left.
-HUB_ROUNDS = 3
-#: Nodes of a band up to which all its pairs across components are compared; larger bands go by a pivot.
-DIRECT = 32
+#: Rounds that offer every band a hub before the exact pass over what is left.
+HUB_ROUNDS = 2
+#: Nodes of a band up to which all its pairs across components are compared; larger bands go by a pivot. Results don't depend on it.
+DIRECT = 8
+#: Nodes of a pivot that tell which hashes many of them share; only the order of comparison depends on it.
+SAMPLE = 16
 _SEEDS = mix64(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOW = np.uint64((1 << 56) - 1)
 
@@ -119,23 +121,41 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return with_both.select("u", "v", "text_u", "text_v").mapInArrow(confirmed, f"u {kind}, v {kind}")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of the undirected edges (u, v) reaches.
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, label): the smallest node that each node of the undirected edges (u, v) reaches, as a table of `scratch`.
 
     Labels go to neighbours and then jump to their own labels, so a chain takes about the logarithm
-    of its length in rounds. Each round is a written table.
+    of its length in rounds. Each round is a written table; the one before goes.
     """
-    both = materialise(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = materialise(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
-    while True:
+    both = scratch.write(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    table = scratch.write(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label"), F.lit(True).alias("moved")), "labels")
+    while not table.where("moved").isEmpty():
+        labels = table.select("node", "label")
         around = both.join(labels.withColumnsRenamed({"node": "v", "label": "l"}), "v").groupBy("u").agg(F.min("l").alias("l"))
         lowered = labels.join(around, labels["node"] == around["u"]).select("node", "label", F.least("label", "l").alias("low"))
         jumped = labels.withColumnsRenamed({"node": "low", "label": "far"})
         following = lowered.join(jumped, "low").select("node", F.least("low", "far").alias("next"), "label")
-        following = materialise(following.select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")), "labels")
-        labels = following.select("node", "label")
-        if following.where("moved").isEmpty():
-            return labels
+        following = scratch.write(following.select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")), "labels")
+        scratch.drop(table)
+        table = following
+    scratch.drop(both)
+    return table
+
+
+def merged(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """`labels` (node, label) after the links (u, v) join some of them; only the labels go through `components`."""
+    if labels is None:
+        return components(links, scratch)
+    of = labels.select("node", "label")
+    ends = links.join(of.withColumnsRenamed({"node": "u", "label": "a"}), "u", "left").join(of.withColumnsRenamed({"node": "v", "label": "b"}), "v", "left")
+    ends = ends.select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v")).where("u <> v").distinct()
+    joined = components(ends, scratch)
+    new = joined.select("node", F.col("node").alias("label")).join(of.select("node"), "node", "left_anti")
+    over = joined.select(F.col("node").alias("label"), F.col("label").alias("low"))
+    out = of.unionByName(new).join(over, "label", "left").select("node", F.coalesce("low", "label").alias("label"))
+    out = scratch.write(out, "labels")
+    scratch.drop(labels, joined)
+    return out
 
 
 def same_documents(signed: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -145,137 +165,135 @@ def same_documents(signed: DataFrame, nodes: DataFrame) -> DataFrame:
     return of_id.join(of_id.groupBy("id").agg(F.min("node").alias("v")), "id").where("node <> v").select(F.col("node").alias("u"), "v")
 
 
-def link_nodes(buckets: DataFrame, texts: DataFrame, words: int, percent: int, known: DataFrame) -> DataFrame | None:
-    """(node, label) for nodes of `buckets` (band, node) that similar pairs or `known` links join; None where there are none."""
-    found: list[DataFrame] = [] if known.isEmpty() else [known]
-    labels = components(known) if found else None
-
-    def labelled() -> DataFrame:
-        if labels is None:
-            return buckets.withColumn("label", F.col("node"))
-        return buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-
-    def take(pairs: DataFrame) -> bool:
-        nonlocal labels
-        ordered = pairs.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct()
-        new = materialise(confirm(ordered, texts, words, percent), "links")
-        if new.isEmpty():
-            return False
-        found.append(new)
-        labels = components(reduce(DataFrame.unionByName, found))
-        return True
-
-    hubs = buckets.groupBy("band").agg(F.min("node").alias("hub"))
-    nearest = buckets.join(hubs, "band").groupBy("node").agg(F.min("hub").alias("hub")).where(F.col("node") != F.col("hub"))
-    take(nearest.select(F.col("node").alias("u"), F.col("hub").alias("v")))
-    for k in range(HUB_ROUNDS):
-        now = labelled()
-        hub = F.min("node") if k == 0 else F.max_by("node", F.xxhash64("node", F.lit(k)))
-        hubs = now.groupBy("band").agg(hub.alias("hub"), F.min("label").alias("first"), F.max("label").alias("final")).where(F.col("first") != F.col("final"))
-        of_hub = now.select("band", F.col("node").alias("hub"), F.col("label").alias("hub_label")).distinct()
-        across = now.join(hubs, "band").join(of_hub, ["band", "hub"]).where(F.col("label") != F.col("hub_label"))
-        if not take(across.select(F.col("node").alias("u"), F.col("hub").alias("v"))) and k:
-            break
-    # all that is left: pairs across components within a band
-    now = materialise(labelled(), "labelled")
-    sizes = now.groupBy("band", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("nodes"))
-    mixed = materialise(now.join(main.where("labels > 1"), "band"), "mixed")
-    small = mixed.where(F.col("nodes") <= DIRECT)
-    ends = [small.select("band", F.col("node").alias(e), F.col("label").alias(f"label_{e}")) for e in "uv"]
-    take(ends[0].join(ends[1], "band").where("u < v and label_u <> label_v").select("u", "v"))
-    links = reduce(DataFrame.unionByName, found) if found else pairs_like(buckets)
-    take(pivot_pairs(mixed.where(F.col("nodes") > DIRECT), links, labels, texts, words, percent))
-    return labels
-
-
-def pairs_like(buckets: DataFrame) -> DataFrame:
-    """No pairs."""
-    return buckets.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
-
-
-def pivot_pairs(mixed: DataFrame, links: DataFrame, labels: DataFrame | None, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """All pairs (u, v) across components in bands of many nodes that could be similar, found without emitting the others.
-
-    Every node of such a band is held against a pivot p, the most linked node of the band's largest
-    component. With I the shingles that a node shares with p and R those that two nodes share outside
-    p, two nodes have at most min(I) + R in common. So a pair needs a common shingle outside p, and
-    enough of them, or both I are large enough by themselves, which only few sizes allow where one
-    of the two is no neighbour of p. Nothing that could be similar is left out.
-    """
-    ends = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    if labels is None:
-        centres = ends.select("node", F.col("node").alias("label"), "degree")
-    else:
-        centres = ends.join(labels, "node")
-    centres = centres.groupBy("label").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot"))
-    held = mixed.select("node", "label", "main").distinct().join(centres.withColumnRenamed("label", "main"), "main", "left")
-    held = materialise(held.select("node", "label", F.coalesce("pivot", "main").alias("pivot")).distinct(), "held")
-    rest = materialise(residuals(held, texts, words), "residuals")
-    enough = lambda both, sizes: (100 + percent) * both >= percent * sizes
-    with_pivot = rest.where(F.col("node") != F.col("pivot")).where(enough(F.col("i"), F.col("n") + F.col("n_pivot"))).select(F.col("node").alias("u"), F.col("pivot").alias("v"))
-
-    def side(e: str, *more: str) -> DataFrame:
-        return rest.select("pivot", *more, F.col("node").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in ("label", "n", "i")))
-
-    shared = prefix_pairs(rest, percent)
-    both = shared.join(side("u", "outside").withColumnRenamed("outside", "out_u"), ["pivot", "u"]).join(side("v", "outside").withColumnRenamed("outside", "out_v"), ["pivot", "v"])
-    common = F.size(F.array_intersect("out_u", "out_v"))
-    shared = both.where(enough(F.least("i_u", "i_v") + common, F.col("n_u") + F.col("n_v"))).select("u", "v")
-    sizes = rest.select("pivot", F.col("n").alias("size")).distinct()
-    far = rest.where(~enough(F.col("i"), F.col("n") + F.col("n_pivot")) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("u"), "pivot", F.col("label").alias("label_u"), F.col("n").alias("n_u"), F.col("i").alias("i_u"))
-    fitting = far.join(sizes, "pivot").where(enough(F.col("i_u"), F.col("n_u") + F.col("size")) & (100 * F.col("size") >= percent * F.col("n_u")))
-    inside = fitting.join(side("v").withColumnRenamed("n_v", "size"), ["pivot", "size"]).where("label_u <> label_v").where(enough(F.col("i_v"), F.col("n_u") + F.col("size")))
-    return with_pivot.unionByName(shared).unionByName(inside.select("u", "v"))
-
-
-def prefix_pairs(rest: DataFrame, percent: int) -> DataFrame:
-    """(pivot, u, v) with a common shingle outside the pivot, found through prefixes.
-
-    A node needs `need` common shingles outside with any partner, however small the partner. In one
-    order of all shingles, rare ones first, the first common shingle of two such nodes then stands among the
-    first size - need + 1 of each, so only these are joined, and what many nodes share is mostly left out.
-    """
-    least = rest.groupBy("pivot").agg(F.min("n").alias("least"))
-    smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100))
-    need = F.greatest(F.lit(1), F.ceil((F.col("n") + smallest) * percent / (100 + percent)) - F.col("i"))
-    rows = rest.join(least, "pivot").select("pivot", "node", "label", "n", F.xxhash64("outside").alias("set"), (F.size("outside") - need + 1).alias("prefix"), F.explode("outside").alias("shingle"))
-    counts = rows.groupBy("pivot", "shingle").agg(F.count("*").alias("nodes"))
-    place = F.row_number().over(Window.partitionBy("pivot", "node", "set").orderBy("nodes", "shingle"))  # an id may come with several texts
-    rows = rows.join(counts, ["pivot", "shingle"]).withColumn("place", place).where("place <= prefix and nodes > 1")
-    rows = materialise(rows.select("pivot", "shingle", "node", "label", "n"), "prefixes")
-    u, v = (rows.withColumnsRenamed({c: f"{c}_{e}" for c in ("label", "n")} | {"node": e}) for e in "uv")
-    found = u.join(v, ["pivot", "shingle"]).where("u < v and label_u <> label_v").where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
-    return found.select("pivot", "u", "v").distinct()
-
-
-def residuals(held: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(node, label, pivot, n, n_pivot, i, outside): sizes of the sets of node and pivot, shingles in common, and those of the node alone."""
-    kind = held.schema["node"].dataType.simpleString()
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, pivot = WordHashes(), None, None
-        for whole in batches:
-            for low in range(0, whole.num_rows, 512):
-                batch = whole.slice(low, 512)
-                n, n_pivot, i, outside = [], [], [], []
-                for text, pivot_text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                    if pivot is None or pivot_text != last:
-                        last, pivot = pivot_text, shingle_set(pivot_text, hashes, words)
-                    own = shingle_set(text, hashes, words)
-                    alone = np.setdiff1d(own, pivot, assume_unique=True)
-                    n.append(len(own))
-                    n_pivot.append(len(pivot))
-                    i.append(len(own) - len(alone))
-                    outside.append(alone.view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k) for k in range(3)), pa.array(n, pa.int64()), pa.array(n_pivot, pa.int64()), pa.array(i, pa.int64()), pa.array(outside, pa.list_(pa.int64()))],
-                    names=["node", "label", "pivot", "n", "n_pivot", "i", "outside"],
-                )
-
-    joined = held.join(texts, "node").join(texts.withColumnsRenamed({"node": "pivot", "text": "pivot_text"}), "pivot")
-    joined = joined.select("node", "label", "pivot", "text", "pivot_text")
-    return joined.mapInArrow(compared, f"node {kind}, label {kind}, pivot {kind}, n long, n_pivot long, i long, outside array<long>")
+class Linker:
+    """Labels of nodes, as links come in. buckets: (band, node); texts: (node, text)."""
+
+    def __init__(self, scratch: Scratch, buckets: DataFrame, texts: DataFrame, words: int, percent: int):
+        self.scratch, self.texts, self.words, self.percent = scratch, texts, words, percent
+        sizes = buckets.groupBy("band").agg(F.count("*").alias("size"))
+        self.weights = scratch.write(buckets.join(sizes, "band").groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+        self.buckets = scratch.write(buckets.join(self.weights, "node"), "weighted")
+        self.labels: DataFrame | None = None
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """`rows` with the label of their node, in place of one that they have."""
+        rows = rows.drop("label")
+        if self.labels is None:
+            return rows.withColumn("label", F.col("node"))
+        found = rows.join(self.labels.select("node", F.col("label").alias("found")), "node", "left")
+        return found.withColumn("label", F.coalesce("found", "node")).drop("found")
+
+    def take(self, links: DataFrame) -> None:
+        new = self.scratch.write(links, "links")
+        if not new.isEmpty():
+            self.labels = merged(self.labels, new, self.scratch)
+        self.scratch.drop(new)
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        return confirm(pairs, self.texts, self.words, self.percent)
+
+    def to_hubs(self, k: int) -> None:
+        """Hold every node against one hub: of the hubs of its bands outside its component, that of most of them."""
+        now = self.labelled(self.buckets)
+        first = F.struct("weight", "node") if k == 0 else F.struct(F.xxhash64("node", F.lit(k)), "node")
+        hubs = now.groupBy("band").agg(F.max_by(F.struct("node", "label"), first).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
+        across = now.join(hubs.where("low < high").select("band", "hub"), "band").where(F.col("label") != F.col("hub.label"))
+        shared = across.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("n"))
+        chosen = shared.groupBy(F.col("node").alias("u")).agg(F.max_by("hub", F.struct("n", "hub")).alias("v"))
+        self.take(self.confirmed(chosen))
+
+    def rest(self) -> None:
+        """All links that are left: those across components within a band."""
+        now = self.scratch.write(self.labelled(self.buckets), "labelled")
+        totals = now.groupBy("label").agg(F.count("*").alias("total"))
+        sizes = now.groupBy("band", "label").agg(F.count("*").alias("n")).join(totals, "label")
+        main = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "total", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("nodes"))
+        mixed = self.scratch.write(now.join(main.where("labels > 1"), "band"), "mixed")
+        small = mixed.where(F.col("nodes") <= DIRECT)
+        ends = [small.select("band", F.col("node").alias(e), F.col("label").alias(f"label_{e}")) for e in "uv"]
+        self.take(self.confirmed(ends[0].join(ends[1], "band").where("u < v and label_u <> label_v").select("u", "v").distinct()))
+        deltas = self.scratch.write(self.differences(mixed.where(F.col("nodes") > DIRECT)), "deltas")
+        self.scratch.drop(now, mixed)
+        if not deltas.isEmpty():
+            slack = self.slack("n", "d")
+            best = deltas.groupBy("pivot").agg(F.max_by("node", F.struct(slack, "node")).alias("best"), F.max(slack).alias("top"))
+            self.take(deltas.join(best, "pivot").where((slack + F.col("top") >= 0) & (F.col("node") != F.col("best"))).select(F.col("node").alias("u"), F.col("best").alias("v")).distinct())
+            self.take(self.across(deltas, best))
+        self.scratch.drop(deltas)
+
+    def slack(self, n: str, d: str) -> Column:
+        """Two sets are similar where the slacks of both, plus what they share of their differences, come to 0 at least."""
+        return (100 - self.percent) * F.col(n) - (100 + self.percent) * F.col(d)
+
+    def differences(self, large: DataFrame) -> DataFrame:
+        """(node, label, pivot, n, d, delta): every node of `large` (node, main) against the pivots of its bands.
+
+        The pivot of a band is the heaviest node of its main component; n is the size of the node's set,
+        delta the d hashes, in order, that only one of node and pivot has.
+        """
+        centres = self.labelled(self.weights).groupBy(F.col("label").alias("main")).agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"))
+        held = large.select("node", "main").distinct().join(centres, "main").select("node", "pivot")
+        held = self.labelled(held.unionByName(held.select(F.col("pivot").alias("node"), "pivot")).distinct())
+        kind = held.schema["node"].dataType.simpleString()
+        words = self.words
+
+        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, last, pivot = WordHashes(), None, None
+            for whole in batches:
+                for low in range(0, whole.num_rows, 512):
+                    batch = whole.slice(low, 512)
+                    n, d, delta = [], [], []
+                    for text, pivot_text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                        if pivot is None or pivot_text != last:
+                            last, pivot = pivot_text, shingle_set(pivot_text, hashes, words)
+                        own = shingle_set(text, hashes, words)
+                        delta.append(np.setxor1d(own, pivot, assume_unique=True).view(np.int64))
+                        n.append(len(own))
+                        d.append(len(delta[-1]))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(k) for k in range(3)), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(delta, pa.list_(pa.int64()))],
+                        names=["node", "label", "pivot", "n", "d", "delta"],
+                    )
+
+        joined = held.join(self.texts, "node").join(self.texts.withColumnsRenamed({"node": "pivot", "text": "pivot_text"}), "pivot")
+        return joined.select("node", "label", "pivot", "text", "pivot_text").mapInArrow(compared, f"node {kind}, label {kind}, pivot {kind}, n long, d long, delta array<long>")
+
+    def across(self, deltas: DataFrame, best: DataFrame) -> DataFrame:
+        """Links (u, v) across components between nodes that are held against one pivot.
+
+        What two sets differ in is what their deltas differ in. So similar nodes share `need` hashes of
+        their deltas or more, and in one order of all hashes the first of them is among the first
+        d - need + 1 of either: only these prefixes are joined, with what many nodes share last in the order.
+        Pairs that have another pivot as the nearest of both are left to that one.
+        """
+        p = self.percent
+        now = self.labelled(deltas)
+        homes = deltas.groupBy("node").agg(F.max_by("pivot", F.struct(self.slack("n", "d"), "pivot")).alias("home"))
+        main = self.labelled(best.select("pivot", F.col("best").alias("node"))).select("pivot", F.col("label").alias("main"))
+        now = self.scratch.write(now.join(homes, "node").join(main, "pivot"), "homed")
+        least = now.where("label <> main").groupBy("pivot").agg(F.min("d").alias("least"))  # of the nodes outside the main component
+        now = now.join(least, "pivot")  # pivots with one component have no pairs
+        counts = now.groupBy("pivot").agg(F.count("*").alias("nodes"))
+        sample = now.join(counts, "pivot").where(F.pmod(F.xxhash64("node"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("nodes") / SAMPLE))) == 0)
+        popular = sample.select("pivot", F.explode("delta").alias("h")).groupBy("pivot", "h").agg(F.count("*").alias("c")).where("c > 1")
+        popular = popular.groupBy("pivot").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("popular")).select("pivot", F.col("popular.h").alias("popular"))
+        beyond = F.when(F.col("label") == F.col("main"), F.col("d") - F.col("least"))
+        prefix = F.floor(F.least(beyond, (100 - p) * F.col("n") / p) / 2 + (100 - p) * F.col("n") / (2 * p) + 1e-6) + 1
+        ordered = now.join(popular, "pivot", "left").withColumn("popular", F.coalesce("popular", F.array().cast("array<long>")))
+        ordered = ordered.withColumn("prefix", prefix.cast("int")).where("prefix > 0")
+        hashes = F.slice(F.concat(F.array_except("delta", "popular"), F.array_intersect("popular", "delta")), F.lit(1), F.col("prefix"))
+        rows = self.scratch.write(ordered.select("pivot", "node", "label", "home", "n", "d", F.posexplode(hashes).alias("at", "h")), "prefixes")
+        u, v = (rows.withColumnsRenamed({c: f"{c}_{e}" for c in ("label", "home", "n", "d", "at")} | {"node": e}) for e in "uv")
+        after = (F.col("d_u") > F.col("d_v")) | (F.col("d_u") == F.col("d_v")) & (F.col("u") > F.col("v"))
+        own = (F.col("home_u") != F.col("home_v")) | (F.col("home_u") == F.col("pivot"))
+        sizes = 100 * F.least("n_u", "n_v") >= p * F.greatest("n_u", "n_v")
+        slack = self.slack("n_u", "d_u") + self.slack("n_v", "d_v")
+        reach = 2 * (100 + p) * F.least(F.col("d_u") - F.col("at_u"), F.col("d_v") - F.col("at_v"))
+        found = u.join(v, ["pivot", "h"]).where(F.col("label_u") != F.col("label_v")).where(after & own & sizes & (slack + reach >= 0))
+        pairs = self.scratch.write(found.select("pivot", "u", "v").distinct(), "pairs")
+        ends = [now.select("pivot", F.col("node").alias(e), F.col("delta").alias(f"delta_{e}"), self.slack("n", "d").alias(f"slack_{e}")) for e in "uv"]
+        both = pairs.join(ends[0], ["pivot", "u"]).join(ends[1], ["pivot", "v"])
+        return both.where(F.col("slack_u") + F.col("slack_v") + 2 * (100 + p) * F.size(F.array_intersect("delta_u", "delta_v")) >= 0).select("u", "v").distinct()
 
 
 def near_duplicates(
@@ -294,18 +312,24 @@ def near_duplicates(
     on sets of 64-bit shingle hashes. Full texts travel only for documents that share a band.
     """
     asked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    signed = materialise(_signed(asked, words), "signed")
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.write(_signed(asked, words), "signed")
     nodes = signed.where("f1 is not null and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("node"))
-    nodes = materialise(nodes, "nodes")
+    nodes = scratch.write(nodes, "nodes")
     first = signed.select(F.col("id").alias("node"), "f1", "f2", "bands").join(nodes, ["f1", "f2", "node"])
     banded = first.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
-    buckets = materialise(banded.join(shared, "band").select("band", "node").distinct(), "buckets")
+    buckets = scratch.write(banded.join(shared, "band").select("band", "node").distinct(), "buckets")
     wanted = buckets.select("node").distinct()
-    texts = materialise(asked.join(wanted, F.col("id") == F.col("node"), "left_semi").select(F.col("id").alias("node"), "text").distinct(), "texts")
-    labels = link_nodes(buckets, texts, words, percent, materialise(same_documents(signed, nodes), "same"))
-    if labels is not None:
-        nodes = nodes.join(labels, "node", "left").select("f1", "f2", F.coalesce("label", "node").alias("node"))
+    texts = scratch.write(asked.join(wanted, F.col("id") == F.col("node"), "left_semi").select(F.col("id").alias("node"), "text").distinct(), "texts")
+    linker = Linker(scratch, buckets, texts, words, percent)
+    linker.take(same_documents(signed, nodes))
+    for k in range(HUB_ROUNDS):
+        linker.to_hubs(k)
+    linker.rest()
+    scratch.drop_but(signed, nodes, linker.labels)
+    if linker.labels is not None:
+        nodes = nodes.join(linker.labels, "node", "left").select("f1", "f2", F.coalesce("label", "node").alias("node"))
     out = signed.drop("bands").join(nodes, ["f1", "f2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("node", "id"))
     return out.select(
