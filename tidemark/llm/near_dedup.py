@@ -270,7 +270,7 @@ class Linker:
         now = self.labelled(deltas)
         homes = deltas.groupBy("node").agg(F.max_by("pivot", F.struct(self.slack("n", "d"), "pivot")).alias("home"))
         main = self.labelled(best.select("pivot", F.col("best").alias("node"))).select("pivot", F.col("label").alias("main"))
-        now = self.scratch.write(now.join(homes, "node").join(main, "pivot"), "homed")
+        now = self.scratch.write(now.join(homes, "node").join(main, "pivot").repartition("pivot", "node"), "homed")  # a hot pivot's nodes lie apart
         least = now.where("label <> main").groupBy("pivot").agg(F.min("d").alias("least"))  # of the nodes outside the main component
         now = now.join(least, "pivot")  # pivots with one component have no pairs
         counts = now.groupBy("pivot").agg(F.count("*").alias("nodes"))
