@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tidemark.llm.decontamination import best_window, find_leaks, keep_clean, op3_decontamination
+from tidemark.llm.decontamination import MOST_WALKS, best_window, find_leaks, keep_clean, op3_decontamination, repeats
 
 
 def distance_within(item, text):
@@ -38,7 +38,7 @@ def brute(docs, items, percent=25):
             if not a:
                 continue
             edits = distance_within(a, b)
-            if edits <= (percent * len(a) // 100 if len(a) >= 8 else 0):
+            if edits <= percent * len(a) // 100:
                 out[d, i] = edits
     return out
 
@@ -107,16 +107,34 @@ def test_query_finds_every_exact_copy(spark):
 
 
 def test_recall_by_length_at_all_allowed_edits(spark):
+    """Random and evenly spread edits, as many as are allowed, for each class of lengths."""
     rng = random.Random(31)
-    items, docs = [], []
-    for n in (8, 9, 11, 12, 15, 16, 20, 32):
-        for _ in range(30):
+    vocab = [f"u{rng.randrange(10**6)}" for _ in range(20_000)]
+    items, docs, classes = [], [], {}
+    for name, low, high in (("4-7", 4, 7), ("8-12", 8, 12), ("13-24", 13, 24), ("25-60", 25, 60)):
+        for j in range(200):
+            n = rng.randint(low, high)
             i, item = len(items), [f"u{rng.randrange(10**6)}" for _ in range(n)]
             items.append((i, " ".join(item)))
+            classes[i] = name
             copy, k = item[:], n // 4
-            for e in range(k):  # evenly spread
-                copy[(2 * e + 1) * n // (2 * k)] = "edit"
+            if j % 2:
+                for e in range(k):  # evenly spread
+                    copy[(2 * e + 1) * n // (2 * k)] = "edit"
+            else:
+                for place in sorted(rng.sample(range(n), k), reverse=True):
+                    copy[place : place + 1] = rng.choice([[rng.choice(vocab)], [rng.choice(vocab), copy[place]], []])
             docs.append((i, " ".join([f"z{rng.randrange(10**6)}" for _ in range(20)] + copy + ["end"] * 9)))
-    rows = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    got = {(r.doc_id, r.item_id): r.edits for r in rows}
-    assert got == {(i, i): len(text.split()) // 4 for i, text in items}
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    edits = {(r.doc_id, r.item_id): r.edits for r in got}
+    assert all(k[0] == k[1] and v <= len(items[k[0]][1].split()) // 4 for k, v in edits.items())
+    for name in ("4-7", "8-12", "13-24", "25-60"):
+        own = [i for i, c in classes.items() if c == name]
+        recall = sum((i, i) in edits for i in own) / len(own)
+        print(name, recall)
+        assert recall >= 0.95
+
+
+def test_walks_follow_the_target():
+    assert repeats(3, 25) == 2 and 2 <= repeats(4, 25) <= repeats(12, 25) < MOST_WALKS
+    assert repeats(60, 25) == repeats(64, 25) and repeats(64, 5) < repeats(64, 25)
