@@ -5,7 +5,7 @@ import re
 import numpy as np
 
 from tidemark.llm.quality_rules import (
-    FEATURES, Decoder, Field, fit, fit_field, judge, keep_good, line_features, op8_quality_rules, repeat_words,
+    BOILERPLATE, CONTENT, FEATURES, Decoder, Field, Sampled, fit, fit_field, judge, keep_good, labels_within, line_features, line_key, op8_quality_rules, repeat_words,
 )
 
 
@@ -70,6 +70,53 @@ def test_counts_against_brute_force(spark):
     assert repeat_words(np.array([], np.uint64)) == 0 and line_features("", False) & 1
 
 
+def brute_verdict(text, field, share=0.5):
+    """Best of all labellings, by their whole score; content share of its words."""
+    lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\f\r")]
+    bits = [line_features(x, x in lines[:k], line_key(x) in field.known) for k, x in enumerate(lines)]
+    best = max(itertools.product((CONTENT, BOILERPLATE), repeat=len(lines)), key=lambda p: path_score(field, bits, p))
+    n = brute_counts(text)[0]
+    return sum(len(x.encode().split()) for x, y in zip(lines, best) if y == CONTENT) >= share * n, best
+
+
+def test_verdicts_against_brute_force(spark):
+    """Kept is what the best labelling says, here with fitted weights and documents of mixed lines."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    field = fit_field(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    short = [r for r in docs.collect() if r.text and r.text.count("\n") < 9]
+    junk = ["x %%% y &&& z*** a### b$$$ c%%% d&&& " * 3, "BUY!! THIS!! NOW!! AND!! HERE!! " * 4, "All rights reserved."]
+    good = [r.text.split("\n")[0] for r in short if len(r.text.split("\n")[0]) > 150][:20]
+    rng = random.Random(3)
+    texts = [r.text for r in short] + ["\n".join(rng.choice(junk + good) for _ in range(rng.randint(2, 9))) for _ in range(200)]
+    got = judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), field).collect()
+    mixed = 0
+    for r in got:
+        if not r.base_failed:
+            kept, best = brute_verdict(texts[r.doc_id], field)
+            assert r.kept == kept and r.n_lines == len(best) and r.n_content_lines == best.count(CONTENT)
+            mixed += 0 < r.n_content_lines < r.n_lines
+    assert mixed > 30
+
+
+def test_labels_keep_the_documents_bound():
+    rng = random.Random(8)
+    field = random_field(np.random.default_rng(2))
+    for _ in range(200):
+        n = rng.randint(1, 7)
+        doc = Sampled(rng.random() < 0.5, [rng.randrange(1 << 16) | 1 for _ in range(n)], [rng.randint(1, 30) for _ in range(n)], list(range(n)))
+        labels = labels_within(Decoder(field), doc, 0.5)
+        content = sum(w for w, y in zip(doc.words, labels) if y == CONTENT)
+        assert content >= 0.5 * sum(doc.words) if doc.good else content < 0.5 * sum(doc.words)
+
+
+def test_documents_of_mixed_labels(spark):
+    for sf in ("0.001", "0.01", "0.1"):
+        got = op8_quality_rules(spark, f"/root/testdata/sf{sf}").where("n_lines > 1").selectExpr("count(*) as n", "count_if(n_content_lines > 0 and n_content_lines < n_lines) as mixed").first()
+        print(sf, got.n, got.mixed)
+        assert got.mixed > 0
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
