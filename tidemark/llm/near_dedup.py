@@ -17,6 +17,7 @@ costs about n comparisons, not n squared, and nothing that could be a link is le
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ SIMILARITY = 75  # per cent
 HUB_ROUNDS = 2
 #: Nodes of a band up to which all its pairs across components are compared; larger bands go by a pivot. Results don't depend on it.
 DIRECT = 8
+#: 64-bit words of the marks that bound how many hashes two nodes share; results don't depend on it.
+MARKS = 8
 #: Nodes of a pivot that tell which hashes many of them share; only the order of comparison depends on it.
 SAMPLE = 16
 _SEEDS = mix64(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -226,10 +229,11 @@ class Linker:
         return (100 - self.percent) * F.col(n) - (100 + self.percent) * F.col(d)
 
     def differences(self, large: DataFrame) -> DataFrame:
-        """(node, label, pivot, n, d, delta): every node of `large` (node, main) against the pivots of its bands.
+        """(node, label, pivot, n, d, delta, marks): every node of `large` (node, main) against the pivots of its bands.
 
         The pivot of a band is the heaviest node of its main component; n is the size of the node's set,
-        delta the d hashes, in order, that only one of node and pivot has.
+        delta the d hashes, in order, that only one of node and pivot has; marks has a bit for each of
+        them, by its low bits.
         """
         centres = self.labelled(self.weights).groupBy(F.col("label").alias("main")).agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"))
         held = large.select("node", "main").distinct().join(centres, "main").select("node", "pivot")
@@ -242,7 +246,7 @@ class Linker:
             for whole in batches:
                 for low in range(0, whole.num_rows, 512):
                     batch = whole.slice(low, 512)
-                    n, d, delta = [], [], []
+                    n, d, delta, marks = [], [], [], []
                     for text, pivot_text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                         if pivot is None or pivot_text != last:
                             last, pivot = pivot_text, shingle_set(pivot_text, hashes, words)
@@ -250,20 +254,25 @@ class Linker:
                         delta.append(np.setxor1d(own, pivot, assume_unique=True).view(np.int64))
                         n.append(len(own))
                         d.append(len(delta[-1]))
+                        bits = np.zeros(64 * MARKS, bool)
+                        bits[delta[-1] & (64 * MARKS - 1)] = True
+                        marks.append(np.packbits(bits, bitorder="little").view(np.int64))
                     yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(k) for k in range(3)), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(delta, pa.list_(pa.int64()))],
-                        names=["node", "label", "pivot", "n", "d", "delta"],
+                        [*(batch.column(k) for k in range(3)), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(delta, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))],
+                        names=["node", "label", "pivot", "n", "d", "delta", "marks"],
                     )
 
         joined = held.join(self.texts, "node").join(self.texts.withColumnsRenamed({"node": "pivot", "text": "pivot_text"}), "pivot")
-        return joined.select("node", "label", "pivot", "text", "pivot_text").mapInArrow(compared, f"node {kind}, label {kind}, pivot {kind}, n long, d long, delta array<long>")
+        return joined.select("node", "label", "pivot", "text", "pivot_text").mapInArrow(compared, f"node {kind}, label {kind}, pivot {kind}, n long, d long, delta array<long>, marks array<long>")
 
     def across(self, deltas: DataFrame, best: DataFrame) -> DataFrame:
         """Links (u, v) across components between nodes that are held against one pivot.
 
         What two sets differ in is what their deltas differ in. So similar nodes share `need` hashes of
         their deltas or more, and in one order of all hashes the first of them is among the first
-        d - need + 1 of either: only these prefixes are joined, with what many nodes share last in the order.
+        d - need + 1 of either: only these prefixes are joined, with what many nodes share last in the order,
+        and only where the places there and the marks leave room for `need`: a mark that one node alone has
+        is a hash that they don't share.
         Pairs that have another pivot as the nearest of both are left to that one.
         """
         p = self.percent
@@ -282,14 +291,16 @@ class Linker:
         ordered = now.join(popular, "pivot", "left").withColumn("popular", F.coalesce("popular", F.array().cast("array<long>")))
         ordered = ordered.withColumn("prefix", prefix.cast("int")).where("prefix > 0")
         hashes = F.slice(F.concat(F.array_except("delta", "popular"), F.array_intersect("popular", "delta")), F.lit(1), F.col("prefix"))
-        rows = self.scratch.write(ordered.select("pivot", "node", "label", "home", "n", "d", F.posexplode(hashes).alias("at", "h")), "prefixes")
-        u, v = (rows.withColumnsRenamed({c: f"{c}_{e}" for c in ("label", "home", "n", "d", "at")} | {"node": e}) for e in "uv")
+        rows = self.scratch.write(ordered.select("pivot", "node", "label", "home", "n", "d", *(F.col("marks")[k].alias(f"m{k}") for k in range(MARKS)), F.posexplode(hashes).alias("at", "h")), "prefixes")
+        u, v = (rows.withColumnsRenamed({c: f"{c}_{e}" for c in ("label", "home", "n", "d", "at", *(f"m{k}" for k in range(MARKS)))} | {"node": e}) for e in "uv")
         after = (F.col("d_u") > F.col("d_v")) | (F.col("d_u") == F.col("d_v")) & (F.col("u") > F.col("v"))
         own = (F.col("home_u") != F.col("home_v")) | (F.col("home_u") == F.col("pivot"))
         sizes = 100 * F.least("n_u", "n_v") >= p * F.greatest("n_u", "n_v")
         slack = self.slack("n_u", "d_u") + self.slack("n_v", "d_v")
         reach = 2 * (100 + p) * F.least(F.col("d_u") - F.col("at_u"), F.col("d_v") - F.col("at_v"))
-        found = u.join(v, ["pivot", "h"]).where(F.col("label_u") != F.col("label_v")).where(after & own & sizes & (slack + reach >= 0))
+        alone = lambda a, b: reduce(Column.__add__, (F.bit_count(F.col(f"m{k}_{a}").bitwiseAND(F.bitwise_not(f"m{k}_{b}"))) for k in range(MARKS)))
+        room = 2 * (100 + p) * F.least(F.col("d_u") - alone("u", "v"), F.col("d_v") - alone("v", "u"))
+        found = u.join(v, ["pivot", "h"]).where(F.col("label_u") != F.col("label_v")).where(after & own & sizes & (slack + reach >= 0) & (slack + room >= 0))
         pairs = self.scratch.write(found.select("pivot", "u", "v").distinct(), "pairs")
         ends = [now.select("pivot", F.col("node").alias(e), F.col("delta").alias(f"delta_{e}"), self.slack("n", "d").alias(f"slack_{e}")) for e in "uv"]
         both = pairs.join(ends[0], ["pivot", "u"]).join(ends[1], ["pivot", "v"])
