@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 from hypothesis import given, settings
@@ -9,30 +10,41 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.common import tokenizer_path
-from tidemark.llm.packing import Mixture, _ChunkIds, op7_packing, pack, weights_for
+from tidemark.llm.packing import _ChunkIds, op7_packing, pack
 
 PATH = tokenizer_path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
 
 
-def served_in_turn(totals, weights):
-    """Deficit round-robin token by token."""
-    done, order = [0] * len(totals), []
-    while any(d < t for d, t in zip(done, totals)):
-        q = min((k for k in range(len(totals)) if done[k] < totals[k]), key=lambda k: ((done[k] + 1) / weights[k], k))
-        order.append((q, done[q]))
-        done[q] += 1
+def served_by_rounds(queues, quantum):
+    """Deficit round-robin, a document at a time: each queue earns its quantum and serves what that covers."""
+    queues, deficit, order = {q: list(own) for q, own in queues.items()}, dict.fromkeys(queues, Fraction(0)), []
+    while any(queues.values()):
+        for q in sorted(queues):
+            deficit[q] += quantum[q]
+            while queues[q] and queues[q][0][1] <= deficit[q]:
+                i, n = queues[q].pop(0)
+                deficit[q] -= n
+                order.append((i, n))
     return order
 
 
-def test_places_follow_the_rounds():
+def test_documents_are_served_by_rounds_and_deficits(spark):
     rng = random.Random(5)
-    for _ in range(40):
-        totals = [rng.randint(1, 60) for _ in range(rng.randint(1, 5))]
-        weights = [rng.choice([1, 2, 4, 8, 3, 5]) for _ in totals]
-        order = served_in_turn(totals, weights)
-        q, x = np.array([o[0] for o in order]), np.array([o[1] for o in order])
-        assert Mixture(totals, weights).place(q, x).tolist() == list(range(len(order)))
+    for k, shares in enumerate(({"a": 0.5, "b": 0.25, "c": 0.25}, {"a": 0.125, "b": 0.125, "c": 0.75})):
+        rows = [(i, " ".join("word" for _ in range(rng.choice([0, 1, 3, 20, 150]))), rng.choice("abc")) for i in range(120)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+        pieces = sorted(pack(docs, size=64, shares=shares).collect(), key=lambda p: (p.sequence_id, p.offset))
+        queues = defaultdict(list)
+        for i, text, source in rows:
+            queues[source].append((i, len(LIBRARY.encode(text, add_special_tokens=False).ids) + 1))
+        wanted = served_by_rounds(queues, {q: Fraction(64) * Fraction(s) for q, s in shares.items()})
+        assert [p.doc_id for p in pieces if p.start == 0] == [i for i, _ in wanted]
+        at = 0
+        for i, n in wanted:  # cut at the windows' ends alone
+            own = [p for p in pieces if p.doc_id == i]
+            assert own[0].sequence_id * 64 + own[0].offset == at and len(own) == (at + n - 1) // 64 - at // 64 + 1
+            at += n
 
 
 @settings(max_examples=200, deadline=None)
@@ -84,25 +96,33 @@ def test_query_packs_all_tokens(spark, data_dir):
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
     pieces = op7_packing(spark, data_dir).collect()
     by_window = check_pieces(rows, pieces, 2048)
-    source = {i: s for i, _, s in rows}
-    total, share = 0, defaultdict(int)
-    for p in pieces:
-        total += p.length
-        share[source[p.doc_id]] += p.length
-    for w in list(by_window)[: len(by_window) - 1]:
-        own = defaultdict(int)
+    # while all queues last, each stays within its quantum and a document of its target
+    source, n_of = {i: s for i, _, s in rows}, {p.doc_id: p.doc_tokens for p in pieces}
+    own = defaultdict(int)
+    for i, n in n_of.items():
+        own[source[i]] += n
+    total, longest = sum(own.values()), max(n_of.values())
+    weight = {s: (n / total) ** 0.7 for s, n in own.items()}
+    target = {s: w / sum(weight.values()) for s, w in weight.items()}
+    lasts = min(own[s] / target[s] for s in own)
+    served, share = 0, defaultdict(int)
+    for w in sorted(by_window):
         for p in by_window[w]:
-            own[source[p.doc_id]] += p.length
-        assert all(abs(own[s] - 2048 * share[s] / total) <= 3 for s in share)
+            share[source[p.doc_id]] += p.length
+            served += p.length
+        if served > lasts - len(own) * longest:
+            break
+        assert all(abs(share[s] - target[s] * served) <= 2048 + len(own) * longest for s in own)
 
 
 def test_shares_odd_rows_and_many_sources(spark):
     rows = [(i, None if i % 7 == 0 else ("word " * (i % 50)).strip(), None if i % 5 == 0 else f"s{i % 3}") for i in range(300)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, ids string").repartition(5)
-    for extra in ({"shares": {"s0": 0.7, "s1": 0.2, "s2": 0.1}}, {"max_queues": 2}):
+    for extra in ({"shares": {"s0": 0.7, "s1": 0.2}}, {"temper": 0.5}, {}):
         pieces = pack(docs, size=64, payload=F.crc32, payload_name="ids_crc32", **extra).collect()
         check_pieces(rows, pieces, 64)
     assert pack(docs.limit(0)).count() == 0
     twice = pack(docs.limit(3).union(docs.limit(3)), size=64)
     assert twice.groupBy("doc_id").sum("length").count() == 3
-    assert weights_for([1 << 44], [1.0]) == [1 << 17]
+    many = spark.createDataFrame([(i, "word " * (i % 7), f"site{i % 400}") for i in range(1200)], "doc_id long, text string, source string")
+    check_pieces([tuple(r) for r in many.collect()], pack(many, size=64, payload=F.crc32, payload_name="ids_crc32").collect(), 64)

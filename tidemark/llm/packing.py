@@ -1,11 +1,12 @@
 """Packing: mixture-controlled sequences by deficit round-robin over source queues.
 
-Every source is a queue of tokens. A queue of weight w earns w tokens' worth of service a round and
-is served a token whenever it has earned one; what it has earned beyond that is its deficit, which
-it carries on. So its token x (from 0) is served at virtual time (x + 1) / w, ties by queue, and the
-place of a token among all is a sum over queues of how many tokens each has been served by then,
-at most all it has. Window n holds places n * size to (n + 1) * size - 1. As deficits follow from
-the place, each partition starts with the right ones and no partition waits for another.
+Every source is a queue of documents. In each round a queue earns its quantum, its target part of a
+window's tokens, and serves whole documents from its head as long as what it has earned covers them; what
+is left is its deficit, which it carries on over rounds, windows and partitions. So with x tokens before
+it in its queue, a document of n tokens is served in round ceil((x + n) / quantum). Rounds follow each
+other, queues have a fixed order within one, and the stream of documents is cut where windows end. A
+document's place in the stream is the sum of all rounds before, which partitions find without waiting
+for each other.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, read_table, tokenizer_path
+from tidemark.llm.common import Scratch, read_table, tokenizer_path
 from tidemark.llm.token_counts import byte_symbols
 
-_QUEUED = "id {id}, queue string, part int, at long, n long, ids binary"
-_PIECE = "id {id}, start long, length long, doc_tokens long, sequence_id long, queue int, x long, ids binary"
-
+_QUEUED = "id {id}, queue string, part int, row long, at long, n long, ids binary"
+_PIECE = "id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+#: Rounds that one task sums up.
+ROUNDS_AT_ONCE = 4096
 
 _LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _WORD = re.compile(f"([{_LETTERS}]+)([,.;:!?#*$%&|<>]*)")
@@ -107,14 +109,14 @@ def known_chunks(tokenizer: str) -> tuple[_ChunkIds, np.dtype]:
     return _KNOWN[tokenizer]
 
 
-def queue_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str, max_queues: int) -> DataFrame:
-    """(id, queue, part, at, n, ids): identifiers of each row, and where they start in its queue within its task."""
+def queue_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(id, queue, part, row, at, n, ids): identifiers of each row, its number in its task, and where they start in its queue there."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, width = known_chunks(tokenizer)
         end, ends = np.array([end_id], width).tobytes(), {}
-        part = TaskContext.get().partitionId()
+        part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 some = batch.slice(low, 512)
@@ -127,74 +129,46 @@ def queue_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text
                     at.append(ends.get(q, 0))
                     ends[q] = at[-1] + more
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(2), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["id", "queue", "part", "at", "n", "ids"],
+                    [
+                        some.column(0), some.column(2), pa.array([part] * len(n), pa.int32()), pa.array(range(row, row + len(n)), pa.int64()),
+                        pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()),
+                    ],
+                    names=["id", "queue", "part", "row", "at", "n", "ids"],
                 )
+                row += len(n)
 
-    source = F.col(source_col).cast("string")
-    queue = F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
-    if docs.select(source.alias("s")).distinct().limit(max_queues + 1).count() > max_queues:
-        queue = F.pmod(F.xxhash64(queue), F.lit(max_queues)).cast("string")
+    queue = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     asked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), queue.alias("queue"))
-    return materialise(asked.mapInArrow(encoded, _QUEUED.format(id=kind)), "queued")
-
-
-class Mixture:
-    """Places of tokens under deficit round-robin. totals: tokens of each queue; weights: integers of 1 at least."""
-
-    def __init__(self, totals: list[int], weights: list[int]):
-        self.totals, self.weights = np.array(totals, np.int64), np.array(weights, np.int64)
-        self.order = np.arange(len(totals))
-
-    def served(self, queue: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Tokens of each queue that come before token x of a queue; a row for each pair asked."""
-        w = self.weights[queue][:, None]
-        due = (x + 1)[:, None] * self.weights
-        before = np.where(self.order < queue[:, None], due // w, (due - 1) // w)
-        before = np.minimum(before, self.totals)
-        before[np.arange(len(x)), queue] = x
-        return before
-
-    def place(self, queue: np.ndarray, x: np.ndarray) -> np.ndarray:
-        out = np.empty(len(x), np.int64)
-        step = max(1, 2_000_000 // max(1, len(self.totals)))
-        for i in range(0, len(x), step):
-            out[i : i + step] = self.served(queue[i : i + step], x[i : i + step]).sum(axis=1)
-        return out
-
-    def cuts(self, queue: np.ndarray, x0: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Runs [x0, x0 + n) cut where windows change: for each piece its run's index, its first x, its window."""
-        first, last = self.place(queue, x0) // size, self.place(queue, x0 + n - 1) // size
-        pieces = last - first + 1
-        run = np.repeat(np.arange(len(n)), pieces)
-        k = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        window = first[run] + k
-        low, high = x0[run].copy(), (x0 + n)[run]
-        low_fixed = k == 0
-        ask = np.flatnonzero(~low_fixed)
-        lo, hi = low[ask], high[ask]
-        while len(ask) and (lo < hi).any():  # the first x whose place is in the window or beyond
-            mid = (lo + hi) // 2
-            beyond = self.place(queue[run[ask]], mid) >= window[ask] * size
-            hi = np.where(beyond & (lo < hi), mid, hi)
-            lo = np.where(~beyond & (lo < hi), mid + 1, lo)
-        low[ask] = lo
-        return run, low, window
-
-
-def weights_for(totals: list[int], shares: list[float]) -> list[int]:
-    """Integer weights in proportion to shares, as fine as 64-bit products with the totals allow."""
-    bits = min(20, 62 - max(totals).bit_length())
-    if bits < 4:
-        raise ValueError("a queue has too many tokens; deal it out over several")
-    top = max(shares)
-    return [max(1, round(s / top * (1 << bits))) for s in shares]
+    return asked.mapInArrow(encoded, _QUEUED.format(id=kind))
+
+
+def quanta(totals: DataFrame, size: int, shares: dict[str, float] | None, temper: float) -> DataFrame:
+    """(queue, quantum) from (queue, total): tokens that each queue earns a round, `size` over all queues."""
+    if any(s <= 0 for s in (shares or {}).values()):
+        raise ValueError("shares must be above 0")
+    spark = totals.sparkSession
+    whole = totals.agg(F.sum("total")).first()[0] or 1
+    wanted = spark.createDataFrame([(f"s{k}", float(v)) for k, v in (shares or {}).items()], "queue string, share double")
+    weighed = totals.join(wanted, "queue", "left").select("queue", F.coalesce("share", F.pow(F.col("total") / whole, F.lit(temper))).alias("weight"))
+    every = weighed.agg(F.sum("weight")).first()[0] or 1.0
+    return weighed.select("queue", (F.col("weight") * (size / every)).alias("quantum"))
+
+
+def begins_of(rounds: DataFrame) -> DataFrame:
+    """(round, begin) from (round, n): tokens of all rounds before, summed within buckets of rounds and over buckets."""
+    bucket = F.floor(F.col("round") / ROUNDS_AT_ONCE).alias("bucket")
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("bucket").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
+    sum_of = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0).cast("long"))
+    buckets = rounds.groupBy(bucket).agg(F.sum("n").alias("n")).select("bucket", sum_of("n", earlier).alias("before"))
+    return rounds.withColumn("bucket", bucket).join(buckets, "bucket").select("round", (F.col("before") + sum_of("n", within)).alias("begin"))
 
 
 def pack(
     docs: DataFrame,
     size: int = 2048,
     shares: dict[str, float] | None = None,
+    temper: float = 1.0,
     tokenizer: str | None = None,
     end_id: int = 1,
     payload: Callable[[Column], Column] = lambda ids: ids,
@@ -202,68 +176,65 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    max_queues: int = 256,
 ) -> DataFrame:
     """Pieces of all rows in windows of `size` tokens: id, start, length, doc_tokens, sequence_id, offset and a payload.
 
     Each row's identifiers are those of its text by `tokenizer`, then `end_id` (null or empty text:
-    `end_id` alone); each lies in one piece. `shares` gives the target proportion of each source
-    (missing: the source's own part of all tokens); a queue that runs dry leaves its part to the
-    others, so only the last window is short. `payload` is a Column function of a piece's identifiers
-    (little-endian unsigned 32-bit). A null source is a queue of its own; more than `max_queues`
-    sources share queues by hash. Repeated rows and null ids are packed as they come. No rows: no
-    pieces. Driver and tasks hold one number a queue; the windows are dealt out by sequence_id, each
-    `size` tokens at most.
+    `end_id` alone); each lies in one piece. A source's weight is its part in `shares`, or else its own
+    part of all tokens to the power of `temper` (below 1 small sources come more often); its quantum is
+    `size` times its part of all weights. While all queues last, what a queue has been served stays
+    within its quantum and one document of what it has earned. A queue that runs dry leaves its part to
+    the others, so only the last window is short. `payload` is a Column function of a piece's identifiers
+    (little-endian unsigned 32-bit). A null source is a queue of its own; there may be any number of
+    sources. Repeated rows and null ids are packed as they come. No rows: no pieces. The order in a queue
+    is that of partitions and rows. Numbers alone are sorted, a round of them at a time; identifiers are
+    shuffled once, to meet their place.
     """
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    queued = queue_tokens(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), end_id, id_col, text_col, source_col, max_queues)
-    by_part = queued.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = materialise(by_part.withColumn("begin", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long"))), "begins")
-    totals = {r.queue: r.n for r in begins.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()}
-    names = list(totals)
-    wanted = [(shares or {}).get(q[1:], float(totals[q])) if shares is None or q[1:] in shares else min(shares.values()) for q in names]
-    mixture = Mixture(list(totals.values()), weights_for(list(totals.values()), wanted)) if names else Mixture([], [])
-    number = {q: k for k, q in enumerate(names)}
+    queued = scratch.write(queue_tokens(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), end_id, id_col, text_col, source_col), "queued")
+    numbers = queued.select("queue", "part", "row", "at", "n")
+    sum_before = lambda over: F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    by_part = numbers.groupBy("queue", "part").agg(F.sum("n").alias("n"))
+    begins = scratch.write(by_part.select("queue", "part", "n", sum_before(Window.partitionBy("queue").orderBy("part")).alias("begin")), "begins")
+    quantum = quanta(begins.groupBy("queue").agg(F.sum("n").alias("total")), size, shares, temper)
+    x = F.col("begin") + F.col("at")
+    served = numbers.join(begins.drop("n").join(quantum, "queue"), ["queue", "part"]).select("queue", "part", "row", "n", x.alias("x"), F.ceil((x + F.col("n")) / F.col("quantum")).alias("round"))
+    in_round = served.withColumn("before", sum_before(Window.partitionBy("round").orderBy("queue", "x")))
+    placed = in_round.join(begins_of(served.groupBy("round").agg(F.sum("n").alias("n"))), "round")
+    placed = scratch.write(placed.select("part", "row", (F.col("begin") + F.col("before")).alias("place")), "placed")
+    scratch.drop_but(queued, placed)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 2048):
                 batch = whole.slice(low, 2048)
-                queue = np.array([number[q] for q in batch.column(1).to_pylist()], np.int64)
-                x0, n, ids = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_pylist()
-                run, x, window = mixture.cuts(queue, x0, n, size)
-                after = np.append(x[1:], 0)
-                ends = np.append(run[1:] != run[:-1], True)
-                after = np.where(ends, (x0 + n)[run], after)
-                keep = after > x
-                run, x, window, after = run[keep], x[keep], window[keep], after[keep]
-                start = x - x0[run]
-                width = [np.dtype("<u2" if len(i) == 2 * k else "<u4") for i, k in zip(ids, n.tolist())]
-                wide = [np.frombuffer(i, w).astype("<u4") for i, w in zip(ids, width)]
-                cut_ids = [wide[r][s : s + k].tobytes() for r, s, k in zip(run.tolist(), start.tolist(), (after - x).tolist())]
+                n, ids, place = batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_numpy()
+                first = place // size
+                pieces = (place + n - 1) // size - first + 1
+                run = np.repeat(np.arange(len(n)), pieces)
+                window = np.repeat(first, pieces) + np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = np.maximum(0, window * size - place[run])
+                end = np.minimum(n[run], (window + 1) * size - place[run])
+                wide = [np.frombuffer(i, "<u2" if len(i) == 2 * k else "<u4").astype("<u4") for i, k in zip(ids, n.tolist())]
+                cut_ids = [wide[r][s:e].tobytes() for r, s, e in zip(run.tolist(), start.tolist(), end.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(run)), pa.array(start), pa.array(after - x), pa.array(n[run]), pa.array(window),
-                        pa.array(queue[run].astype(np.int32)), pa.array(x), pa.array(cut_ids, pa.binary()),
+                        batch.column(0).take(pa.array(run)), pa.array(start), pa.array(end - start), pa.array(n[run]), pa.array(window),
+                        pa.array(place[run] + start - window * size), pa.array(cut_ids, pa.binary()),
                     ],
-                    names=["id", "start", "length", "doc_tokens", "sequence_id", "queue", "x", "ids"],
+                    names=["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
                 )
 
-    placed = queued.join(begins.select("queue", "part", "begin"), ["queue", "part"])
-    placed = placed.select("id", "queue", (F.col("begin") + F.col("at")).alias("x"), "n", "ids")
-    pieces = placed.mapInArrow(cut, _PIECE.format(id=kind)).withColumn(payload_name, payload(F.col("ids")))
-    if payload_name != "ids":
-        pieces = pieces.drop("ids")
-    before = Window.partitionBy("sequence_id").orderBy("queue", "x").rowsBetween(Window.unboundedPreceding, -1)
-    out = pieces.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")))
-    return out.select(F.col("id").alias(id_col), "start", "length", payload_name, "doc_tokens", "sequence_id", "offset")
+    with_place = queued.select("id", "n", "ids", "part", "row").join(placed.hint("shuffle_hash"), ["part", "row"]).select("id", "n", "ids", "place")
+    pieces = with_place.mapInArrow(cut, _PIECE.format(id=kind)).withColumn(payload_name, payload(F.col("ids")))
+    return pieces.select(F.col("id").alias(id_col), "start", "length", payload_name, "doc_tokens", "sequence_id", "offset")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small sources come more often than they are: parts of all tokens to the power of 0.7."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return pack(docs, payload=F.crc32, payload_name="ids_crc32")
+    return pack(docs, temper=0.7, payload=F.crc32, payload_name="ids_crc32")
 
 
 QUERIES = {"op7_packing": op7_packing}
