@@ -5,7 +5,8 @@ from collections import Counter
 
 import numpy as np
 
-from tidemark.llm.lm_score import Hmm, expected_counts, log_likelihoods, op10_lm_score, score_documents
+from tidemark.llm import lm_score
+from tidemark.llm.lm_score import OWN, Hmm, by_length, ending_class, expected_counts, log_likelihoods, op10_lm_score, score_documents
 
 
 def random_hmm(rng, states, classes):
@@ -34,8 +35,38 @@ def test_likelihood_and_expected_counts_by_enumeration():
                 moves[a, b] += p / total
             for a, c in zip(path, s):
                 emits[a, c] += p / total
-    got = expected_counts(hmm, seqs)
-    assert all(np.allclose(a, b) for a, b in zip(got, (first, moves, emits)))
+    for bound in (1, 3, 7, 1000):
+        got = expected_counts(hmm, seqs, bound)
+        assert all(np.allclose(a, b) for a, b in zip(got, (first, moves, emits)))
+
+
+def plain_counts(hmm, seq):
+    """One uncut forward and backward recursion, a step at a time."""
+    alpha = [hmm.first * hmm.emits[:, seq[0]]]
+    alpha[0] /= alpha[0].sum()
+    for c in seq[1:]:
+        alpha.append((alpha[-1] @ hmm.moves) * hmm.emits[:, c])
+        alpha[-1] /= alpha[-1].sum()
+    beta, moves, emits = np.ones(len(hmm.first)), np.zeros_like(hmm.moves), np.zeros_like(hmm.emits)
+    for t in range(len(seq) - 1, -1, -1):
+        share = alpha[t] * beta
+        share /= share.sum()
+        emits[:, seq[t]] += share
+        if t:
+            both = alpha[t - 1][:, None] * hmm.moves * (hmm.emits[:, seq[t]] * beta)[None, :]
+            moves += both / both.sum()
+            beta = hmm.moves @ (hmm.emits[:, seq[t]] * beta)
+            beta /= beta.sum()
+    return share, moves, emits
+
+
+def test_long_texts_are_counted_uncut():
+    rng = np.random.default_rng(3)
+    hmm, seqs = random_hmm(rng, 4, 30), [rng.integers(0, 30, n) for n in (5000, 17, 1300)]
+    wanted = [sum(x) for x in zip(*(plain_counts(hmm, s) for s in seqs))]
+    for bound in (600, 100_000):
+        assert all(np.allclose(a, b) for a, b in zip(expected_counts(hmm, seqs, bound), wanted))
+    assert [len(s) for g in by_length(seqs, 5100) for s in g] == [5000, 1300, 17]
 
 
 def test_long_sequences_do_not_underflow():
@@ -95,3 +126,42 @@ def test_query_against_brute_force_and_held_out_gain(spark):
     gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
     print("log10 gain a token on held-out texts", gain)
     assert gain > 0.05
+
+
+def test_scores_equal_a_plain_forward_pass(spark, data_dir, monkeypatch):
+    """With the trained model at hand: states over classes word by word, and a word's part of its class."""
+    kept = {}
+
+    def trained(coded, class_counts, *more):
+        kept["hmm"], kept["counts"] = train(coded, class_counts, *more), class_counts
+        return kept["hmm"]
+
+    def held(vocabulary):
+        kept["top"] = held_words(vocabulary)
+        return kept["top"]
+
+    train, held_words = lm_score.train, lm_score.held_words
+    monkeypatch.setattr(lm_score, "train", trained)
+    monkeypatch.setattr(lm_score, "held_words", held)
+    monkeypatch.setattr(lm_score, "HELD_WORDS", 5000)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()]
+    got = {r.doc_id: r.score for r in op10_lm_score(spark, data_dir).collect()}
+    counts = Counter()
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update([*words(text), b""])
+    hmm, own = kept["hmm"], {bytes(w): k for k, w in enumerate(kept["top"].word[:OWN])}
+    of = lambda w: own[w] if w in own else ending_class(w)
+    tokens, kinds = Counter(), Counter()
+    for w, c in counts.items():
+        tokens[of(w)] += c
+        kinds[of(w)] += 1
+    for i, text in rows[:120]:
+        alpha, total = None, 0.0
+        for w in [*words(text), b""]:
+            k = of(w)
+            alpha = (hmm.first if alpha is None else alpha @ hmm.moves) * hmm.emits[:, k]
+            part = 1.0 if k < OWN else (counts[w] + 1) / (tokens[k] + kinds[k] + 1)
+            total += math.log10(alpha.sum() * part)
+            alpha = alpha / alpha.sum()
+        assert math.isclose(got[i], total, rel_tol=1e-6)

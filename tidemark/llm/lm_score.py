@@ -13,21 +13,22 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, read_table, words_of
+from tidemark.llm.common import Scratch, read_table, words_of
 
 #: Words that are classes of their own, classes of endings, bytes of an ending.
 OWN, ENDINGS, ENDING_BYTES = 4096, 1024, 3
 #: Most frequent words, at most, whose counts every task holds; counts of the others come by a join.
 HELD_WORDS = 65_536
 STATES, ROUNDS, SEED = 8, 5, 12
-#: Training sequences are cut to this many tokens; a piece starts as a text does. Scores use whole texts.
-TRAIN_TOKENS = 512
+#: Tokens that one recursion holds at once; what is longer goes in segments that carry the recursion on. Tokens that a task sorts by length.
+TOKENS_AT_ONCE, TOKENS_SORTED = 1_000_000, 8_000_000
 #: Words that a task counts before it hands them on.
 COUNT_BOUND = 500_000
 END = b""
@@ -60,19 +61,25 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class Classes(dict):
-    """Class of a word: its own number, or that of its ending."""
+def ending_class(word: bytes) -> int:
+    return OWN + zlib.crc32(word[-ENDING_BYTES:]) % ENDINGS
+
+
+class Codes(dict):
+    """A number for each word: its place among the held words, or behind them that of its ending's class."""
 
     def __init__(self, frequent: list[bytes], bound: int = 400_000):
         super().__init__()
-        self.own, self.bound = {w: k for k, w in enumerate(frequent[:OWN])}, bound
+        self.own, self.held, self.bound = {w: k for k, w in enumerate(frequent)}, len(frequent), bound + len(frequent)
         self.update(self.own)
+        #: Class of each number.
+        self.classes = np.array([k if k < OWN else ending_class(w) for k, w in enumerate(frequent)] + list(range(OWN, OWN + ENDINGS)), "<u2")
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.bound:
             self.clear()
             self.update(self.own)
-        k = self[word] = OWN + zlib.crc32(word[-ENDING_BYTES:]) % ENDINGS
+        k = self[word] = self.held + ending_class(word) - OWN
         return k
 
 
@@ -130,38 +137,82 @@ def log_likelihoods(hmm: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_counts(hmm: Hmm, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First states, moves and emissions that the sequences are expected to have (forward and backward)."""
+def segments_of(running: list[int], bound: int) -> list[tuple[int, int]]:
+    """Runs of steps [first, last) with `bound` tokens at most, or one step."""
+    out, first, held = [], 0, 0
+    for t, n in enumerate(running):
+        if held and held + n > bound:
+            out.append((first, t))
+            first, held = t, 0
+        held += n
+    return [*out, (first, len(running))]
+
+
+def expected_counts(hmm: Hmm, sequences: list[np.ndarray], bound: int = TOKENS_AT_ONCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First states, moves and emissions that the sequences are expected to have (forward and backward).
+
+    Where the sequences have more than `bound` tokens, the forward vectors are kept at the ends of
+    segments only and made again on the way back, so memory is bounded and counts are those of whole sequences.
+    """
     _, flat, running = lockstep(sequences)
     emits, states = np.ascontiguousarray(hmm.emits.T), len(hmm.first)
-    own, at = emits[flat], np.cumsum([0, *running])
-    alpha, scale = np.empty_like(own), np.empty(len(flat))
-    for t, n in enumerate(running):
-        now = slice(at[t], at[t] + n)
-        alpha[now] = (hmm.first if t == 0 else alpha[at[t - 1] : at[t - 1] + n] @ hmm.moves) * own[now]
-        scale[now] = alpha[now].sum(axis=1)
-        alpha[now] /= scale[now, None]
-    moves, share = np.zeros((states, states)), alpha.copy()
-    beta = np.ones((running[-1], states))
-    for t in range(len(running) - 1, 0, -1):
-        now, n = slice(at[t], at[t] + running[t]), running[t]
-        after = own[now] * beta / scale[now, None]
-        before = slice(at[t - 1], at[t - 1] + n)
-        moves += alpha[before].T @ after
-        beta = np.ones((running[t - 1], states))
-        beta[:n] = after @ hmm.moves.T
-        share[at[t - 1] : at[t]] *= beta
-    moves *= hmm.moves
-    emitted = np.stack([np.bincount(flat, share[:, s], hmm.emits.shape[1]) for s in range(states)])
-    return share[: running[0]].sum(axis=0), moves, emitted
-
-
-def pieces_of(packed: list[bytes], size: int) -> list[np.ndarray]:
-    out = []
-    for x in packed:
-        whole = np.frombuffer(x, "<u2")
-        out += [whole[k : k + size] for k in range(0, len(whole), size)]
-    return out
+    back, at = np.ascontiguousarray(hmm.moves.T), np.cumsum([0, *running])
+    segments = segments_of(running, bound)
+
+    def forward(first: int, last: int, alpha: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward vectors, scales and emissions of the steps [first, last); alpha: the vectors of the step before."""
+        base = at[first]
+        own = emits[flat[base : at[last]]]
+        out, scale = np.empty_like(own), np.empty(len(own))
+        for t in range(first, last):
+            n, low = running[t], at[t] - base
+            now = out[low : low + n]
+            if alpha is None:
+                np.multiply(own[low : low + n], hmm.first, out=now)
+            else:
+                np.matmul(alpha[:n], hmm.moves, out=now)
+                now *= own[low : low + n]
+            total = now.sum(axis=1)
+            scale[low : low + n] = total
+            now /= total[:, None]
+            alpha = now
+        return out, scale, own
+
+    starts: list[np.ndarray | None] = [None]
+    for first, last in segments[:-1]:
+        starts.append(forward(first, last, starts[-1])[0][at[last - 1] - at[first] :].copy())
+    moves, emitted, after = np.zeros((states, states)), np.zeros((states, hmm.emits.shape[1])), None
+    for (first, last), start in zip(reversed(segments), reversed(starts)):
+        alpha, scale, own = forward(first, last, start)
+        own /= scale[:, None]
+        for t in range(last - 1, first - 1, -1):
+            low = at[t] - at[first]
+            now = alpha[low : low + running[t]]  # becomes the states' shares, once the moves are counted
+            if after is None:
+                after = own[low : low + running[t]].copy()
+                continue
+            n = len(after)
+            moves += now[:n].T @ after
+            beta = after @ back
+            after = own[low : low + running[t]].copy()
+            now[:n] *= beta
+            after[:n] *= beta
+        for s in range(states):
+            emitted[s] += np.bincount(flat[at[first] : at[last]], alpha[:, s], hmm.emits.shape[1])
+    return alpha[: running[0]].sum(axis=0), moves * hmm.moves, emitted
+
+
+def by_length(sequences: list[np.ndarray], tokens: int) -> Iterator[list[np.ndarray]]:
+    """Groups of sequences of much the same length, the longest first; `tokens` in each at most, or one sequence."""
+    group, held = [], 0
+    for s in sorted(sequences, key=len, reverse=True):
+        if group and held + len(s) > tokens:
+            yield group
+            group, held = [], 0
+        group.append(s)
+        held += len(s)
+    if group:
+        yield group
 
 
 def train(coded: DataFrame, class_counts: np.ndarray, states: int = STATES, rounds: int = ROUNDS, seed: int = SEED) -> Hmm:
@@ -173,14 +224,22 @@ def train(coded: DataFrame, class_counts: np.ndarray, states: int = STATES, roun
         shared = context.broadcast(hmm)
 
         def counted(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            model, sums = shared.value, None
+            model, sums, held, tokens = shared.value, None, [], 0
+
+            def add() -> None:
+                nonlocal sums, held, tokens
+                for some in by_length(held, TOKENS_AT_ONCE):
+                    new = expected_counts(model, some)
+                    sums = new if sums is None else tuple(a + b for a, b in zip(sums, new))
+                held, tokens = [], 0
+
             for batch in batches:
-                packed = batch.column(0).to_pylist()
-                for low in range(0, len(packed), 1024):
-                    some = pieces_of(packed[low : low + 1024], TRAIN_TOKENS)
-                    for k in range(0, len(some), 4096):
-                        new = expected_counts(model, some[k : k + 4096])
-                        sums = new if sums is None else tuple(a + b for a, b in zip(sums, new))
+                for x in batch.column(0).to_pylist():
+                    held.append(np.frombuffer(x, "<u2"))
+                    tokens += len(held[-1])
+                    if tokens >= TOKENS_SORTED:
+                        add()
+            add()
             if sums is not None:
                 flat = np.concatenate([x.ravel() for x in sums])
                 there = np.flatnonzero(flat)
@@ -201,34 +260,33 @@ def encode(docs: DataFrame, frequent: list[bytes], counts: np.ndarray) -> DataFr
     docs: (row, id, held_out, text); `counts` go with `frequent`, the end token among them.
     """
     kind = docs.schema["id"].dataType.simpleString()
-    logs = dict(zip(frequent, np.log10(counts + 1.0).tolist()))
+    values = np.concatenate([np.log10(counts + 1.0), np.zeros(ENDINGS)])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, end = Classes(frequent), Classes(frequent)[END]
+        codes = Codes(frequent)
         for whole in batches:
-            for low in range(0, whole.num_rows, 1024):
-                batch = whole.slice(low, 1024)
-                n, held, ending, known, packed, rare = [], [], [], [], [], []
-                for text in batch.column(2).to_pylist():
-                    words = words_of(text)
-                    own = np.fromiter(map(classes.__getitem__, words), np.uint16, len(words))
-                    there = [logs.get(w) for w in words]
-                    other = [w for w, x in zip(words, there) if x is None]
-                    values = np.array([0.0 if x is None else x for x in there])
-                    n.append(len(words) + 1)
-                    held.append(float(values.sum()) + logs.get(END, 0.0))
-                    ending.append(float(values[own >= OWN].sum()) + (logs.get(END, 0.0) if end >= OWN else 0.0))
-                    known.append(len(words) - len(other) + (END in logs))
-                    packed.append(np.append(own, np.uint16(end)).astype("<u2").tobytes())
-                    rare.append(other)
+            for low in range(0, whole.num_rows, 512):
+                batch = whole.slice(low, 512)
+                split = [[*words_of(text), END] for text in batch.column(2).to_pylist()]
+                n = np.array([len(words) for words in split])
+                begins = np.cumsum(n) - n
+                own = np.fromiter(map(codes.__getitem__, chain.from_iterable(split)), np.int64, n.sum())
+                classes, logs, known = codes.classes[own], values[own], own < codes.held
+                packed = [classes[b : b + k].tobytes() for b, k in zip(begins.tolist(), n.tolist())]
+                rare: list[list[bytes]] = [[] for _ in split]
+                others = np.flatnonzero(~known)
+                doc = np.searchsorted(begins, others, "right") - 1
+                for d, k in zip(doc.tolist(), (others - begins[doc]).tolist()):
+                    rare[d].append(split[d][k])
+                sums = [np.add.reduceat(x, begins) for x in (known.astype(np.int64), logs, np.where(classes >= OWN, logs, 0.0))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(held), pa.array(ending), pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.binary()))],
+                    [batch.column(0), batch.column(1), pa.array(n), *map(pa.array, sums), pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.binary()))],
                     names=["id", "held_out", "n_tokens", "known", "held_log", "ending_log", "classes", "rare"],
                 )
 
     out = f"id {kind}, held_out boolean, n_tokens long, known long, held_log double, ending_log double, classes binary, rare array<binary>"
     # the number is made before the rows are written, so it stays what it is
-    return materialise(docs.select("id", "held_out", "text").mapInArrow(encoded, out).withColumn("row", F.monotonically_increasing_id()), "coded")
+    return docs.select("id", "held_out", "text").mapInArrow(encoded, out).withColumn("row", F.monotonically_increasing_id())
 
 
 def likelihoods(coded: DataFrame, hmm: Hmm, class_logs: np.ndarray) -> DataFrame:
@@ -256,26 +314,27 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Scores of every row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Training texts are those not held out (`held_out_column`); all of them are counted and trained
-    on. Tokens are the words, A-Z lower-cased, and one end; null and empty texts are an end alone.
+    on, as whole sequences. Tokens are the words, A-Z lower-cased, and one end; null and empty texts are an end alone.
     base_score adds log10((c + 1) / (N + V + 1)); score is the model's log10 probability. Repeated
     rows are counted and scored as they come. Without training rows every token is unknown. What
     driver and tasks hold is bounded by OWN, ENDINGS, HELD_WORDS and `states`; counts of all other words
     are joined to the texts' words, which are no hot keys, as each is rarer than HELD_WORDS others.
     """
     asked = docs.select(F.col(id_col).alias("id"), held_out_column(F.col(id_col)).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
-    vocabulary = materialise(count_words(asked.where("not held_out")), "vocabulary")
+    scratch = Scratch(docs.sparkSession)
+    vocabulary = scratch.write(count_words(asked.where("not held_out")), "vocabulary")
     top = held_words(vocabulary)
     frequent, counts = [bytes(w) for w in top.word], top.c.to_numpy(np.int64) if len(top) else np.zeros(0, np.int64)
     tokens, distinct = (x or 0 for x in vocabulary.agg(F.sum("c"), F.count("*")).first())
     class_counts, class_words = class_totals(vocabulary, frequent)
-    coded = encode(asked, frequent, counts)
+    coded = scratch.write(encode(asked, frequent, counts), "coded")
     hmm = train(coded.where("not held_out"), class_counts + 1e-6, states, rounds, seed)
     class_logs = np.zeros(OWN + ENDINGS)
     class_logs[OWN:] = np.log10(class_counts[OWN:] + class_words[OWN:] + 1)
-    chain = likelihoods(coded, hmm, class_logs)
+    scored = likelihoods(coded, hmm, class_logs)
     rare = coded.select("row", F.explode("rare").alias("word")).join(vocabulary, "word")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("rare_log"), F.count("*").alias("rare_known"))
-    joined = chain.join(rare, "row", "left")
+    joined = scored.join(rare, "row", "left")
     rare_log, rare_known = F.coalesce("rare_log", F.lit(0.0)), F.coalesce("rare_known", F.lit(0).cast("long"))
     return joined.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + rare_known).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
@@ -305,10 +364,10 @@ def class_totals(vocabulary: DataFrame, frequent: list[bytes]) -> tuple[np.ndarr
     """Training tokens and distinct words of each class."""
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(frequent)
+        codes = Codes(frequent)
         sums = np.zeros((2, OWN + ENDINGS), np.int64)
         for batch in batches:
-            own = np.array([classes[w] for w in batch.column(0).to_pylist()], np.int64)
+            own = codes.classes[np.array([codes[w] for w in batch.column(0).to_pylist()], np.int64)]
             np.add.at(sums[0], own, batch.column(1).to_numpy())
             np.add.at(sums[1], own, 1)
         there = np.flatnonzero(sums[1])
