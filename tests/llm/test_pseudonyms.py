@@ -1,6 +1,8 @@
 import datetime
+import hashlib
 import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -28,6 +30,86 @@ def test_permutations_are_one_to_one(spark):
     assert len(set(got)) == 2600 and all(re.fullmatch(r"\d\d-[a-z]", w) for w in got)
 
 
+def hash_number(*parts, digits=15):
+    return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:digits], 16)
+
+
+def plain_number(value, side, key, label):
+    """The permutation of numbers, written again: halves in turn, each moved by a hash of the other."""
+    left, right = divmod(value, side)
+    for k in range(1, 9):
+        left, right = right, (left + hash_number(key, label, k, right)) % side
+    return left * side + right
+
+
+def plain_characters(text, key, label, alphabets=(string.digits, string.ascii_lowercase, string.ascii_uppercase)):
+    def moved(part, other, k):
+        out = ""
+        for i, c in enumerate(part):
+            letters = next((a for a in alphabets if c in a), None)
+            out += c if letters is None else letters[(letters.index(c) + hash_number(key, label, k, other, i, digits=12)) % len(letters)]
+        return out
+
+    left, right = text[: len(text) // 2], text[len(text) // 2 :]
+    for k in range(1, 9):
+        if k % 2:
+            left = moved(left, right, k)
+        else:
+            right = moved(right, left, k)
+    return left + right
+
+
+def put(template, digits):
+    rest = iter(digits)
+    return "".join(next(rest) if c.isdigit() else c for c in template)
+
+
+def plain_pseudonym(v, key):
+    """What becomes of a valid value, by kind, in plain Python."""
+    digits = re.sub(r"\D", "", v)
+    if "@" in v:
+        name, domain = v.split("@")
+        rest, top = domain.rsplit(".", 1)
+        return plain_characters(name, key, "name") + "@" + plain_characters(rest, key, "domain") + "." + top
+    if re.fullmatch("[0-9a-f]{20,}|[0-9A-F]{20,}", v):
+        return plain_characters(v, key, "secret", ("0123456789" + ("abcdef" if re.search("[a-f]", v) else "ABCDEF"),))
+    if v.startswith("+"):
+        code = re.match(r"\+(?:1|7|[2-9][0-9]?)", v)[0]
+        return code + put(v[len(code) :], plain_characters(re.sub(r"\D", "", v[len(code) :]), key, "phone", (string.digits,)))
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", v):
+        return put(v, plain_characters(digits, key, "national_id", (string.digits,)))
+    if re.fullmatch(r"(\d+\.){3}\d+", v):
+        a, b, c, d = map(int, v.split("."))
+        n = plain_number(((a * 256 + b) * 256 + c) * 256 + d, 1 << 16, key, "machine")
+        return ".".join(str(n >> k & 255) for k in (24, 16, 8, 0))
+    if len(digits) >= 13:
+        body = plain_characters(digits[:-1], key, "card", (string.digits,))
+        return put(v, body + next(str(d) for d in range(10) if luhn(body + str(d))))
+    form = "%Y-%m-%d" if "-" in v else "%d.%m.%Y" if "." in v else "%d/%m/%Y"
+    first = datetime.date(1850, 1, 1)
+    day = first + datetime.timedelta(plain_number((datetime.datetime.strptime(v, form).date() - first).days, 302, key, "date"))
+    if form[1] == "Y" or re.match(r"\d\d\D\d\d\D", v):
+        return day.strftime(form)
+    return f"{day.day}{form[2]}{day.month}{form[2]}{day.year}"
+
+
+def test_values_against_a_plain_permutation(spark):
+    rng = random.Random(12)
+    values = [*VALID, card(rng), card(rng, 15), card(rng, 19), "+49 30 1234 5678", "8.8.4.4", "FFFF0000FFFF0000FFFF1", "09/11/2001", "1999-12-31", "x@y.co"]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", pseudonym(F.col("v"), "some key").alias("p")).collect()
+    for r in got:
+        assert r.p == plain_pseudonym(r.v, "some key"), r
+
+
+def test_a_key_is_needed(spark):
+    for key in ("", None):
+        try:
+            pseudonymise(spark.range(1).withColumn("text", F.lit("x")), key)
+            raise AssertionError("no key was taken")
+        except ValueError:
+            pass
+
+
 def test_dates_stay_dates_and_differ(spark):
     days = spark.range(0, 302 * 302, 7).select(F.date_format(F.date_add(F.lit("1850-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
     got = [r[0] for r in days.select(date_pseudonym(F.col("d"), "k")).collect()]
@@ -60,15 +142,16 @@ def test_texts_against_brute_force(spark):
     texts = [None, "", "plain", f"{card(rng)} {card(rng)}", "9" * 50_000]
     for _ in range(80):
         texts.append(rng.choice(["", " ", "\n"]).join(f"{rng.choice(['', ' ', ', ', chr(34), '(', 'é'])}{rng.choice(values)}{rng.choice(['', '.', ' ', ')', '!!', 'ß'])}" for _ in range(rng.randint(0, 6))))
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_dates string").repartition(3)
+    docs = spark.createDataFrame([(i, t, "x", "a", "b") for i, t in enumerate(texts)], "doc_id long, text string, n_dates string, __values string, __new string").repartition(3)
     found = [re.findall(f"({ANY})", t or "") for t in texts]
     every = sorted({v for f in found for v in f})
-    new = {r.v: r.p for r in spark.createDataFrame([(v,) for v in every], "v string").select("v", pseudonym(F.col("v")).alias("p")).collect()}
-    got = {r.doc_id: r for r in pseudonymise(docs).collect()}
+    new = {r.v: r.p for r in spark.createDataFrame([(v,) for v in every], "v string").select("v", pseudonym(F.col("v"), "k").alias("p")).collect()}
+    got = {r.doc_id: r for r in pseudonymise(docs, "k").collect()}
+    assert all(r["__values"] == "a" and r["__new"] == "b" for r in got.values())
     for i, text in enumerate(texts):
         assert got[i].text == (None if text is None else re.sub(f"({ANY})", lambda m: new[m[0]], text)), text
         assert got[i].n_values == sum(new[v] != v for v in found[i])
-    assert pseudonymise(docs.limit(0)).count() == 0
+    assert pseudonymise(docs.limit(0), "k").count() == 0
 
 
 def test_query_leaves_clean_texts_alone(spark, data_dir):

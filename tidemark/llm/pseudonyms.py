@@ -13,6 +13,8 @@ splits the same way.
 
 from __future__ import annotations
 
+import secrets
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +25,8 @@ from tidemark.llm.common import read_table
 ROUNDS = 8
 #: A control character that marks places while a text is put together again.
 MARK = "\x02"
-KEY = "tidemark"
+#: The setting of a session that holds the key of `op5_pseudonyms`.
+KEY_SETTING = "spark.tidemark.pseudonyms.key"
 #: Days that dates are permuted among: a square number of them from 1850-01-01 on, so that no walking is needed.
 FIRST_DAY, DAY_SIDE = "1850-01-01", 302
 
@@ -225,7 +228,7 @@ def kind_of(value: Column) -> Column:
     )
 
 
-def pseudonym(value: Column, key: str = KEY) -> Column:
+def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of a found value, itself where validation fails."""
     kind = kind_of(value)
     return (
@@ -240,35 +243,41 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """`docs` with the personal values of `text_col` replaced, and `n_numbers`, `n_dates`, `n_values` (replacing columns so named).
 
-    n_numbers counts cards, national ids, telephone numbers and machine addresses, n_dates dates,
+    `key` is the caller's secret: who has it can turn pseudonyms back, and equal keys give equal pseudonyms
+    in all runs. n_numbers counts cards, national ids, telephone numbers and machine addresses, n_dates dates,
     n_values all that was replaced, mail addresses and secrets included. Null texts stay null with
     counts of 0; empty texts stay empty. Values that fail validation, and dates outside 1850-01-01
     to 2099-09-14, stay. Every row is treated by itself: no shuffle, repeated rows come out alike,
-    an empty table stays empty. Texts without a digit or @ skip the search.
+    an empty table stays empty, other columns stay whatever their names. Texts without a digit or @ skip the search.
     """
+    if not key:
+        raise ValueError("a key is needed: without one every reader could turn pseudonyms back")
+    values, kinds, new = (f"{name}-{uuid.uuid4().hex}" for name in ("values", "kinds", "new"))
     text = F.col(text_col)
     likely = text.rlike("[0-9@]")
     found = F.when(likely, F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    out = docs.withColumn("__values", found)
-    out = out.withColumn("__kinds", F.transform("__values", kind_of)).withColumn("__new", F.transform("__values", lambda v: pseudonym(v, key)))
+    out = docs.withColumn(values, found)
+    out = out.withColumn(kinds, F.transform(values, kind_of)).withColumn(new, F.transform(values, lambda v: pseudonym(v, key)))
     # the gaps between the values, in order, with the new values put in between
     marked = F.regexp_replace(F.regexp_replace(text, MARK, MARK + "~"), f"({ANY})", MARK + "|")
     gaps = F.split(marked, MARK + "[|]", -1)
-    rebuilt = F.array_join(F.zip_with(gaps, F.concat("__new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    changed = F.exists("__kinds", lambda k: k.isNotNull())
-    count = lambda *kinds: F.size(F.filter("__kinds", lambda k: k.isin(*kinds))).cast("long")
+    rebuilt = F.array_join(F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    changed = F.exists(kinds, lambda k: k.isNotNull())
+    count = lambda *some: F.size(F.filter(kinds, lambda k: k.isin(*some))).cast("long")
     return out.withColumns({
         text_col: F.when(changed, F.regexp_replace(rebuilt, MARK + "~", MARK)).otherwise(text),
         "n_numbers": count("card", "national_id", "phone", "machine"), "n_dates": count("date"),
-        "n_values": F.size(F.filter("__kinds", lambda k: k.isNotNull())).cast("long"),
-    }).drop("__values", "__kinds", "__new")
+        "n_values": F.size(F.filter(kinds, lambda k: k.isNotNull())).cast("long"),
+    }).drop(values, kinds, new)
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """All documents under the session's key; a session that sets none gets a random one for the run."""
+    key = spark.conf.get(KEY_SETTING, None) or secrets.token_hex(16)
+    return pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
 QUERIES = {"op5_pseudonyms": op5_pseudonyms}
