@@ -7,10 +7,12 @@ together again by position.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_SEPARATORS, materialise, read_table
+from tidemark.llm.common import WORD_SEPARATORS, Scratch, read_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,35 +51,35 @@ def dedup_lines(
     Counting shuffles 16 bytes of hash and the id per line, partly summed before the shuffle, so one
     line in a third of the documents is no hot group; texts are shuffled once, by id.
     """
+    scratch, own, dropped, kept_lines = Scratch(docs.sparkSession), *(f"{name}-{uuid.uuid4().hex}" for name in ("id", "dropped", "kept"))
     seen = (
         docs.where(F.col(id_col).isNotNull())
         .select(F.col(id_col).alias("id"), F.explode(F.array_distinct(_counting_lines(F.col(text_col), min_chars))).alias("h"))
         .select("id", "h.h1", "h.h2")
     )
-    seen = materialise(seen, "lines")  # read twice; hashing the lines is the dear part
+    seen = scratch.write(seen, "lines")  # read twice; hashing the lines is the dear part
     # rows bound the distinct ids from above; the exact count follows on what is left
     frequent = seen.groupBy("h1", "h2").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_docs).select("h1", "h2")
     # written, so that the join has nothing above it that needs a key's rows together and a hot key can be split
-    hits = materialise(seen.join(frequent, ["h1", "h2"]), "hits")
+    hits = scratch.write(seen.join(frequent, ["h1", "h2"]), "hits")
+    scratch.drop(seen)
     shared = (
         hits.distinct().groupBy("h1", "h2").agg(F.count("*").alias("ids"), F.max("id").alias("keeper")).where(F.col("ids") >= min_docs)
     )
-    dropped = (
-        hits.join(shared, ["h1", "h2"]).where(F.col("id") != F.col("keeper")).groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("__dropped"))
-    )
-    joined = docs.join(dropped.withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id"), "left")
+    gone = hits.join(shared, ["h1", "h2"]).where(F.col("id") != F.col("keeper")).groupBy(F.col("id").alias(own)).agg(F.collect_set(F.struct("h1", "h2")).alias(dropped))
+    joined = docs.join(gone, F.col(id_col) == F.col(own), "left")
     lines = lines_of(F.col(text_col))
     kept = F.when(
-        F.col("__dropped").isNotNull(),
+        F.col(dropped).isNotNull(),
         F.filter(
             lines,
             lambda line: (F.char_length(F.btrim(line, F.lit(WORD_SEPARATORS))) < min_chars)
-            | ~F.array_contains(F.col("__dropped"), _hashed(line_key(line))),
+            | ~F.array_contains(F.col(dropped), _hashed(line_key(line))),
         ),
     ).otherwise(lines)
-    out = joined.withColumns({"n_lines": F.size(lines).cast("long"), "__kept": kept})
-    out = out.withColumns({"n_dropped": F.col("n_lines") - F.size("__kept"), text_col: F.array_join("__kept", "\n")})
-    return out.drop("__id", "__dropped", "__kept")
+    out = joined.withColumns({"n_lines": F.size(lines).cast("long"), kept_lines: kept})
+    out = out.withColumns({"n_dropped": F.col("n_lines") - F.size(kept_lines), text_col: F.array_join(kept_lines, "\n")})
+    return out.drop(own, dropped, kept_lines)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
