@@ -6,26 +6,29 @@ from tidemark.operators.offload import canvas_budget
 
 def greedy(items, budget):
     used, chosen = 0, []
-    for _, name, full, short in sorted((-m, f, full, short) for f, m, full, short in items):
-        for size, form in ((full, "full"), (short, "short")):
+    for name, full, short in sorted(items, reverse=True):
+        for size, form in ((full, ""), (short, "(meta)")):
             if used + size <= budget:
                 used += size
-                chosen.append(f"{name}:{form}")
+                chosen.insert(0, name + form)
                 break
     return used, chosen
 
 
 def test_canvas_budget_is_greedy(spark):
     rng = random.Random(2)
-    rows = [(f"a{i % 5}", f"f{i}", rng.randrange(50), rng.randint(1, 90), rng.randint(1, 30)) for i in range(90)]
-    got = {r.agent: (r.used, r.chosen) for r in canvas_budget(spark.createDataFrame(rows, "agent string, filename string, mtime_ms long, full long, short long"), 120).collect()}
+    rows = [(f"a{i % 5}", f"{rng.randrange(20):03d}-x{i}", rng.random() < 0.1, rng.randint(1, 90), rng.randint(1, 30)) for i in range(90)]
+    deleted = [(f"a{i % 5}", f"{i:03d}-N2") for i in range(0, 20, 2)] + [("a0", ""), ("a1", None)]
+    got = {r.agent: (r.used, r.chosen) for r in canvas_budget(spark.createDataFrame(rows, "agent string, filename string, is_active boolean, full long, short long"), spark.createDataFrame(deleted, "agent string, node_id string"), 120).collect()}
+    assert got
     for a in got:
-        assert got[a] == greedy([r[1:] for r in rows if r[0] == a], 120)
+        own = {n[:3] for k, n in deleted if k == a and n}
+        assert got[a] == greedy([(r[1], *r[3:]) for r in rows if r[0] == a and not r[2] and r[1][:3] in own], 120)
 
 
 def test_estimates():
     assert estimate("") == 0 and estimate(None) == 0 and estimate(" ") == 1
     assert estimate("the cat") == 2 and estimate("12,345") == 3 and estimate("3.14") == 3 and estimate("1234567890") == 4
     assert estimate("日本語") == 4 and estimate("你") == 1 and estimate("ひらがな") == 4 and estimate("안녕") == 3
-    assert estimate("don't") == 1 and estimate("a\nb") == 3 and estimate("🙂") == 3
+    assert estimate("don't") == 1 and estimate("a\nb") == 3 and estimate("🙂") == 5 and estimate("🙂" * 10) == 50
     assert estimate("été " * 60) == 60 and estimate("élémentaire " * 60) == 192

@@ -45,6 +45,14 @@ def test_transcripts(spark, tmp_path):
     assert [(r.user, r.assistant) for r in R.last_turns(rows).collect()] == [("four", "five")]
 
 
+def test_transcripts_as_documents(spark, tmp_path):
+    two = [{"role": "user", "content": "one"}, {"type": "assistant_message", "message": {"text": "two"}}]
+    for name, text in (("list", json.dumps(two)), ("spread", json.dumps(two, indent=2)), ("object", json.dumps({"conversation": two})), ("open", json.dumps({"transcript": two}, indent=1)), ("inner", json.dumps({"message": two[0]}) + "\n" + json.dumps({"speaker": "ai", "text": "two"}))):
+        write(tmp_path / name / "t.json", text)
+        rows = R.read_transcripts(spark, str(tmp_path / name)).orderBy("pos").collect()
+        assert [(r.role, r.content) for r in rows] == [("user", "one"), ("assistant", "two")], name
+
+
 def test_tolerant_lines(spark, tmp_path):
     good = {"tool_call_id": "c1", "summary": "s", "score": 3}
     write(tmp_path / "e.jsonl", json.dumps(good) + "\n" + json.dumps({"summary": "no id"}) + "\n{broken\n" + '{"tool_call_id": "c\x0b2"}' + "\n")
@@ -61,7 +69,7 @@ def test_scenes_export_migrate_payloads(spark, tmp_path):
     got = R.read_scenes(spark, str(tmp_path / "scenes")).first()
     assert (got.filename, got.heat, got.content) == ("a.md", 7, "body")
     df = spark.createDataFrame([(1, [0.1])], "id long, vector array<double>")
-    assert [tuple(r) for r in R.export({"l1": df}, str(tmp_path / "export")).collect()] == [("l1", 1)]
+    assert [tuple(r) for r in R.export({"l1": df}, str(tmp_path / "export")).collect()] == [("l1", 1), ("total", 1)]
     assert spark.read.json(str(tmp_path / "export/l1")).columns == ["id"]
     assert R.migrate(df, str(tmp_path / "target"), spark)
     try:

@@ -1,9 +1,10 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from tidemark.operators.sessions import batches
-from tidemark.streaming.capture import capture, idle_windows, once_per_call, round_batches
+from tidemark.streaming.capture import capture, idle_windows, newer_than_cursor, once_per_call, round_batches
 
 
 def stream_of(spark, frames, path):
@@ -48,3 +49,25 @@ def test_idle_windows_and_single_calls(spark, tmp_path):
     calls = stream_of(spark, [frame(0, 2, 1), frame(4, 3)], str(tmp_path / "in2"))
     run(once_per_call(calls), "calls", str(tmp_path / "c2"))
     assert sorted(r.tool_call_id for r in spark.table("calls").collect()) == ["c0", "c1"]
+
+
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    """After the time without rows a session's cursor is gone, and older rows are taken again."""
+    kind = "session_key string, timestamp long"
+    frames = [spark.createDataFrame([("a", 10)], kind), spark.createDataFrame([("a", 5)], kind)]
+    frames[0].coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = newer_than_cursor(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), 1).writeStream.format("memory").queryName("forgot").option("checkpointLocation", str(tmp_path / "c")).start()
+    def until(n):
+        for _ in range(120):
+            if len(rows := spark.table("forgot").collect()) >= n:
+                return sorted(r.timestamp for r in rows)
+            time.sleep(0.5)
+        return None
+
+    try:
+        assert until(1) == [10]
+        time.sleep(3)
+        frames[1].coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        assert until(2) == [5, 10]
+    finally:
+        q.stop()

@@ -12,24 +12,28 @@ DEFAULT_PRIORITY, DEFAULT_SCORE, DEFAULT_SCENE = 50, 5, ""
 
 
 def parse(text: Column, schema: str) -> Column:
-    """The value of `schema`, raw control characters allowed inside strings; null where it can't be read."""
+    """The value of `schema`; null where it can't be read.
+
+    Raw control characters inside strings are taken as they are; only a text that can't be read so loses the rare ones.
+    """
     options = {"allowUnquotedControlChars": "true", "mode": "PERMISSIVE"}
-    return F.from_json(text, schema, options)
+    return F.coalesce(F.from_json(text, schema, options), F.from_json(F.regexp_replace(text, RARE_CONTROL, ""), schema, options))
 
 
-def candidates(text: Column) -> list[Column]:
-    """Texts to try in order: as it is, in a code fence, between outer braces, without trailing commas, between outer brackets."""
-    clean = F.regexp_replace(text, RARE_CONTROL, "")
+def candidates(text: Column, listed: bool) -> list[Column]:
+    """Texts to try in order: as it is, in a code fence, between outer brackets where a list is wanted, between outer braces, and each without trailing commas."""
+    clean = text
     fenced = F.regexp_extract(clean, r"(?s)```(?:json)?\s*\n?(.*?)```", 1)
     braces, brackets = F.regexp_extract(clean, r"(?s)(\{.*\})", 1), F.regexp_extract(clean, r"(?s)(\[.*\])", 1)
     no_commas = lambda c: F.regexp_replace(c, r",\s*([}\]])", "$1")
-    return [clean, fenced, braces, no_commas(braces), brackets, no_commas(brackets)]
+    ends = [brackets, braces] if listed else [braces, brackets]
+    return [clean, fenced, *(x for c in ends for x in (c, no_commas(c)))]
 
 
 def extract(text: Column, schema: str) -> Column:
     """The first candidate that parses to something; arrays must have items."""
     found = []
-    for c in candidates(text):
+    for c in candidates(text, schema.startswith("array")):
         value = parse(c, schema)
         found.append(F.when((F.trim(c) != "") & value.isNotNull() & _some(value, schema), value))
     return F.coalesce(*found)

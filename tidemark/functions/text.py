@@ -66,6 +66,11 @@ CJK = r"[一-鿿぀-ヿ가-힯]"
 FOLD_FROM, FOLD_TO = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
+# How a text asks for a persona update.
+PERSONA_BLOCK = r"(?s)\[PERSONA_UPDATE_REQUEST\]\s*(?:reason:\s*)?(.+?)\s*\[/PERSONA_UPDATE_REQUEST\]"
+PERSONA_INLINE = r"PERSONA_UPDATE_REQUEST:\s*(.+?)(?:\n|$)"
+
+
 def trim_all(c: Column) -> Column:
     """Without white space of any script at both ends."""
     return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
@@ -162,6 +167,14 @@ def word_set(c: Column) -> Column:
     return F.array_distinct(F.concat(latin, cjk, F.coalesce(pairs, F.array().cast("array<string>"))))
 
 
+def persona_signal(c: Column) -> Column:
+    """The reason of a persona update that a text asks for, from a block or else inline; null where there is none."""
+    block = F.regexp_extract(c, PERSONA_BLOCK, 1)
+    inline = F.regexp_extract(c, PERSONA_INLINE, 1)
+    some = lambda x: F.when(x != "", trim_all(x))
+    return F.coalesce(some(block), some(inline))
+
+
 def escape_tags(c: Column) -> Column:
     return F.regexp_replace(c, CONTEXT_TAGS, "&lt;$1&gt;")
 

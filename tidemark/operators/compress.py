@@ -1,97 +1,70 @@
-"""Emergency compression of conversations and the refresh schedule of sessions: folds that depend on order."""
+"""Emergency compression of conversations, and the refresh schedule of sessions as a fold in order of time."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the cuts and of the schedule.
-KEEP, MOST_AT_ONCE, LEAST_TO_TRUNCATE, STUB_TOKENS = 2, 0.5, 600, 30
+KEEP, LEAST_TO_TRUNCATE, STUB_TOKENS = 2, 600, 30
 DELAY_MS, MIN_MS, MAX_MS, ACTIVE_MS = 10_000, 900_000, 3_600_000, 86_400_000
 
-MESSAGE = "conv_id long, turn long, role string, tokens long, tool_ids array<string>, is_result boolean"
-
-
-def _last_user(rows: list[dict]) -> int:
-    return max((i for i, r in enumerate(rows) if r["role"] == "user"), default=-1)
-
-
-def _head(rows: list[dict], now: int, target: int) -> int:
-    """Messages to take from the head: a share as large as the excess, results along, not the last user row."""
-    room = len(rows) - KEEP
-    n = min(max(1, math.ceil(len(rows) * min(MOST_AT_ONCE, (now - target) / now))), room)
-    while n < room and rows[n]["is_result"]:
-        n += 1
-    user = _last_user(rows)
-    return n if user < 0 or n <= user else user
-
-
-def _groups(rows: list[dict]) -> list[list[int]]:
-    """What can go together behind the head: a call with its results, then lone results, then answers."""
-    user, last, taken, out = _last_user(rows), len(rows) - 1, set(), []
-    for i, r in enumerate(rows):
-        if i == 0 or i == user or r["is_result"] or not r["tool_ids"] or i in taken:
-            continue
-        own, open_ids = [i], set(r["tool_ids"])
-        taken.add(i)
-        for j in range(i + 1, len(rows)):
-            if open_ids and j not in taken and j != user and rows[j]["is_result"] and open_ids & set(rows[j]["tool_ids"]):
-                open_ids -= set(rows[j]["tool_ids"])
-                own.append(j)
-                taken.add(j)
-        out.append(own)
-    for wanted in (lambda r: r["is_result"], lambda r: r["role"] == "assistant"):
-        for i, r in enumerate(rows):
-            if 0 < i < last and i != user and i not in taken and wanted(r):
-                taken.add(i)
-                out.append([i])
-    return out
-
-
-def emergency(rows: list[dict], target: int) -> list[dict]:
-    """Messages that stay, in order, truncated ones with the tokens of a stub: heads go, else the largest group, else the largest text is cut."""
-    rows = [dict(r) for r in rows]
-    while len(rows) > KEEP and (now := sum(r["tokens"] for r in rows)) > target:
-        n = _head(rows, now, target)
-        if n > 0:
-            rows = rows[n:]
-            continue
-        groups = sorted(_groups(rows), key=lambda g: -sum(rows[i]["tokens"] for i in g))
-        best = groups[0] if groups else []
-        if best and sum(rows[i]["tokens"] for i in best) > 0 and len(rows) - len(best) >= KEEP:
-            rows = [r for i, r in enumerate(rows) if i not in set(best)]
-            continue
-        user = _last_user(rows)
-        large = max((i for i in range(len(rows)) if i != user), key=lambda i: rows[i]["tokens"], default=-1)
-        if large < 0 or rows[large]["tokens"] < LEAST_TO_TRUNCATE:
-            break
-        rows[large]["tokens"] = STUB_TOKENS
-    return rows
+
+def tool_units(messages: DataFrame) -> DataFrame:
+    """`messages` with `unit`, the turn of the call that a result belongs to (the last one before it with an id of its own), else the own turn."""
+    ids = messages.select("conv_id", "turn", "is_result", F.explode("tool_ids").alias("id"))
+    calls = ids.where(~F.col("is_result")).select("conv_id", "id", F.col("turn").alias("call"))
+    owners = ids.where("is_result").join(calls, ["conv_id", "id"]).where("call < turn").groupBy("conv_id", "turn").agg(F.max("call").alias("call"))
+    return messages.join(owners, ["conv_id", "turn"], "left").withColumn("unit", F.coalesce("call", "turn")).drop("call")
+
+
+def _gone(units: DataFrame, order: list[Column], excess: Column) -> Column:
+    """Whether a unit goes, in `order`: the ones before it have not freed enough, and KEEP messages stay."""
+    w = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (F.sum("tokens").over(w) - F.col("tokens") < excess) & (F.col("messages") - F.sum("n").over(w) >= KEEP)
 
 
 def emergency_compress(messages: DataFrame, budget: int, share: float = 0.95, target: float = 0.6) -> DataFrame:
-    """(conv_id, turn, tokens) of messages that stay; only conversations above `share` of the budget are touched.
+    """(conv_id, turn, tokens) of the messages that stay; only conversations above `share` of the budget are touched.
 
-    messages: MESSAGE. Sums decide which conversations go into the fold; the others stay JVM rows. A task
-    holds the messages' sizes of one conversation at a time, not their texts.
+    messages: (conv_id, turn, role, tokens, tool_ids array<string>, is_result). What is cut is a unit: a call
+    with its results, or one message. Until a conversation is at `target` of the budget, units go from the
+    head as far as the last user row, then the largest units other than user rows, and at last the largest
+    texts are cut to a stub. The last user row and KEEP messages always stay. Each step is a running sum
+    over a conversation's units; texts don't travel.
     """
-    totals = messages.groupBy("conv_id").agg(F.sum("tokens").alias("__total"))
+    totals = messages.groupBy("conv_id").agg(F.sum("tokens").alias("total"), F.count("*").alias("messages"), F.max(F.when(F.col("role") == "user", F.col("turn"))).alias("asked"))
     marked = messages.join(totals, "conv_id")
-    over = marked.where(F.col("__total") > budget * share).drop("__total")
-    calm = marked.where(F.col("__total") <= budget * share).select("conv_id", "turn", "tokens")
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("turn").to_dict("records")
-        for r in rows:
-            r["tool_ids"] = [] if r["tool_ids"] is None else list(r["tool_ids"])
-        kept = emergency(rows, int(budget * target))
-        return pd.DataFrame({c: [r[c] for r in kept] for c in ("conv_id", "turn", "tokens")})
-
-    return calm.unionByName(over.groupBy("conv_id").applyInPandas(fold, "conv_id long, turn long, tokens long"))
+    calm = marked.where(F.col("total") <= budget * share).select("conv_id", "turn", "tokens")
+    limit = int(budget * target)
+    rows = tool_units(marked.where(F.col("total") > budget * share))
+    units = rows.groupBy("conv_id", "unit", "total", "messages", "asked").agg(
+        F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.bool_or(F.col("turn") == F.col("asked")).alias("holds_asked"), F.bool_or(F.col("role") == "user").alias("of_user")
+    )
+    before_asked = (F.col("asked").isNull() | (F.col("unit") < F.col("asked"))) & ~F.coalesce("holds_asked", F.lit(False))
+    units = units.withColumn("free", before_asked)
+    head = units.withColumn("gone", F.col("free") & _gone(units, [F.desc("free"), F.col("unit")], F.col("total") - limit))
+    kept = _left(head)
+    largest = kept.withColumn("fixed", F.col("of_user"))
+    largest = largest.withColumn("gone", ~F.col("fixed") & _gone(largest, [F.col("fixed"), F.desc("tokens"), F.col("unit")], F.col("total") - limit))
+    stay = _left(largest).select("conv_id", "unit", F.col("total").alias("left"))
+    held = rows.drop("total").join(stay, ["conv_id", "unit"])
+    large = (F.col("tokens") >= LEAST_TO_TRUNCATE) & ~F.coalesce(F.col("turn") == F.col("asked"), F.lit(False))
+    w = Window.partitionBy("conv_id").orderBy(F.desc("large"), F.desc("tokens"), "turn").rowsBetween(Window.unboundedPreceding, -1)
+    freed = F.coalesce(F.sum(F.col("tokens") - STUB_TOKENS).over(w), F.lit(0))
+    cut = held.withColumn("large", large).withColumn("cut", F.col("large") & (freed < F.col("left") - limit))
+    return calm.unionByName(cut.select("conv_id", "turn", F.when(F.col("cut"), F.lit(STUB_TOKENS)).otherwise(F.col("tokens")).cast("long").alias("tokens")))
+
+
+def _left(units: DataFrame) -> DataFrame:
+    """The units that stay, with the totals of what is left."""
+    w = Window.partitionBy("conv_id")
+    kept = units.withColumn("kept", ~F.col("gone"))
+    total, messages = F.sum(F.when(F.col("kept"), F.col("tokens"))).over(w), F.sum(F.when(F.col("kept"), F.col("n"))).over(w)
+    return kept.withColumns({"total": total, "messages": messages}).where("kept").drop("kept", "gone")
 
 
 class Schedule:

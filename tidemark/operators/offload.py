@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.functions.tokens import estimate_tokens
 
 # Fixed values of triggers, cuts and stand-in rows.
 HEARTBEAT = "HEARTBEAT.md"
@@ -17,6 +20,11 @@ SCAN_SHARE, FIRST_SCORE, LAST_SCORE, ENOUGH_REPLACED = 0.7, 7, 1, 10
 TRIGGER_COST = 80
 
 
+def message_tokens(text: Column, counter: Callable[[Column], Column] = estimate_tokens) -> Column:
+    """Tokens of a message by a counter that the caller may supply: a function of Columns, the estimate by default."""
+    return counter(F.coalesce(text, F.lit("")))
+
+
 def boundary_of(entries: DataFrame, boundaries: DataFrame) -> DataFrame:
     """Entries with `result` and `target` of the last boundary at or before their index.
 
@@ -61,13 +69,15 @@ def triggers(entries: DataFrame, boundaries: DataFrame, last_run: DataFrame, now
 
 
 def backfill(entries: DataFrame, mapping: DataFrame, waiting: DataFrame, canvas_fallback: str | None) -> DataFrame:
-    """Entries with node ids: the mapped one, else for waiting ones the most frequent mapped id or the canvas's.
+    """Entries with node ids: the mapped one, else for waiting ones the most frequent mapped id of the session or the canvas's.
 
-    mapping: (tool_call_id, node, pos); waiting: (tool_call_id).
+    entries: (session_key, tool_call_id, node_id, ...); mapping: (session_key, tool_call_id, node, pos), of which the last
+    for an id counts; waiting: (session_key, tool_call_id).
     """
-    m = mapping.where(F.trim("node") != "").select("tool_call_id", F.trim("node").alias("node"), "pos")
-    best = m.groupBy("node").agg(F.count("*").alias("n"), F.min("pos").alias("p")).agg(F.max_by("node", F.struct("n", -F.col("p"))).alias("best"))
-    out = entries.join(m.drop("pos"), "tool_call_id", "left").join(waiting.withColumn("__w", F.lit(True)), "tool_call_id", "left").crossJoin(F.broadcast(best))
+    key = ["session_key", "tool_call_id"]
+    m = mapping.where(F.trim("node") != "").groupBy(*key).agg(F.max_by(F.trim("node"), "pos").alias("node"), F.max("pos").alias("pos"))
+    best = m.groupBy("session_key", "node").agg(F.count("*").alias("n"), F.min("pos").alias("p")).groupBy("session_key").agg(F.max_by("node", F.struct("n", -F.col("p"))).alias("best"))
+    out = entries.join(m.drop("pos"), key, "left").join(waiting.select(*key).distinct().withColumn("__w", F.lit(True)), key, "left").join(best, "session_key", "left")
     late = (F.col("node_id") == "wait") & F.col("__w")
     fallback = F.coalesce("best", F.lit(canvas_fallback), "node_id")
     return out.withColumn("node_id", F.when(F.col("node").isNotNull(), F.col("node")).when(late, fallback).otherwise(F.col("node_id"))).drop("node", "__w", "best")
@@ -132,20 +142,25 @@ def tail_keep(messages: DataFrame, target: Column) -> DataFrame:
     return s.select("conv_id", kept.cast("long").alias("keep_from"), "n")
 
 
-def canvas_budget(canvases: DataFrame, budget: int) -> DataFrame:
-    """(agent, chosen): canvases newest first, in full where they fit in the budget, else in short form where that fits, else not.
+def canvas_budget(canvases: DataFrame, deleted: DataFrame, budget: int) -> DataFrame:
+    """(agent, used, chosen): canvases of deleted work, the highest prefix first, in full where they fit in the budget, else in short form where that fits, else not.
 
-    canvases: (agent, filename, mtime_ms, full, short) with sizes in tokens. A greedy walk over each agent's array.
+    canvases: (agent, filename, is_active, full, short) with sizes in tokens; deleted: (agent, node_id) of deleted entries.
+    Only canvases count whose name's part before the first `-` is that of a deleted node, and never the active one;
+    chosen ones are told oldest first. A greedy walk over each agent's sizes; texts don't travel.
     """
-    item = F.struct((-F.col("mtime_ms")).alias("age"), "filename", "full", "short")
-    sorted_ = canvases.groupBy("agent").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    prefix = lambda c: F.substring_index(c, "-", 1)
+    gone = deleted.where(prefix("node_id") != "").select("agent", prefix("node_id").alias("__p")).distinct()
+    own = canvases.where(~F.col("is_active")).withColumn("__p", prefix("filename")).join(gone, ["agent", "__p"], "left_semi")
+    sorted_ = own.groupBy("agent").agg(F.sort_array(F.collect_list(F.struct("filename", "full", "short")), False).alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("chosen"))
 
     def step(s: Column, c: Column) -> Column:
         fits, short = s["used"] + c["full"] <= budget, s["used"] + c["short"] <= budget
+        name = lambda form: F.concat(F.array(F.concat(c["filename"], F.lit(form))), s["chosen"])
         return F.struct(
             F.when(fits, s["used"] + c["full"]).when(short, s["used"] + c["short"]).otherwise(s["used"]).alias("used"),
-            F.when(fits, F.concat(s["chosen"], F.array(F.concat(c["filename"], F.lit(":full"))))).when(short, F.concat(s["chosen"], F.array(F.concat(c["filename"], F.lit(":short"))))).otherwise(s["chosen"]).alias("chosen"),
+            F.when(fits, name("")).when(short, name("(meta)")).otherwise(s["chosen"]).alias("chosen"),
         )
 
     return sorted_.select("agent", F.aggregate("items", start, step).alias("r")).select("agent", F.col("r.used").alias("used"), F.col("r.chosen").alias("chosen"))
@@ -185,20 +200,47 @@ def largest_group(blocks: DataFrame) -> DataFrame:
     return sums.withColumn("__rn", rn).where("__rn = 1").drop("__rn")
 
 
-def cascade(entries: DataFrame) -> DataFrame:
-    """Results of each session to replace: the first SCAN_SHARE of them, by falling score until ENOUGH_REPLACED are."""
-    w = Window.partitionBy("session_key")
-    scanned = entries.withColumn("__n", F.count("*").over(w)).where(F.col("idx") < F.floor(F.col("__n") * SCAN_SHARE)).where(F.col("score") >= LAST_SCORE)
-    level = scanned.withColumn("level", F.least("score", F.lit(FIRST_SCORE)))
-    per = level.groupBy("session_key", "level").agg(F.count("*").alias("n"))
+def replaceable(results: DataFrame, entries: DataFrame) -> DataFrame:
+    """Tool results of which an entry is stored, by the id without underscores. Both: (tool_call_id, ...)."""
+    known = entries.select(T.tool_key(F.col("tool_call_id")).alias("__k")).distinct()
+    return results.withColumn("__k", T.tool_key(F.col("tool_call_id"))).join(known, "__k", "left_semi").drop("__k")
+
+
+def scored_messages(messages: DataFrame, entries: DataFrame) -> DataFrame:
+    """(session_key, idx, kind, ids, score, fits) of messages that may be replaced: results with an entry, and calls all of whose ids have one.
+
+    messages: (session_key, idx, kind `result` or `use`, ids, size); entries: (session_key, tool_call_id, score, summary_size).
+    A call has the least score of its ids; results whose summary is longer than they are don't fit.
+    """
+    own = messages.select("session_key", "idx", "kind", "ids", "size", F.explode("ids").alias("tool_call_id"))
+    e = entries.groupBy("session_key", T.tool_key(F.col("tool_call_id")).alias("__k")).agg(F.min(F.coalesce("score", F.lit(5))).alias("score"), F.min("summary_size").alias("summary_size"))
+    found = own.withColumn("__k", T.tool_key(F.col("tool_call_id"))).join(e, ["session_key", "__k"])
+    sums = found.groupBy("session_key", "idx", "kind", "ids", "size").agg(F.min("score").alias("score"), F.count("*").alias("n"), F.min("summary_size").alias("summary_size"))
+    fits = (F.col("kind") == "use") | (F.col("summary_size") <= F.col("size"))
+    return sums.where(F.col("n") == F.size("ids")).select("session_key", "idx", "kind", "ids", "score", fits.alias("fits"))
+
+
+def cascade(scored: DataFrame, totals: DataFrame) -> DataFrame:
+    """(session_key, idx, level) of messages to replace: of the first SCAN_SHARE of a session's, by falling score until ENOUGH_REPLACED are.
+
+    scored: as `scored_messages` gives them; totals: (session_key, messages). Calls take their results along,
+    wherever these stand; a message is replaced at the highest level that reaches it.
+    """
+    known = scored.join(totals, "session_key").withColumn("level", F.least("score", F.lit(FIRST_SCORE))).where(F.col("score") >= LAST_SCORE)
+    scanned = known.where(F.col("idx") < F.floor(F.col("messages") * SCAN_SHARE))
+    own = scanned.where("fits").select("session_key", "idx", "level")
+    calls = scanned.where("kind = 'use'").select("session_key", "level", F.explode("ids").alias("id"))
+    taken = scored.where("kind = 'result'").select("session_key", "idx", F.element_at("ids", 1).alias("id")).join(calls, ["session_key", "id"]).select("session_key", "idx", "level")
+    reached = own.unionByName(taken).groupBy("session_key", "idx").agg(F.max("level").alias("level"))
+    per = reached.groupBy("session_key", "level").agg(F.count("*").alias("n"))
     above = F.coalesce(F.sum("n").over(Window.partitionBy("session_key").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = per.withColumn("above", above).where(F.col("above") < ENOUGH_REPLACED).select("session_key", "level")
-    return level.join(taken, ["session_key", "level"]).drop("__n", "level")
+    levels = per.withColumn("above", above).where(F.col("above") < ENOUGH_REPLACED).select("session_key", "level")
+    return reached.join(levels, ["session_key", "level"])
 
 
 def residue(entries: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """Entries before the start of a newer task that still wait and belong to the canvas before it."""
-    own = boundary_of(entries, boundaries)
+    """Entries, heartbeats aside, before the start of a newer task that still wait and belong to the canvas before it."""
+    own = boundary_of(entries, boundaries).where(~F.coalesce(F.col("summary").contains(HEARTBEAT), F.lit(False)))
     w = Window.partitionBy("session_key").orderBy("start_index")
     switch = boundaries.groupBy("session_key", "start_index").agg(F.max_by("target", "at").alias("target")).withColumn("before", F.lag("target").over(w)).where("before is not null and target is not null and before <> target")
     last = switch.groupBy("session_key").agg(F.max("start_index").alias("start"), F.max_by("before", "start_index").alias("before"))

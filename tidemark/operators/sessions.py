@@ -182,13 +182,26 @@ def last_turn(rows: DataFrame) -> DataFrame:
     return joined.groupBy("session_id", "assistant_id").agg(F.max_by("__user", "__turn").alias("user_id"))
 
 
-def recent_history(rows: DataFrame, turns: int = 5, answers: int = 3, cut: int = 400) -> DataFrame:
-    """The last turns of each conversation: a user row and up to `answers` assistant rows after it, texts cut."""
+def recent_history(rows: DataFrame, turns: int = 5, answers: int = 3, cut: int = 400, current: str | None = None) -> DataFrame:
+    """The last turns of each conversation: a user row and up to `answers` assistant rows after it, texts cut.
+
+    User rows of 5 characters or fewer and assistant rows of 10 or fewer don't count, nor does a user row that is the
+    `current` prompt. A heartbeat of a user ends the turn, so what follows belongs to none; those of assistants are left out.
+    """
+    text, size = F.coalesce("message_text", F.lit("")), F.char_length(F.coalesce("message_text", F.lit("")))
+    beat = text.contains("HEARTBEAT.md") | text.contains("HEARTBEAT_OK")
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    asked = plain(F.lit(current))
+    same = F.lit(False) if current is None else plain(text).startswith(asked) | asked.startswith(plain(text))
+    user = (F.col("role") == "user") & (size > 5)
+    event = F.when(user & beat, "none").when(user & ~same, "turn")
     w = Window.partitionBy("session_id").orderBy("turn")
-    out = rows.where(F.col("role").isin("user", "assistant")).withColumn("turn_no", F.sum((F.col("role") == "user").cast("long")).over(w))
+    out = rows.withColumn("__event", event).withColumn("turn_no", F.sum((F.coalesce("__event", F.lit("")) == "turn").cast("long")).over(w)).withColumn("__in", F.last("__event", ignorenulls=True).over(w))
+    answer = (F.col("role") == "assistant") & (size > 10) & ~beat & (F.col("__in") == "turn")
+    out = out.where((F.col("__event") == "turn") | answer)
     own = Window.partitionBy("session_id", "turn_no").orderBy("turn")
-    out = out.where("turn_no > 0").withColumn("__in", F.row_number().over(own) - 1).withColumn("__last", F.max("turn_no").over(Window.partitionBy("session_id")))
-    kept = out.where((F.col("__in") <= answers) & (F.col("turn_no") > F.col("__last") - turns))
+    out = out.withColumn("__k", F.row_number().over(own) - 1).withColumn("__last", F.max("turn_no").over(Window.partitionBy("session_id")))
+    kept = out.where((F.col("__k") <= answers) & (F.col("turn_no") > F.col("__last") - turns))
     return kept.select("session_id", "turn_no", "turn", "role", F.substring("message_text", 1, cut).alias("content"))
 
 

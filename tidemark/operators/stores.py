@@ -45,8 +45,13 @@ def apply_decisions(existing: DataFrame, new: DataFrame, decisions: DataFrame, n
     return existing.join(removed, "record_id", "left_anti").select(*written.columns).unionByName(written)
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str, first_value: tuple[str, ...]) -> DataFrame:
-    """Rows by key, new values over old ones; columns in `first_value` keep what was inserted first."""
+def upsert(existing: DataFrame, new: DataFrame, key: str, first_value: tuple[str, ...], order: str) -> DataFrame:
+    """Rows by key, new values over old ones; columns in `first_value` keep what was inserted first.
+
+    Of new rows with one key the last by `order` counts, and for `first_value` the first; both are taken before the join.
+    """
+    of = [c for c in existing.columns if c != key]
+    new = new.groupBy(key).agg(*((F.min_by if c in first_value else F.max_by)(c, order).alias(c) for c in of))
     both = existing.alias("o").join(new.alias("n"), key, "full_outer")
     cols = [F.col(key)]
     fresh, known = F.col(f"n.{key}").isNotNull(), F.col(f"o.{key}").isNotNull()

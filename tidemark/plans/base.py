@@ -59,8 +59,8 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error events as tool entries of their user's session, in order."""
-    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    """All events as tool entries of their user's session, in order."""
+    e = table(spark, sf_dir, "events")
     order = Window.partitionBy("user_id").orderBy("event_id")
     return e.select(
         F.concat(F.lit("u"), "user_id").alias("session_key"), (F.row_number().over(order) - 1).cast("long").alias("idx"), "event_id",
@@ -86,5 +86,5 @@ ENTRIES_SQL = """entries AS (
            CAST(event_id % 11 AS BIGINT) AS score,
            CASE event_id % 3 WHEN 0 THEN lpad(CAST(event_id % 7 AS VARCHAR), 3, '0') || '-N' || (event_id % 5) WHEN 1 THEN 'wait' END AS node_id,
            epoch_ns(ts) // 1000000 AS ts_ms, props AS summary
-    FROM events WHERE event_type = 'error'
+    FROM events
 )"""

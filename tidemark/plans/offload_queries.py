@@ -36,13 +36,15 @@ def a18_triggers(spark, d):
 
 
 def a20_residue(spark, d):
-    return O.residue(tool_entries(spark, d), boundaries(spark, d)).select("event_id", "session_key")
+    e = tool_entries(spark, d).withColumn("summary", F.when(F.col("event_id") % 9 == 0, F.lit("see HEARTBEAT.md")).otherwise(F.col("summary")))
+    return O.residue(e, boundaries(spark, d)).select("event_id", "session_key")
 
 
 def j10_backfill(spark, d):
     e = tool_entries(spark, d)
-    mapping = e.where("event_id % 4 = 0").select("tool_call_id", F.when(F.col("event_id") % 8 == 0, F.concat(F.lit(" 00"), F.col("event_id") % 3, F.lit("-N1 "))).otherwise(F.lit("")).alias("node"), F.col("event_id").alias("pos"))
-    return O.backfill(e.select("tool_call_id", "node_id"), mapping, e.where("event_id % 5 < 3").select("tool_call_id"), "000-N9")
+    mapping = e.where("event_id % 4 = 0").select("session_key", "tool_call_id", F.when(F.col("event_id") % 8 == 0, F.concat(F.lit(" 00"), F.col("event_id") % 3, F.lit("-N1 "))).otherwise(F.lit("")).alias("node"), F.col("event_id").alias("pos"))
+    again = mapping.where("pos % 24 = 0").select("session_key", "tool_call_id", F.lit("007-N7").alias("node"), (F.col("pos") + 1).alias("pos"))
+    return O.backfill(e.select("session_key", "tool_call_id", "node_id"), mapping.unionByName(again), e.where("event_id % 5 < 3").select("session_key", "tool_call_id"), "000-N9")
 
 
 def j8_new_entries(spark, d):
@@ -82,8 +84,47 @@ def w9_tail_keep(spark, d):
 
 
 def w10_canvas_budget(spark, d):
-    e = table(spark, d, "events").where("event_id % 11 = 0").select(F.concat(F.lit("u"), "user_id").alias("agent"), F.concat(F.lit("c"), "event_id").alias("filename"), F.col("event_id").alias("mtime_ms"), (F.col("event_id") % 97 + 20).alias("full"), (F.col("event_id") % 13 + 5).alias("short"))
-    return O.canvas_budget(e, 150).select("agent", "used", F.array_join("chosen", ",").alias("chosen"))
+    """Canvases of each user's events, those of deleted work within a budget."""
+    e = table(spark, d, "events").withColumn("agent", F.concat(F.lit("u"), "user_id"))
+    name = F.concat(F.lpad((F.col("event_id") % 90).cast("string"), 3, "0"), F.lit("-task-"), "event_id", F.lit(".mmd"))
+    canvases = e.select("agent", name.alias("filename"), (F.col("event_id") % 17 == 0).alias("is_active"), (F.col("event_id") % 97 + 20).alias("full"), (F.col("event_id") % 13 + 5).alias("short"))
+    deleted = e.where("event_id % 4 = 0").select("agent", F.concat(F.lpad((F.col("event_id") % 90).cast("string"), 3, "0"), F.lit("-N1")).alias("node_id"))
+    return O.canvas_budget(canvases, deleted, 450).select("agent", "used", F.array_join("chosen", ",").alias("chosen"))
+
+
+def u5_replaceable(spark, d):
+    """Tool results that stored entries can replace, here with ids written in two ways."""
+    e = tool_entries(spark, d)
+    results = e.select("event_id", F.when(F.col("event_id") % 2 == 0, F.replace("tool_call_id", F.lit("_"), F.lit(""))).otherwise(F.col("tool_call_id")).alias("tool_call_id"))
+    return O.replaceable(results, e.where("event_id % 3 <> 0")).select("event_id", "tool_call_id")
+
+
+def _messages(spark, d):
+    """Entries as results, and a call for every three of them in order."""
+    e = tool_entries(spark, d)
+    results = e.select("session_key", (F.col("idx") * 2 + 1).alias("idx"), F.lit("result").alias("kind"), F.array("tool_call_id").alias("ids"), (F.col("event_id") % 50).alias("size"))
+    calls = e.groupBy("session_key", F.floor(F.col("idx") / 3).alias("k")).agg(F.min("idx").alias("idx"), F.array_sort(F.collect_list("tool_call_id")).alias("ids"))
+    calls = calls.select("session_key", (F.col("idx") * 2).alias("idx"), F.lit("use").alias("kind"), "ids", F.lit(0).cast("long").alias("size"))
+    return results.unionByName(calls), e.where("event_id % 7 <> 0").select("session_key", "tool_call_id", "score", (F.col("event_id") % 40).alias("summary_size"))
+
+
+def p4_t9_a8_cascade(spark, d):
+    """Messages to replace in each session, with the level that reached them."""
+    m, e = _messages(spark, d)
+    return O.cascade(O.scored_messages(m, e), m.groupBy("session_key").agg(F.count("*").alias("messages")))
+
+
+def a8_score_histogram(spark, d):
+    """Candidates of each session by score."""
+    m, e = _messages(spark, d)
+    return O.scored_messages(m, e).groupBy("session_key", "score").agg(F.count("*").alias("n"))
+
+
+def p3_counted_messages(spark, d):
+    """Totals of conversations by the default counter and by one that the caller brings."""
+    c = table(spark, d, "conversations")
+    own = O.message_tokens(F.col("text"), lambda t: F.ceil(F.char_length(t) / 4).cast("long"))
+    return c.groupBy("conv_id").agg(F.sum(own).alias("tokens"), F.min(O.message_tokens(F.lit("the cat"))).alias("two"))
 
 
 def _blocks(spark, d):
@@ -110,10 +151,6 @@ def t10_largest_group(spark, d):
     return O.largest_group(_blocks(spark, d))
 
 
-def p4_t9_a8_cascade(spark, d):
-    return O.cascade(tool_entries(spark, d)).select("event_id", "session_key", "score")
-
-
 def a7_compression_totals(spark, d):
     """Tokens saved by stage, and running net savings of each session."""
     from pyspark.sql import Window
@@ -152,14 +189,18 @@ def x7_token_estimate(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     j7_boundaries, a18_triggers, a20_residue, j10_backfill, j8_new_entries, j9_lookup, j11_orphans, w17_chunks, w8_head_cut, w9_tail_keep, w10_canvas_budget, j18_reapply, j14_heartbeat_rows, t10_largest_group,
-    p4_t9_a8_cascade, a7_compression_totals, a10_x33_budgets, x26_x27_x35_texts, f18_statuses, x7_token_estimate,
+    u5_replaceable, p4_t9_a8_cascade, a8_score_histogram, p3_counted_messages, a7_compression_totals, a10_x33_budgets, x26_x27_x35_texts, f18_statuses, x7_token_estimate,
 )}
 _B = """bounds AS (SELECT session_key, idx AS start_index, event_id AS at, ['long', 'short', 'long', 'pending'][event_id % 4 + 1] AS result, CASE WHEN event_id % 5 <> 0 THEN 'canvas' || (event_id % 3) END AS target FROM entries WHERE idx % 7 = 2),
     own AS (SELECT e.*, b.result, b.target FROM entries e ASOF LEFT JOIN bounds b ON e.session_key = b.session_key AND e.idx >= b.start_index)"""
-_QUICK = f"CAST(ceil(1.5 * len(regexp_extract_all(coalesce(text, ''), '{T.CJK}')) + (length(coalesce(text, '')) - len(regexp_extract_all(coalesce(text, ''), '{T.CJK}'))) / 4.0) AS BIGINT)"
-_CHAT = f"chat AS (SELECT conv_id, turn, role, {_QUICK} AS tokens, role = 'assistant' AND turn % 3 = 0 AS is_tool FROM conversations)"
+QUICK_SQL = f"CAST(ceil(1.5 * len(regexp_extract_all(coalesce(text, ''), '{T.CJK}')) + (length(coalesce(text, '')) - len(regexp_extract_all(coalesce(text, ''), '{T.CJK}'))) / 4.0) AS BIGINT)"
+_CHAT = f"chat AS (SELECT conv_id, turn, role, {QUICK_SQL} AS tokens, role = 'assistant' AND turn % 3 = 0 AS is_tool FROM conversations)"
 _BLOCKS = f"""blocks AS (SELECT conv_id, turn, block, kind, CASE WHEN kind <> 'text' THEN 'call_' || ((conv_id * 3 + turn + block) % 40) END AS tool_call_id, tokens FROM (
-    SELECT conv_id, turn, {_QUICK} AS tokens, unnest(CASE WHEN role = 'assistant' THEN [{{'block': 0, 'kind': 'text'}}, {{'block': 1, 'kind': 'tool_use'}}, {{'block': 2, 'kind': 'tool_use'}}] ELSE [{{'block': 0, 'kind': 'tool_result'}}] END, recursive := true) FROM conversations))"""
+    SELECT conv_id, turn, {QUICK_SQL} AS tokens, unnest(CASE WHEN role = 'assistant' THEN [{{'block': 0, 'kind': 'text'}}, {{'block': 1, 'kind': 'tool_use'}}, {{'block': 2, 'kind': 'tool_use'}}] ELSE [{{'block': 0, 'kind': 'tool_result'}}] END, recursive := true) FROM conversations))"""
+_SCORED = """m AS (SELECT session_key, idx * 2 + 1 AS idx, 'result' AS kind, [tool_call_id] AS ids, event_id % 50 AS size FROM entries UNION ALL
+        SELECT session_key, min(idx) * 2, 'use', list_sort(list(tool_call_id)), 0 FROM entries GROUP BY session_key, idx // 3),
+    s AS (SELECT session_key, idx, kind, ids, min(score) AS score, kind = 'use' OR min(summary_size) <= any_value(size) AS fits FROM (SELECT *, unnest(ids) AS tool_call_id FROM m)
+        JOIN (SELECT session_key, tool_call_id, score, event_id % 40 AS summary_size FROM entries WHERE event_id % 7 <> 0) USING (session_key, tool_call_id) GROUP BY 1, 2, 3, 4 HAVING count(*) = len(ids))"""
 ORACLES = {
     "j7_boundaries": f"WITH {ENTRIES_SQL}, {_B} SELECT event_id, result, target FROM own",
     "a18_triggers": f"""WITH {ENTRIES_SQL}, {_B}, held AS (SELECT * FROM entries WHERE event_id % 3 <> 0 OR event_id % 2 = 0),
@@ -171,10 +212,11 @@ ORACLES = {
             WHEN last_ms IS NULL AND eligible > nulls THEN 'retry_wait' WHEN last_ms IS NULL AND ({NOW_MS} - oldest) / 1000.0 >= 300 THEN 'oldest_null' END AS reason FROM s LEFT JOIN o USING (session_key) LEFT JOIN l USING (session_key)""",
     "a20_residue": f"""WITH {ENTRIES_SQL}, {_B}, s AS (SELECT *, lag(target) OVER (PARTITION BY session_key ORDER BY start_index) AS before FROM bounds),
         l AS (SELECT session_key, max(start_index) AS start, max_by(before, start_index) AS before FROM s WHERE before IS NOT NULL AND target IS NOT NULL AND before <> target GROUP BY 1)
-        SELECT event_id, own.session_key FROM own JOIN l USING (session_key) WHERE idx < start AND (node_id IS NULL OR node_id = 'wait') AND target = before""",
-    "j10_backfill": f"""WITH {ENTRIES_SQL}, m AS (SELECT tool_call_id, '00' || (event_id % 3) || '-N1' AS node, event_id AS pos FROM entries WHERE event_id % 8 = 0),
-        b AS (SELECT node AS best FROM m GROUP BY node ORDER BY count(*) DESC, min(pos) LIMIT 1)
-        SELECT tool_call_id, CASE WHEN node IS NOT NULL THEN node WHEN node_id = 'wait' AND event_id % 5 < 3 THEN coalesce((SELECT best FROM b), '000-N9') ELSE node_id END AS node_id FROM entries LEFT JOIN m USING (tool_call_id)""",
+        SELECT event_id, own.session_key FROM own JOIN l USING (session_key) WHERE idx < start AND (node_id IS NULL OR node_id = 'wait') AND target = before AND event_id % 9 <> 0""",
+    "j10_backfill": f"""WITH {ENTRIES_SQL}, m AS (SELECT session_key, tool_call_id, CASE WHEN event_id % 24 = 0 THEN '007-N7' ELSE '00' || (event_id % 3) || '-N1' END AS node, event_id + CASE WHEN event_id % 24 = 0 THEN 1 ELSE 0 END AS pos FROM entries WHERE event_id % 8 = 0),
+        c AS (SELECT session_key, node, row_number() OVER (PARTITION BY session_key ORDER BY count(*) DESC, min(pos)) AS rn FROM m GROUP BY 1, 2), b AS (SELECT session_key, node AS best FROM c WHERE rn = 1)
+        SELECT e.session_key, e.tool_call_id, CASE WHEN m.node IS NOT NULL THEN m.node WHEN node_id = 'wait' AND event_id % 5 < 3 THEN coalesce(best, '000-N9') ELSE node_id END AS node_id
+        FROM entries e LEFT JOIN m USING (session_key, tool_call_id) LEFT JOIN b USING (session_key)""",
     "j8_new_entries": f"""WITH {ENTRIES_SQL} SELECT tool_call_id, event_id FROM entries WHERE event_id % 2 = 0 AND event_id % 3 <> 0 UNION ALL SELECT tool_call_id, event_id FROM entries WHERE event_id % 10 = 0 AND event_id % 3 <> 0""",
     "j9_lookup": f"""WITH {ENTRIES_SQL} SELECT CASE WHEN event_id % 4 = 0 THEN tool_call_id WHEN event_id % 6 = 0 THEN 'none_' || tool_call_id ELSE replace(tool_call_id, '_', '') END AS tool_call_id, CASE WHEN event_id % 4 = 0 OR event_id % 6 <> 0 THEN event_id END AS event_id FROM entries WHERE event_id % 2 = 0""",
     "j11_orphans": f"WITH {ENTRIES_SQL} SELECT 'refs/' || event_id || '.md' AS result_ref, ts_ms AS mtime_ms FROM entries WHERE event_id % 3 = 0 AND ts_ms < {FIRST_MS + 15 * 86_400_000}",
@@ -194,8 +236,22 @@ ORACLES = {
         SELECT conv_id, turn, count(*) AS blocks FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.conv_id = b.conv_id AND i.tool_call_id = b.tool_call_id) GROUP BY 1, 2""",
     "t10_largest_group": f"""WITH {_BLOCKS}, s AS (SELECT conv_id, tool_call_id, CAST(sum(tokens) AS BIGINT) AS tokens FROM blocks WHERE tool_call_id IS NOT NULL GROUP BY 1, 2)
         SELECT conv_id, tool_call_id, tokens FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY tokens DESC, tool_call_id) AS rn FROM s) WHERE rn = 1""",
-    "p4_t9_a8_cascade": f"""WITH {ENTRIES_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY session_key) AS n FROM entries), s AS (SELECT *, least(score, 7) AS level FROM n WHERE idx < floor(n * 0.7) AND score >= 1),
-        c AS (SELECT *, (SELECT count(*) FROM s t WHERE t.session_key = s.session_key AND t.level > s.level) AS above FROM s) SELECT event_id, session_key, score FROM c WHERE above < 10""",
+    "u5_replaceable": f"WITH {ENTRIES_SQL} SELECT event_id, CASE WHEN event_id % 2 = 0 THEN replace(tool_call_id, '_', '') ELSE tool_call_id END AS tool_call_id FROM entries WHERE event_id % 3 <> 0",
+    "p4_t9_a8_cascade": f"""WITH {ENTRIES_SQL}, {_SCORED}, n AS (SELECT session_key, count(*) AS n FROM m GROUP BY 1),
+        k AS (SELECT s.*, least(score, 7) AS level FROM s JOIN n USING (session_key) WHERE idx < floor(n * 0.7) AND score >= 1),
+        r AS (SELECT session_key, idx, max(level) AS level FROM (SELECT session_key, idx, level FROM k WHERE fits UNION ALL
+            SELECT t.session_key, t.idx, c.level FROM (SELECT session_key, level, unnest(ids) AS id FROM k WHERE kind = 'use') c JOIN s t ON t.kind = 'result' AND t.session_key = c.session_key AND t.ids[1] = c.id) GROUP BY 1, 2),
+        p AS (SELECT session_key, level, coalesce(sum(count(*)) OVER (PARTITION BY session_key ORDER BY level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM r GROUP BY 1, 2)
+        SELECT session_key, idx, level FROM r JOIN p USING (session_key, level) WHERE above < 10""",
+    "a8_score_histogram": f"WITH {ENTRIES_SQL}, {_SCORED} SELECT session_key, score, count(*) AS n FROM s GROUP BY 1, 2",
+    "p3_counted_messages": "SELECT conv_id, CAST(sum(ceil(length(coalesce(text, '')) / 4.0)) AS BIGINT) AS tokens, CAST(2 AS BIGINT) AS two FROM conversations GROUP BY 1",
+    "w10_canvas_budget": """WITH RECURSIVE e AS (SELECT *, 'u' || user_id AS agent, lpad(CAST(event_id % 90 AS VARCHAR), 3, '0') AS prefix FROM events),
+        c AS (SELECT agent, prefix || '-task-' || event_id || '.mmd' AS filename, event_id % 97 + 20 AS f, event_id % 13 + 5 AS s FROM e WHERE event_id % 17 <> 0 AND EXISTS (SELECT 1 FROM e d WHERE d.event_id % 4 = 0 AND d.agent = e.agent AND d.prefix = e.prefix)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY filename DESC) AS rn FROM c),
+        w AS (SELECT agent, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS chosen FROM (SELECT DISTINCT agent FROM c) UNION ALL
+            SELECT w.agent, r.rn, CASE WHEN used + f <= 450 THEN used + f WHEN used + s <= 450 THEN used + s ELSE used END,
+                CASE WHEN used + f <= 450 THEN list_prepend(filename, chosen) WHEN used + s <= 450 THEN list_prepend(filename || '(meta)', chosen) ELSE chosen END FROM w JOIN r ON r.agent = w.agent AND r.rn = w.rn + 1)
+        SELECT agent, max(used) AS used, array_to_string(max_by(chosen, rn), ',') AS chosen FROM w GROUP BY agent""",
     "a7_compression_totals": f"""WITH {ENTRIES_SQL}, b AS (SELECT *, greatest(length(summary) + score * 10 - event_id % 60, 0) AS saved, length(summary) + score * 10 AS before FROM entries)
         SELECT event_id, saved, saved - 80 AS net, CAST(sum(saved - 80) OVER (PARTITION BY session_key ORDER BY idx) AS BIGINT) AS cumulative, round(saved * 100::DOUBLE / before, 2) AS percent FROM b""",
     "a10_x33_budgets": f"""WITH {_CHAT}, t AS (SELECT conv_id, CAST(sum(tokens) + ceil(count(*) * 0.5) AS BIGINT) AS total FROM chat GROUP BY 1)

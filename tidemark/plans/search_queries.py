@@ -63,10 +63,11 @@ def x5_f16_vectors(spark, d):
 
 def _two_lists(spark, d):
     docs, q = table(spark, d, "documents"), benchmark_queries(spark, d)
-    keyword = S.keyword_search(q, docs, 15, "doc_id", "text")
+    _, fetched = S.limits("tool")
+    keyword = S.keyword_search(q, docs, fetched, "doc_id", "text")
     vectors = table(spark, d, "embeddings")
     asked = vectors.join(q.select("query_id"), F.col("vec_id") == F.col("query_id")).select("query_id", "embedding")
-    return keyword, S.vector_search(asked, vectors, 15, "vec_id")
+    return keyword, S.vector_search(asked, vectors, fetched, "vec_id")
 
 
 def w1_u1_fusion(spark, d):
@@ -74,11 +75,12 @@ def w1_u1_fusion(spark, d):
 
 
 def f15_j1_hybrid_search(spark, d):
-    """Both searches, fused, then filtered by type and scene, then limited, with the memories attached."""
+    """Both searches, over-fetched and fused, then filtered by type and scene, then limited, with the memories attached."""
+    limit, _ = S.limits("tool")
     fused = S.fuse(list(_two_lists(spark, d)))
     m = memories(spark, d).select(F.col("doc_id").alias("id"), "record_id", "type", "scene_name", "session_key")
     kept = fused.join(m, "id").where((F.col("type") == "episodic") & F.lower("scene_name").contains("src1"))
-    return S.top(kept.drop("rank"), 5, F.desc("score"), F.asc("id")).select("query_id", "rank", "record_id", "score", "scene_name")
+    return S.top(kept.drop("rank"), limit, F.desc("score"), F.asc("id")).select("query_id", "rank", "record_id", "score", "scene_name")
 
 
 def f17_threshold(spark, d):
@@ -87,10 +89,18 @@ def f17_threshold(spark, d):
 
 def w7_recall_budget(spark, d):
     hits = S.keyword_search(benchmark_queries(spark, d), table(spark, d, "documents"), 5, "doc_id", "text")
-    m = memories(spark, d).select(F.col("doc_id").alias("id"), F.concat(F.lit("- ["), "type", F.lit("] "), F.substring("content", 1, 300)).alias("line"))
+    m = memories(spark, d).select(F.col("doc_id").alias("id"), F.concat(F.lit("- ["), "type", F.lit("] "), "content").alias("line"))
     return S.recall_budget(hits.join(m, "id").select("query_id", "rank", "line"), 200, 450)
 
 
+def t3_over_fetch(spark, d):
+    """Recall by keywords: twice the limit is fetched, filtered by scene and cut to the limit that each query asks for, 50 at most."""
+    limit, fetched = S.limits("recall", 999)
+    hits = S.keyword_search(benchmark_queries(spark, d), table(spark, d, "documents"), fetched, "doc_id", "text")
+    m = memories(spark, d).select(F.col("doc_id").alias("id"), "scene_name").where("scene_name <> 'src0'")
+    return S.top(hits.drop("rank").join(m, "id"), limit, F.desc("score"), F.asc("id")).select("query_id", "rank", "id", "score")
+
+
 def j4_a16_candidates(spark, d):
     """For each new memory its nearest existing ones, the batch itself excluded, and how many distinct ones a batch has."""
     v = table(spark, d, "embeddings")
@@ -103,7 +113,7 @@ def j4_a16_candidates(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    p6_postings, a15_corpus_stats, x3_rank_scores, x4_sparse_scores, j2_t2_keyword_search, j3_t1_vector_search, x5_f16_vectors, w1_u1_fusion, f15_j1_hybrid_search, f17_threshold, w7_recall_budget, j4_a16_candidates,
+    p6_postings, a15_corpus_stats, x3_rank_scores, x4_sparse_scores, j2_t2_keyword_search, j3_t1_vector_search, x5_f16_vectors, w1_u1_fusion, f15_j1_hybrid_search, f17_threshold, w7_recall_budget, t3_over_fetch, j4_a16_candidates,
 )}
 
 _TERMS = f"regexp_extract_all(translate(lower(text), '{T.FOLD_FROM}', '{T.FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+')"
@@ -144,10 +154,12 @@ ORACLES = {
         WHERE type = 'episodic' AND contains(lower(scene_name), 'src1')) SELECT query_id, rank, record_id, score, scene_name FROM kept WHERE rank < 5""",
     "f17_threshold": f"""WITH {BM25_SQL}, h AS (SELECT query_id, id, score, max(score) OVER (PARTITION BY query_id) AS best, count(*) OVER (PARTITION BY query_id) AS n FROM keyword WHERE rank < 10)
         SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM h WHERE score >= 0.98 OR (best < 0.98 AND n <= 10)""",
-    "w7_recall_budget": f"""WITH {BM25_SQL}, {MEMORIES_SQL}, raw AS (SELECT query_id, rank, '- [' || type || '] ' || substr(content, 1, 300) AS l FROM keyword JOIN memories ON doc_id = id WHERE rank < 5),
+    "w7_recall_budget": f"""WITH {BM25_SQL}, {MEMORIES_SQL}, raw AS (SELECT query_id, rank, '- [' || type || '] ' || content AS l FROM keyword JOIN memories ON doc_id = id WHERE rank < 5),
         c AS (SELECT query_id, rank, CASE WHEN length(l) <= 200 THEN l ELSE regexp_replace(substr(l, 1, 199), '[\\s\\x0B\\x{{00A0}}\\x{{3000}}\\x{{FEFF}}]+$', '') || '…' END AS l FROM raw),
         b AS (SELECT *, 450 - coalesce(sum(length(l) + 1) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM c)
         SELECT query_id, rank, CASE WHEN length(l) <= room THEN l ELSE regexp_replace(substr(l, 1, CAST(room - 1 AS BIGINT)), '[\\s\\x0B\\x{{00A0}}\\x{{3000}}\\x{{FEFF}}]+$', '') || '…' END AS line FROM b WHERE room >= length(l) OR room >= 40""",
+    "t3_over_fetch": f"""WITH {BM25_SQL}, k AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM keyword JOIN documents ON doc_id = id WHERE rank < 100 AND source <> 'src0')
+        SELECT query_id, rank, id, score FROM k WHERE rank < 50""",
     "j4_a16_candidates": f"""WITH {_vector_sql('v', 'q.vec_id % 20 = 0', 'c.vec_id % 20 <> 0')}, f AS (SELECT *, query_id // 100 AS batch FROM v WHERE rank < 5)
         SELECT batch, query_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS candidates, (SELECT count(DISTINCT g.id) FROM f g WHERE g.batch = f.batch) AS pool FROM f GROUP BY batch, query_id""",
 }

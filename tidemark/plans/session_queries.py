@@ -82,8 +82,7 @@ def w6_a12_times(spark, d):
 
 
 def w11_recent_unique(spark, d):
-    m = messages(spark, d).withColumn("message_text", F.substring("message_text", 1, 2))
-    return S.recent_unique(m, 4)
+    return S.recent_unique(messages(spark, d), 4)
 
 
 def w12_last_turn(spark, d):
@@ -91,7 +90,10 @@ def w12_last_turn(spark, d):
 
 
 def w13_history(spark, d):
-    return S.recent_history(messages(spark, d), 2, 1, 40)
+    """Several conversations as one, with heartbeats and short rows among them."""
+    m = messages(spark, d).withColumn("session_id", F.concat(F.lit("c"), F.floor(F.col("conv_id") / 6))).withColumn("turn", F.col("conv_id") * 100 + F.col("turn"))
+    text = F.when(F.col("turn") % 11 == 2, "HEARTBEAT.md please").when(F.col("turn") % 13 == 3, "short").otherwise(F.col("message_text"))
+    return S.recent_history(m.withColumn("message_text", text))
 
 
 def w15_scenes(spark, d):
@@ -114,11 +116,18 @@ _WARM = "(CASE WHEN round <= 1 THEN 1 WHEN round <= 3 THEN 2 WHEN round <= 7 THE
 _SPLIT = f"""split AS (SELECT *, CASE WHEN rn <= 10 THEN 'new' WHEN rn <= 15 THEN 'background' END AS part FROM (
     SELECT *, row_number() OVER (PARTITION BY session_key, sid ORDER BY timestamp DESC, record_id DESC) AS rn FROM (SELECT *, SID AS sid FROM messages) WHERE {extract_sql('message_text')}))"""
 _BACK = "back AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY recorded_at DESC, timestamp DESC, record_id DESC) AS rn FROM messages)"
+
+
+def captured_sql(rows: str) -> str:
+    """CTEs ending in k: the clean, worthwhile user and assistant rows of a table of messages."""
+    return f"""c AS (SELECT conv_id, turn, role, {sanitize_sql('text')} AS s FROM {rows} WHERE role IN ('user', 'assistant')),
+        j AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN {_squeeze_sql("regexp_replace(s, '```[^\\n]*\\n[\\s\\S]*?```', '', 'g')")} ELSE s END AS message_text FROM c), k AS (SELECT * FROM j WHERE {capture_sql('message_text')})"""
+
+
 ORACLES = {
     "f1_flatten": f"""WITH t AS (SELECT conv_id, turn, {_trim_sql("regexp_replace(CASE WHEN turn % 2 = 0 THEN text ELSE text || chr(10) || ' data:image/png;base64,AAAA ' || role END, 'data:image/[A-Za-z+]+;base64,[A-Za-z0-9+/=]+', '[image]', 'g')")} AS content
         FROM conversations WHERE role IN ('user', 'assistant')) SELECT * FROM t WHERE content <> ''""",
-    "captured_messages": f"""WITH {DIRTY_SQL}, c AS (SELECT conv_id, turn, role, {sanitize_sql('text')} AS s FROM dirty WHERE role IN ('user', 'assistant')),
-        k AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN {_squeeze_sql("regexp_replace(s, '```[^\\n]*\\n[\\s\\S]*?```', '', 'g')")} ELSE s END AS message_text FROM c) SELECT * FROM k WHERE {capture_sql('message_text')}""",
+    "captured_messages": f"WITH {DIRTY_SQL}, {captured_sql('dirty')} SELECT conv_id, turn, role, message_text FROM k",
     "f10_cursor": f"""WITH {MESSAGES_SQL}, c AS (SELECT session_key, CASE WHEN min(conv_id) % 3 = 0 THEN 0 ELSE (min(timestamp) + max(timestamp)) // 2 END AS cursor FROM messages WHERE session_key NOT LIKE '%s7' GROUP BY 1)
         SELECT record_id, session_key, timestamp FROM messages LEFT JOIN c USING (session_key) WHERE timestamp > coalesce(nullif(cursor, 0), {FIRST_MS + 5000})""",
     "f11_position": f"""WITH {MESSAGES_SQL}, p AS (SELECT record_id, session_key, conv_id % 20 AS n, row_number() OVER (PARTITION BY session_key ORDER BY timestamp, record_id) - 1 AS pos, count(*) OVER (PARTITION BY session_key) AS total FROM messages)
@@ -135,13 +144,28 @@ ORACLES = {
     "w5_idle": f"""WITH {_ROUNDS}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_key ORDER BY ts, round) > 21600000 THEN 1 ELSE 0 END AS gap FROM rounds),
         b AS (SELECT *, CAST(sum(gap) OVER (PARTITION BY session_key ORDER BY ts, round) AS BIGINT) + 1 AS batch FROM g) SELECT session_key, batch, count(*) AS rounds, min(ts) AS first_ts, max(ts) AS last_ts FROM b GROUP BY 1, 2""",
     "w6_a12_times": f"WITH {MESSAGES_SQL} SELECT record_id, timestamp, recorded_at FROM messages",
-    "w11_recent_unique": f"""WITH {MESSAGES_SQL}, u AS (SELECT session_key, substr(message_text, 1, 2) AS message_text, max(timestamp) AS t FROM messages GROUP BY 1, 2),
+    "w11_recent_unique": f"""WITH {MESSAGES_SQL}, u AS (SELECT session_key, message_text, max(timestamp) AS t FROM messages GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY t DESC) AS rn FROM u) SELECT session_key, message_text, max(rn) OVER (PARTITION BY session_key) - rn AS place FROM r WHERE rn <= 4""",
     "w12_last_turn": f"""WITH {MESSAGES_SQL}, a AS (SELECT session_id, max(turn) AS t, max_by(record_id, turn) AS assistant_id FROM messages WHERE role = 'assistant' GROUP BY 1)
         SELECT m.session_id, assistant_id, max_by(record_id, turn) AS user_id FROM messages m JOIN a USING (session_id) WHERE role = 'user' AND turn < t GROUP BY 1, 2""",
-    "w13_history": f"""WITH {MESSAGES_SQL}, t AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn) AS BIGINT) AS turn_no FROM messages WHERE role IN ('user', 'assistant')),
-        p AS (SELECT *, row_number() OVER (PARTITION BY session_id, turn_no ORDER BY turn) - 1 AS k, max(turn_no) OVER (PARTITION BY session_id) AS top FROM t WHERE turn_no > 0)
-        SELECT session_id, turn_no, turn, role, substr(message_text, 1, 40) AS content FROM p WHERE k <= 1 AND turn_no > top - 2""",
+    "w13_history": f"""WITH {MESSAGES_SQL}, m AS (SELECT 'c' || (conv_id // 6) AS session_id, conv_id * 100 + turn AS turn, role, CASE WHEN (conv_id * 100 + turn) % 11 = 2 THEN 'HEARTBEAT.md please' WHEN (conv_id * 100 + turn) % 13 = 3 THEN 'short' ELSE message_text END AS t FROM messages),
+        e AS (SELECT *, CASE WHEN role = 'user' AND length(coalesce(t, '')) > 5 THEN CASE WHEN contains(t, 'HEARTBEAT.md') THEN 'none' ELSE 'turn' END END AS event FROM m),
+        o AS (SELECT *, CAST(count(*) FILTER (WHERE event = 'turn') OVER w AS BIGINT) AS turn_no, last_value(event IGNORE NULLS) OVER w AS inside FROM e WINDOW w AS (PARTITION BY session_id ORDER BY turn)),
+        k AS (SELECT * FROM o WHERE event = 'turn' OR (role = 'assistant' AND length(coalesce(t, '')) > 10 AND NOT contains(t, 'HEARTBEAT.md') AND inside = 'turn')),
+        p AS (SELECT *, row_number() OVER (PARTITION BY session_id, turn_no ORDER BY turn) - 1 AS k, max(turn_no) OVER (PARTITION BY session_id) AS top FROM k)
+        SELECT session_id, turn_no, turn, role, substr(t, 1, 400) AS content FROM p WHERE k <= 3 AND turn_no > top - 5""",
+    "st4_batches": f"""WITH RECURSIVE {_ROUNDS}, st AS (
+            SELECT DISTINCT session_key, CAST(0 AS BIGINT) AS round, CAST(0 AS BIGINT) AS cnt, CAST(1 AS BIGINT) AS thr, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS last, CAST(0 AS BIGINT) AS batch, false AS idle, false AS hit,
+                CAST(0 AS BIGINT) AS pc, CAST(0 AS BIGINT) AS pf, CAST(0 AS BIGINT) AS pl, CAST(0 AS BIGINT) AS hc FROM rounds
+            UNION ALL
+            SELECT session_key, round, CASE WHEN hit THEN 0 ELSE c2 END, CASE WHEN hit AND t1 > 0 THEN CASE WHEN 2 * t1 >= 5 THEN 0 ELSE 2 * t1 END ELSE t1 END, f2, ts, b1 + CASE WHEN hit THEN 1 ELSE 0 END, idle, hit, pc, pf, pl, c2
+            FROM (SELECT *, c2 >= CASE WHEN t1 > 0 THEN least(t1, 5) ELSE 5 END AS hit FROM (
+                SELECT *, CASE WHEN idle OR pc = 0 THEN 1 ELSE pc + 1 END AS c2, CASE WHEN idle OR pc = 0 THEN ts ELSE pf END AS f2, pb + CASE WHEN idle THEN 1 ELSE 0 END AS b1,
+                    CASE WHEN idle AND pt > 0 THEN CASE WHEN 2 * pt >= 5 THEN 0 ELSE 2 * pt END ELSE pt END AS t1 FROM (
+                    SELECT r.session_key, r.round, r.ts, s.cnt AS pc, s.thr AS pt, s.first AS pf, s.last AS pl, s.batch AS pb, s.cnt > 0 AND r.ts - s.last > 21600000 AS idle FROM st s JOIN rounds r ON r.session_key = s.session_key AND r.round = s.round + 1))))
+        SELECT session_key, batch - CASE WHEN hit THEN 1 ELSE 0 END AS batch, 'idle_timeout' AS reason, pc AS rounds, pf AS first_ts, pl AS last_ts FROM st WHERE idle
+        UNION ALL SELECT session_key, batch, 'threshold', hc, first, last FROM st WHERE hit
+        UNION ALL SELECT session_key, batch + 1, 'flush', cnt, first, last FROM st WHERE cnt > 0 AND round = (SELECT max(round) FROM rounds r WHERE r.session_key = st.session_key)""",
     "w15_scenes": f"""WITH {_ROUNDS}, b AS (SELECT DISTINCT session_key, {_WARM} AS batch FROM rounds), s AS (SELECT *, CASE WHEN batch % 3 = 1 THEN 'scene-' || batch END AS scene FROM b)
         SELECT *, last_value(scene IGNORE NULLS) OVER (PARTITION BY session_key ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_scene FROM s""",
     "a11_time_presence": """WITH c AS (SELECT *, CASE WHEN conv_id % 3 = 0 OR (conv_id % 3 = 1 AND turn > 1) THEN turn END AS t FROM conversations)

@@ -13,7 +13,7 @@ NOW_MS = 1_717_200_000_000
 
 
 def _memory_rows(spark, d):
-    return memories(spark, d).select("record_id", F.substring("content", 1, 50).alias("content"), "type", "priority", "scene_name", F.col("updated_time").alias("created_time"), "updated_time", "doc_id")
+    return memories(spark, d).select("record_id", "content", "type", "priority", "scene_name", F.col("updated_time").alias("created_time"), "updated_time", "doc_id")
 
 
 def j5_u3_x20_decisions(spark, d):
@@ -32,8 +32,9 @@ def j5_u3_x20_decisions(spark, d):
 def j6_upsert(spark, d):
     rows = _memory_rows(spark, d)
     old = rows.where("doc_id % 3 <> 0").drop("doc_id")
-    new = rows.where("doc_id % 2 = 0").withColumns({"content": F.concat("content", F.lit("*")), "created_time": F.lit(NOW), "scene_name": F.lit(None).cast("string"), "updated_time": F.lit(NOW)}).drop("doc_id")
-    return S.upsert(old, new, "record_id", ("created_time",))
+    new = rows.where("doc_id % 2 = 0").withColumns({"content": F.concat("content", F.lit("*")), "created_time": F.lit(NOW), "scene_name": F.lit(None).cast("string"), "updated_time": F.lit(NOW), "at": F.lit(1)})
+    again = new.where("doc_id % 8 = 0").withColumns({"content": F.concat("content", F.lit("*")), "at": F.lit(2)})
+    return S.upsert(old, new.unionByName(again).drop("doc_id"), "record_id", ("created_time",), "at")
 
 
 def a14_expiry(spark, d):
@@ -70,8 +71,8 @@ def u2_deleted_profiles(spark, d):
 def _scenes(spark, d):
     docs = table(spark, d, "documents")
     raw = (
-        F.when(F.col("doc_id") % 6 == 0, F.lit(S.DELETED)).when(F.col("doc_id") % 6 == 1, F.lit("  \n")).when(F.col("doc_id") % 6 == 2, F.concat(F.lit("plain "), F.substring("text", 1, 80)))
-        .otherwise(S.format_scene(F.lit("2024-01-01"), F.concat(F.lit("2024-02-"), F.col("doc_id") % 28 + 1), F.concat(F.lit("about "), "source"), F.col("n_chars"), F.when(F.col("doc_id") % 6 == 3, F.lit("")).otherwise(F.substring("text", 1, 80))))
+        F.when(F.col("doc_id") % 6 == 0, F.lit(S.DELETED)).when(F.col("doc_id") % 6 == 1, F.lit("  \n")).when(F.col("doc_id") % 6 == 2, F.concat(F.lit("plain "), "text"))
+        .otherwise(S.format_scene(F.lit("2024-01-01"), F.concat(F.lit("2024-02-"), F.col("doc_id") % 28 + 1), F.concat(F.lit("about "), "source"), F.col("n_chars"), F.when(F.col("doc_id") % 6 == 3, F.lit("")).otherwise(F.col("text"))))
     )
     return docs.select("doc_id", F.concat(F.lit("s"), "doc_id", F.lit(".md")).alias("filename"), raw.alias("raw"))
 
@@ -93,7 +94,7 @@ def j13_scene_diff(spark, d):
 
 def t8_scenes_by_heat(spark, d):
     s = _scenes(spark, d).select("filename", S.parse_scene(F.col("raw"))["heat"].alias("heat"))
-    return s.orderBy(F.desc("heat"), "filename").limit(20)
+    return s.orderBy(F.desc("heat"), "filename")
 
 
 def w16_unique_names(spark, d):
@@ -102,7 +103,7 @@ def w16_unique_names(spark, d):
 
 
 def w14_canvases(spark, d):
-    e = table(spark, d, "events").where("event_id % 5 = 0").select(F.concat(F.lit("u"), F.col("user_id") % 20).alias("agent"), F.concat(F.lit("c"), "event_id").alias("filename"), F.unix_millis(F.col("ts").cast("timestamp")).alias("mtime_ms"), (F.col("event_id") % 7 == 0).alias("is_active"))
+    e = table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id") % 20).alias("agent"), F.concat(F.lit("c"), "event_id").alias("filename"), F.unix_millis(F.col("ts").cast("timestamp")).alias("mtime_ms"), (F.col("event_id") % 7 == 0).alias("is_active"))
     return S.reclaim_canvases(e, FIRST_MS + 15 * 86_400_000).select("agent", "filename")
 
 
@@ -156,8 +157,10 @@ def a3_time_parts(spark, d):
 
 
 def t4_page(spark, d):
+    """A page by newest first, with the count of all rows."""
     m = memories(spark, d).select("record_id", "updated_time")
-    return m.orderBy(F.desc("updated_time"), "record_id").offset(10).limit(15)
+    total = m.agg(F.count("*").alias("total"))
+    return m.orderBy(F.desc("updated_time"), "record_id").offset(10).limit(15).crossJoin(F.broadcast(total))
 
 
 def t5_keyset_page(spark, d):
@@ -166,7 +169,7 @@ def t5_keyset_page(spark, d):
 
 def t7_sorted_l0(spark, d):
     m = messages(spark, d).withColumn("recorded_at", F.when(F.col("turn") == 1, "bad").otherwise(F.col("recorded_at")))
-    return m.orderBy(F.try_to_timestamp("recorded_at").asc_nulls_last(), "record_id").limit(30).select("record_id", "recorded_at")
+    return m.orderBy(F.try_to_timestamp("recorded_at").asc_nulls_last(), "record_id").select("record_id", "recorded_at")
 
 
 def j17_drill_down(spark, d):
@@ -182,21 +185,15 @@ def j15_restored_prompts(spark, d):
     return m.join(clean, ["session_key", "timestamp"], "left").select("record_id", F.coalesce("clean", "message_text").alias("message_text"))
 
 
-def s9_migration_counts(spark, d):
-    source = S.overview(messages(spark, d), memories(spark, d)).where("key = 'total'").select("layer", F.col("n").alias("source"))
-    target = S.overview(messages(spark, d).select("role"), memories(spark, d).where("doc_id % 10 <> 0")).where("key = 'total'").select("layer", F.col("n").alias("target"))
-    return source.join(target, "layer", "full_outer").withColumn("equal", F.col("source") == F.col("target"))
-
-
 QUERIES = {f.__name__: f for f in (
     j5_u3_x20_decisions, j6_upsert, a14_expiry, a14_expiry_audit, j12_profile_sync, u2_deleted_profiles, x13_scenes, f20_live_scenes, j13_scene_diff, t8_scenes_by_heat, w16_unique_names, w14_canvases, a19_persona_trigger,
-    a1_overview, a9_most_frequent, a5_a6_rollup, f12_t6_l1_query, f13_time_range, f14_filter_language, f21_u4_records, a3_time_parts, t4_page, t5_keyset_page, t7_sorted_l0, j17_drill_down, j15_restored_prompts, s9_migration_counts,
+    a1_overview, a9_most_frequent, a5_a6_rollup, f12_t6_l1_query, f13_time_range, f14_filter_language, f21_u4_records, a3_time_parts, t4_page, t5_keyset_page, t7_sorted_l0, j17_drill_down, j15_restored_prompts,
 )}
-_ROWS = "rows AS (SELECT record_id, substr(content, 1, 50) AS content, type, priority, scene_name, updated_time AS created_time, updated_time, doc_id FROM memories)"
-_SCENES = f"""scenes AS (SELECT doc_id, 's' || doc_id || '.md' AS filename, doc_id % 6 AS k, source, n_chars, trim(substr(text, 1, 80), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) AS body FROM documents),
-    parsed AS (SELECT doc_id, filename, k, CASE WHEN k > 2 THEN '2024-01-01' ELSE '' END AS created, CASE WHEN k > 2 THEN '2024-02-' || (doc_id % 28 + 1) ELSE '' END AS updated, CASE WHEN k > 2 THEN 'about ' || source ELSE '' END AS summary,
-        CASE WHEN k > 2 THEN n_chars ELSE 0 END AS heat, CASE k WHEN 0 THEN '[DELETED]' WHEN 1 THEN '' WHEN 2 THEN rtrim('plain ' || rtrim(substr(text80, 1, 80), chr(10) || ' ')) WHEN 3 THEN '' ELSE body END AS content
-        FROM (SELECT s.*, substr(d.text, 1, 80) AS text80 FROM scenes s JOIN documents d USING (doc_id)))"""
+_ROWS = "rows AS (SELECT record_id, content, type, priority, scene_name, updated_time AS created_time, updated_time, doc_id FROM memories)"
+_TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
+_SCENES = f"""parsed AS (SELECT doc_id, filename, k, CASE WHEN k > 2 THEN '2024-01-01' ELSE '' END AS created, CASE WHEN k > 2 THEN '2024-02-' || (doc_id % 28 + 1) ELSE '' END AS updated, CASE WHEN k > 2 THEN 'about ' || source ELSE '' END AS summary,
+        CASE WHEN k > 2 THEN n_chars ELSE 0 END AS heat, CASE k WHEN 0 THEN '[DELETED]' WHEN 1 THEN '' WHEN 2 THEN {_TRIM.format("'plain ' || text")} WHEN 3 THEN '' ELSE {_TRIM.format("text")} END AS content
+        FROM (SELECT *, doc_id % 6 AS k, 's' || doc_id || '.md' AS filename FROM documents))"""
 _P = """docs AS (SELECT 'p' || doc_id AS id, doc_id, text FROM documents),
     remote AS (SELECT id, md5(text) AS m, doc_id % 3 + 1 AS version, doc_id % 2 * 1000 AS created FROM docs WHERE doc_id % 4 <> 0),
     local AS (SELECT id, md5(CASE WHEN doc_id % 2 = 0 THEN text || '!' ELSE text END) AS m, CASE WHEN doc_id % 5 < 3 THEN doc_id % 3 + 1 END AS base, doc_id % 2 * 500 AS created FROM docs WHERE doc_id % 7 <> 0)"""
@@ -207,7 +204,7 @@ ORACLES = {
         SELECT record_id, content, type, priority, scene_name, created_time, updated_time FROM rows WHERE doc_id % 5 <> 0 AND record_id NOT IN (SELECT record_id FROM gone)
         UNION ALL SELECT r.record_id, CASE WHEN action IN ('update', 'merge') AND r.doc_id % 20 = 0 THEN 'merged' ELSE content END, CASE WHEN action IN ('update', 'merge') AND r.doc_id % 30 <> 0 THEN 'persona' ELSE type END,
             CASE WHEN action IN ('update', 'merge') AND r.doc_id % 40 = 0 THEN 7 ELSE priority END, scene_name, '{NOW}', '{NOW}' FROM rows r LEFT JOIN d USING (record_id) WHERE r.doc_id % 5 = 0 AND coalesce(action, 'store') <> 'skip'""",
-    "j6_upsert": f"""WITH {MEMORIES_SQL}, {_ROWS} SELECT record_id, CASE WHEN doc_id % 2 = 0 THEN content || '*' ELSE content END AS content, type, priority, CASE WHEN doc_id % 2 <> 0 THEN scene_name END AS scene_name,
+    "j6_upsert": f"""WITH {MEMORIES_SQL}, {_ROWS} SELECT record_id, CASE WHEN doc_id % 8 = 0 THEN content || '**' WHEN doc_id % 2 = 0 THEN content || '*' ELSE content END AS content, type, priority, CASE WHEN doc_id % 2 <> 0 THEN scene_name END AS scene_name,
         CASE WHEN doc_id % 3 <> 0 THEN created_time ELSE '{NOW}' END AS created_time, CASE WHEN doc_id % 2 = 0 THEN '{NOW}' ELSE updated_time END AS updated_time FROM rows WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0""",
     "a14_expiry": f"""WITH {MEMORIES_SQL}, n AS (SELECT count(*) AS total, count(*) FILTER (WHERE updated_time < '2024-01-06T00:00:00.000Z') AS e FROM memories)
         SELECT record_id, updated_time FROM memories, n WHERE NOT (total > 20 AND e / total <= 0.8 AND updated_time < '2024-01-06T00:00:00.000Z')""",
@@ -222,11 +219,11 @@ ORACLES = {
     "f20_live_scenes": f"WITH {_SCENES} SELECT filename FROM parsed WHERE content NOT IN ('', '[DELETED]')",
     "j13_scene_diff": f"""WITH {_SCENES}, a AS (SELECT filename, CASE WHEN doc_id % 7 = 0 THEN content || '+' ELSE content END AS a FROM parsed WHERE doc_id % 5 <> 1), b AS (SELECT filename, content AS b FROM parsed WHERE doc_id % 5 <> 0)
         SELECT filename, status FROM (SELECT filename, CASE WHEN b IS NULL THEN 'created' WHEN a IS NULL THEN 'deleted' WHEN a <> b THEN 'updated' END AS status FROM a FULL JOIN b USING (filename)) WHERE status IS NOT NULL""",
-    "t8_scenes_by_heat": f"WITH {_SCENES} SELECT filename, heat FROM parsed ORDER BY heat DESC, filename LIMIT 20",
+    "t8_scenes_by_heat": f"WITH {_SCENES} SELECT filename, heat FROM parsed ORDER BY heat DESC, filename",
     "w16_unique_names": """WITH n AS (SELECT DISTINCT doc_id % 10 AS dir, CASE WHEN doc_id % 3 = 0 THEN 'a b ' ELSE 'a-b-' END || (doc_id % 30) || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '?.md' END AS name FROM documents),
         t AS (SELECT dir, name, replace(replace(name, ' ', '-'), '?', '') AS t FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY dir, t ORDER BY CASE WHEN name = t THEN 0 ELSE 1 END, name) AS k FROM t)
         SELECT dir, name, CASE WHEN k = 1 THEN t ELSE replace(t, '.md', '') || '-' || k || '.md' END AS target FROM r""",
-    "w14_canvases": f"""WITH c AS (SELECT 'u' || (user_id % 20) AS agent, 'c' || event_id AS filename, epoch_ns(ts) // 1000000 AS m FROM events WHERE event_id % 5 = 0 AND event_id % 7 <> 0),
+    "w14_canvases": f"""WITH c AS (SELECT 'u' || (user_id % 20) AS agent, 'c' || event_id AS filename, epoch_ns(ts) // 1000000 AS m FROM events WHERE event_id % 7 <> 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY m, filename) AS rn, count(*) OVER (PARTITION BY agent) AS n FROM c) SELECT agent, filename FROM r WHERE m < {FIRST_MS + 15 * 86_400_000} AND n - rn >= 15""",
     "a19_persona_trigger": f"""WITH {MEMORIES_SQL}, m AS (SELECT session_key, count(*) AS since, count(DISTINCT scene_name) AS scenes, min(doc_id) AS k FROM memories GROUP BY 1)
         SELECT session_key, CASE WHEN k % 9 = 0 THEN 'request' WHEN scenes > 0 AND k % 4 = 0 AND k % 5 <> 0 THEN 'cold_start' WHEN k % 4 > 0 AND k % 5 <> 0 AND k % 3 = 0 THEN 'recovery' WHEN scenes = 1 AND since > 0 THEN 'first_scene' WHEN since >= 12 THEN 'threshold' END AS reason FROM m""",
@@ -240,11 +237,10 @@ ORACLES = {
     "f14_filter_language": f"WITH {MEMORIES_SQL} SELECT record_id, priority FROM memories WHERE type <> 'persona' AND priority >= 20 AND priority < 90 AND scene_name = 'src1'",
     "f21_u4_records": "SELECT event_id, event_type AS timestamps, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'x' END AS a FROM events",
     "a3_time_parts": f"WITH {MESSAGES_SQL} SELECT session_id, min_by(recorded_at, turn) AS first, min(recorded_at) AS low, max(recorded_at) AS high FROM messages GROUP BY 1",
-    "t4_page": f"WITH {MEMORIES_SQL} SELECT record_id, updated_time FROM memories ORDER BY updated_time DESC, record_id LIMIT 15 OFFSET 10",
+    "t4_page": f"WITH {MEMORIES_SQL} SELECT record_id, updated_time, (SELECT count(*) FROM memories) AS total FROM memories ORDER BY updated_time DESC, record_id LIMIT 15 OFFSET 10",
     "t5_keyset_page": f"WITH {MESSAGES_SQL} SELECT record_id, role FROM messages WHERE record_id > 'l0_2' ORDER BY record_id LIMIT 25",
-    "t7_sorted_l0": f"WITH {MESSAGES_SQL} SELECT record_id, recorded_at FROM (SELECT record_id, CASE WHEN turn = 1 THEN 'bad' ELSE recorded_at END AS recorded_at, CASE WHEN turn = 1 THEN NULL ELSE timestamp END AS t FROM messages) ORDER BY t NULLS LAST, record_id LIMIT 30",
+    "t7_sorted_l0": f"WITH {MESSAGES_SQL} SELECT record_id, recorded_at FROM (SELECT record_id, CASE WHEN turn = 1 THEN 'bad' ELSE recorded_at END AS recorded_at, CASE WHEN turn = 1 THEN NULL ELSE timestamp END AS t FROM messages) ORDER BY t NULLS LAST, record_id",
     "j17_drill_down": f"""WITH {MESSAGES_SQL}, {MEMORIES_SQL}, s AS (SELECT record_id, unnest(['l0_' || (doc_id % 50) || '_0', 'l0_' || (doc_id % 50) || '_9']) AS source FROM memories)
         SELECT source, s.record_id, role, timestamp FROM s JOIN messages m ON m.record_id = source""",
     "j15_restored_prompts": f"WITH {MESSAGES_SQL} SELECT record_id, CASE WHEN role = 'user' AND conv_id % 4 = 0 THEN 'the clean prompt' ELSE message_text END AS message_text FROM messages",
-    "s9_migration_counts": """SELECT 'L0' AS layer, count(*) AS source, count(*) AS target, true AS equal FROM conversations UNION ALL SELECT 'L1', count(*), count(*) FILTER (WHERE doc_id % 10 <> 0), count(*) = count(*) FILTER (WHERE doc_id % 10 <> 0) FROM documents""",
 }

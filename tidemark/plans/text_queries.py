@@ -111,7 +111,7 @@ def x1_terms(spark, d):
 
 
 def x2_word_set(spark, d):
-    c = F.concat(F.substring("text", 1, 200), F.element_at(F.array(F.lit(" 日本語"), F.lit("한국 x"), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int")))
+    c = F.concat("text", F.element_at(F.array(F.lit(" 日本語"), F.lit("한국 x"), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int")))
     return table(spark, d, "documents").select("doc_id", F.array_join(T.word_set(c), " ").alias("words"))
 
 
@@ -123,7 +123,7 @@ def x9_x10_x11_memory_lines(spark, d):
     iso = F.col("updated_time")
     start = F.when(F.col("priority") % 4 < 2, D.display_time(iso, "Asia/Shanghai")).otherwise(F.lit(""))
     end = F.when(F.col("priority") % 4 == 1, D.display_time(iso, "Asia/Shanghai")).when(F.col("priority") % 4 == 2, D.display_time(iso, "UTC")).otherwise(F.lit(""))
-    line = T.memory_line(F.col("type"), F.when(F.col("priority") % 2 == 0, F.col("scene_name")), T.sanitize(F.regexp_replace(F.substring("content", 1, 60), "\n", " ")), start, end, D.display_time(iso, "UTC"))
+    line = T.memory_line(F.col("type"), F.when(F.col("priority") % 2 == 0, F.col("scene_name")), T.sanitize(F.regexp_replace("content", "\n", " ")), start, end, D.display_time(iso, "UTC"))
     m = memories(spark, d).select("record_id", line.alias("line"))
     back = T.parse_memory_line(F.col("line"))
     return m.select("record_id", "line", back["kind"].alias("kind"), back["content"].alias("content"), T.truncate_line(F.col("line"), 40).alias("short"))
@@ -212,14 +212,15 @@ ORACLES = {
             OR regexp_matches(k, 'bench-.*-s1|a4:s') OR turn % 7 = 0 OR turn % 5 = 0 AS skipped, regexp_matches(k || '-session-1', 'memory-.*-session-\\d+') AS internal FROM keyed""",
     "x1_terms": f"""SELECT doc_id, array_to_string([t.x for t in list_distinct_ordered if NOT list_contains({_list(T.STOP_WORDS)}, t.x)], ' ') AS terms FROM (
         SELECT doc_id, [{{'x': w, 'i': i}} for w, i in ts if list_position(ts, w) = i] AS list_distinct_ordered FROM (SELECT doc_id, regexp_extract_all({_FOLD}, '[\\p{{L}}\\p{{N}}]+') AS ts FROM documents))""",
-    "x2_word_set": f"""WITH t AS (SELECT doc_id, substr(text, 1, 200) || [' 日本語', '한국 x', ''][doc_id % 3 + 1] AS c FROM documents),
+    "x2_word_set": f"""WITH t AS (SELECT doc_id, text || [' 日本語', '한국 x', ''][doc_id % 3 + 1] AS c FROM documents),
         w AS (SELECT doc_id, regexp_extract_all(lower(c), '[a-z0-9]{{2,}}') AS l, regexp_extract_all(c, '{T.CJK}') AS k FROM t),
-        a AS (SELECT doc_id, list_concat(list_concat(l, k), [k[i] || k[i + 1] for i in range(1, len(k))]) AS x FROM w)
-        SELECT doc_id, array_to_string([y for y, i in x if list_position(x, y) = i], ' ') AS words FROM a""",
+        a AS (SELECT doc_id, list_concat(list_concat(l, k), [k[i] || k[i + 1] for i in range(1, len(k))]) AS x FROM w),
+        u AS (SELECT doc_id, y, min(i) AS i FROM (SELECT doc_id, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a) GROUP BY 1, 2)
+        SELECT a.doc_id, coalesce(string_agg(y, ' ' ORDER BY i), '') AS words FROM a LEFT JOIN u USING (doc_id) GROUP BY 1""",
     "x8_quick_tokens": f"""SELECT doc_id, CAST(ceil(1.5 * n + (length(text) + 2 - n) / 4.0) AS BIGINT) AS tokens FROM (SELECT doc_id, text, len(regexp_extract_all(text || '日本', '{T.CJK}')) AS n FROM documents)""",
     "x9_x10_x11_memory_lines": f"""WITH {MEMORIES_SQL}, parts AS (
             SELECT record_id, type, CASE WHEN priority % 2 = 0 AND scene_name <> '' THEN type || '|' || scene_name ELSE type END AS tag,
-                   {sanitize_sql("regexp_replace(substr(content, 1, 60), '\\n', ' ', 'g')")} AS c, priority % 4 AS p, {_display_sql(8)} AS far, {_display_sql(0)} AS near FROM memories),
+                   {sanitize_sql("regexp_replace(content, '\\n', ' ', 'g')")} AS c, priority % 4 AS p, {_display_sql(8)} AS far, {_display_sql(0)} AS near FROM memories),
         lines AS (SELECT record_id, type, c, '- [' || tag || '] ' || c || ' ({T.TIME_LABEL}' || CASE p WHEN 0 THEN far || '{T.TIME_FROM}' WHEN 1 THEN far || ' ~ ' || far WHEN 2 THEN '{T.TIME_UNTIL}' || near ELSE near END || ')' AS line FROM parts)
         SELECT record_id, line, type AS kind, c AS content, CASE WHEN length(line) <= 40 THEN line ELSE regexp_replace(substr(line, 1, 39), '{_WHITE}+$', '') || '…' END AS short FROM lines""",
     "x12_session_keys": f"""WITH {MESSAGES_SQL}, k AS (SELECT record_id, string_split({_SESSION}, ':') AS p FROM messages),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import schemas
@@ -10,15 +10,23 @@ from tidemark.functions import jsontext as J
 from tidemark.functions.timefn import iso_to_ms, local_date
 from tidemark.operators.stores import parse_scene
 
-SHARD = r"^\d{4}-\d{2}-\d{2}\.jsonl$"
+#: Files of a day: named by it, or written into its folder.
+SHARD = r"(^|/)\d{4}-\d{2}-\d{2}\.jsonl$|/shard_date=\d{4}-\d{2}-\d{2}/[^/]+\.json$"
 UNSAFE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\u2028\u2029\uFFFE\uFFFF]"
 NARROW = r"[^\x09\x0a\x0d\x20-\x7e\u00A0-\uD7FF\uE000-\uFFFD]"
-ROLES = {"human": "user", "user": "user", "ai": "assistant", "assistant": "assistant", "model": "assistant", "system": "system", "tool": "tool"}
+ROLES = {"human": "user", "user": "user", "user_message": "user", "ai": "assistant", "assistant": "assistant", "assistant_message": "assistant", "model": "assistant", "system": "system", "tool": "tool"}
 
 
 def _shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    rows = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where(F.col("_metadata.file_name").rlike(SHARD)).where("_bad is null").drop("_bad")
+    reader = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+    rows = reader.option("recursiveFileLookup", "true").json(path)
+    return rows.where(F.col("_metadata.file_path").rlike(SHARD)).where("_bad is null").drop("_bad")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, pos, line) of text files, which may be split over tasks: pos is a struct that orders a file's lines."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), at.alias("pos"), F.col("value").alias("line"))
 
 
 def read_l0(spark: SparkSession, path: str) -> DataFrame:
@@ -32,19 +40,28 @@ def append_l0(messages: DataFrame, path: str, zone: str = "UTC") -> None:
 
 
 def read_l1(spark: SparkSession, path: str) -> DataFrame:
-    """Memories of all shards, by their last time."""
+    """Memories of all shards; rows without id or content are left out."""
     return _shards(spark, path, schemas.L1).where("id is not null and content is not null")
 
 
+def append_l1(memories: DataFrame, path: str, zone: str = "UTC") -> None:
+    """Memories into folders by the local date of their last change. memories: the columns of schemas.L1."""
+    dated = memories.withColumn("shard_date", local_date(iso_to_ms(F.coalesce(F.nullif("updatedAt", F.lit("")), "createdAt")), zone))
+    dated.write.mode("append").partitionBy("shard_date").json(path)
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """(session_no, sessionKey, sessionId, round, message, role, content, timestamp_ms) of bulk files.
 
     Each file is `{"sessions": [...]}` or the list itself; times are numbers or ISO texts.
     """
-    raw = spark.read.text(path, wholetext=True)
-    whole = F.from_json("value", f"sessions {schemas.SESSIONS}")["sessions"]
-    sessions = F.coalesce(whole, F.from_json("value", schemas.SESSIONS))
-    s = raw.select(F.posexplode(sessions).alias("session_no", "s"))
+    session = schemas.SESSIONS.removeprefix("array<struct<").removesuffix(">>").replace("sessionKey:", "sessionKey ").replace("sessionId:", "sessionId ").replace("conversations:", "conversations ")
+    raw = spark.read.schema(f"sessions {schemas.SESSIONS}, {session}").option("multiLine", "true").json(path)
+    raw = raw.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    # an object is one row with its sessions; a list gives a row for each session, read one after the other
+    listed = raw.where("sessions is null").withColumn("session_no", F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1)
+    whole = raw.where("sessions is not null").select(F.posexplode("sessions").alias("session_no", "s"))
+    s = whole.unionByName(listed.select("session_no", F.struct("sessionKey", "sessionId", "conversations").alias("s")))
     r = s.select("session_no", "s.sessionKey", "s.sessionId", F.posexplode("s.conversations").alias("round", "r"))
     m = r.select("session_no", "sessionKey", "sessionId", "round", F.posexplode("r").alias("message", "m"))
     number = F.col("m.timestamp").try_cast("long")
@@ -73,22 +90,47 @@ def time_presence(rows: DataFrame) -> DataFrame:
     return rows.agg(F.when(some & none, "mixed").when(some, "all_present").otherwise("all_missing").alias("times"))
 
 
+def _items(value: Column) -> Column:
+    """The messages of a JSON value as JSON texts: a list's items, those of an object's list, or the value itself."""
+    listed = F.from_json(value, "array<string>")
+    o = F.from_json(value, "messages array<string>, conversation array<string>, transcript array<string>, message string")
+    inner = F.when(F.ltrim(o["message"]).startswith("{"), F.array(o["message"]))
+    return F.when(F.ltrim(value).startswith("["), listed).when(F.ltrim(value).startswith("{"), F.coalesce(o["messages"], o["conversation"], o["transcript"], inner, F.array(value)))
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, role, content) of line-wise transcripts: plain messages, and entries of type response_item or event_msg."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    block = "array<struct<type:string,text:string>>"
-    get = lambda p: F.get_json_object("line", p)
-    kind = get("$.type")
-    event_role = F.when(get("$.payload.type") == "user_message", "user").when(get("$.payload.type") == "agent_message", "assistant")
-    role = F.coalesce(get("$.payload.role"), F.when(kind == "event_msg", event_role), get("$.role"), get("$.message.role"))
-    raw = F.coalesce(get("$.payload.content"), get("$.payload.message"), get("$.content"), get("$.message.content"), get("$.text"))
-    blocks = F.from_json(raw, block)
-    text = F.when(raw.startswith("["), F.array_join(F.transform(blocks, lambda b: F.coalesce(b["text"], F.lit(""))), "\n")).otherwise(raw)
+    """(file, pos, role, content) of transcripts: lists of messages, objects with such a list, or one message or entry a line.
+
+    Entries may be of type response_item or event_msg. Files that are one document over several lines are read
+    whole, all others by the line; lines that can't be read are left out. pos orders the messages of a file.
+    """
+    lines = _lines(spark, path).where(F.trim("line") != "")
+    good = F.get_json_object("line", "$").isNotNull()
+    start = F.min_by(F.struct("line", good.alias("good")), "pos").alias("start")
+    spread = lines.groupBy("file").agg(start, F.count("*").alias("n")).where((F.col("n") > 1) & ~F.col("start.good") & F.ltrim("start.line").rlike(r"^[\[{]")).select("file")
+    zero = F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("line"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), zero.alias("pos"), F.col("value").alias("line")).join(F.broadcast(spread), "file", "left_semi")
+    documents = lines.join(F.broadcast(spread), "file", "left_anti").unionByName(whole)
+    each = documents.select("file", "pos", F.posexplode(_items(F.col("line"))).alias("k", "item"))
+    get = lambda p: F.get_json_object("item", p)
+    kind, inner = get("$.type"), get("$.payload.type")
+    event_role = F.when(inner == "user_message", "user").when(inner == "agent_message", "assistant")
+    event = F.when((kind == "response_item") & (inner == "message"), get("$.payload.role")).when(kind == "event_msg", event_role)
+    role = F.coalesce(event, F.nullif(get("$.role"), F.lit("")), kind, get("$.speaker"))
+    text = lambda c: F.nullif(F.trim(_text(c)), F.lit(""))
+    content = F.coalesce(F.when(event.isNotNull(), text(F.coalesce(get("$.payload.content"), get("$.payload.message")))), *(text(get(f"$.{key}")) for key in ("content", "text", "message")))
     known = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
-    out = lines.select("file", "pos", known[F.lower(role)].alias("role"), F.trim(text).alias("content"))
+    out = each.select("file", F.struct("pos.block", "pos.line", "k").alias("pos"), known[F.lower(role)].alias("role"), content.alias("content"))
     return out.where("role is not null and content <> ''")
 
 
+def _text(c: Column) -> Column:
+    """The text of a content: itself, the texts of a list of blocks one a line, or that of an object inside."""
+    blocks = F.from_json(c, "array<struct<type:string,text:string>>")
+    inside = F.coalesce(*(F.get_json_object(c, f"$.{key}") for key in ("content", "text", "message")))
+    return F.when(F.ltrim(c).startswith("["), F.array_join(F.transform(blocks, lambda b: F.coalesce(b["text"], F.lit(""))), "\n")).when(F.ltrim(c).startswith("{"), inside).otherwise(c)
+
+
 def last_turns(transcripts: DataFrame) -> DataFrame:
     """(file, user, assistant): the last answer of each file and the question before it."""
     a = transcripts.where("role = 'assistant'").groupBy("file").agg(F.max("pos").alias("at"), F.max_by("content", "pos").alias("assistant"))
@@ -101,8 +143,7 @@ def read_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
     A line is tried as it is, then without unsafe characters; a line without a tool_call_id is invalid.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    lines = lines.where(F.trim("line") != "")
+    lines = _lines(spark, path).where(F.trim("line") != "")
     clean = F.regexp_replace("line", UNSAFE, "")
     whole, again = F.from_json("line", schemas.ENTRY), F.from_json(clean, schemas.ENTRY)
     marked = lines.withColumn("there", F.get_json_object(clean, "$").isNotNull()).withColumn("e", F.when(whole["tool_call_id"].isNotNull(), whole).otherwise(again))
@@ -127,14 +168,23 @@ def read_scenes(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("filename", "s.*")
 
 
-def export(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Tables as JSON lines without their vectors; (collection, documents) counts."""
+def export(tables: dict[str, DataFrame], path: str, where: dict[str, Column] | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Tables as JSON lines without their vectors; (collection, documents) counts, all together under `total`.
+
+    `where` filters a table by its name; offset and limit cut each table in the order of its first column.
+    """
     counts = None
     for name, df in tables.items():
-        df.drop("vector", "embedding").write.mode("overwrite").json(f"{path}/{name}")
-        one = df.agg(F.count("*").alias("documents")).select(F.lit(name).alias("collection"), "documents")
+        kept = df.drop("vector", "embedding")
+        if where and name in where:
+            kept = kept.where(where[name])
+        if offset or limit is not None:
+            kept = kept.orderBy(kept.columns[0]).offset(offset)
+            kept = kept if limit is None else kept.limit(limit)
+        kept.write.mode("overwrite").json(f"{path}/{name}")
+        one = df.sparkSession.read.schema(kept.schema).json(f"{path}/{name}").agg(F.count("*").alias("documents")).select(F.lit(name).alias("collection"), "documents")
         counts = one if counts is None else counts.unionByName(one)
-    return counts
+    return counts.unionByName(counts.agg(F.sum("documents").alias("documents")).select(F.lit("total").alias("collection"), "documents"))
 
 
 def migrate(source: DataFrame, target_path: str, spark: SparkSession) -> bool:

@@ -14,11 +14,23 @@ from tidemark.operators.sessions import BATCH_TYPE, EVERY_N, IDLE_MS, BatchState
 BATCH_COLUMNS = [c.split()[0] for c in BATCH_TYPE.split(", ")]
 
 
-def newer_than_cursor(stream: DataFrame) -> DataFrame:
-    """Rows strictly newer than all that their session has captured in earlier micro-batches; the state is one time a session."""
+#: A session whose state is not touched for so long is forgotten: three times a day of activity.
+FORGET_MS = 3 * 86_400_000
+
+
+def newer_than_cursor(stream: DataFrame, forget_ms: int | None = None) -> DataFrame:
+    """Rows strictly newer than all that their session has captured in earlier micro-batches.
+
+    The state is one time a session. With `forget_ms` (FORGET_MS, say) it goes after so long without rows of the
+    session; rows are handed on at once, so nothing is pending then. A stream that forgets runs until it is stopped,
+    as Spark looks for timeouts in further batches; one that shall end when its input does keeps its cursors.
+    """
     names = stream.columns
 
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         cursor = state.get[0] if state.exists else None
         latest = cursor
         for frame in frames:
@@ -28,13 +40,15 @@ def newer_than_cursor(stream: DataFrame) -> DataFrame:
                 yield kept[names]
         if latest is not None:
             state.update((latest,))
+            if forget_ms:
+                state.setTimeoutDuration(forget_ms)
 
-    return stream.groupBy("session_key").applyInPandasWithState(keep, stream.schema, "cursor long", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("session_key").applyInPandasWithState(keep, stream.schema, "cursor long", "append", GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout)
 
 
-def capture(stream: DataFrame) -> DataFrame:
+def capture(stream: DataFrame, forget_ms: int | None = None) -> DataFrame:
     """Clean, worthwhile rows newer than their session's cursor."""
-    return newer_than_cursor(captured(stream))
+    return newer_than_cursor(captured(stream), forget_ms)
 
 
 def idle_windows(stream: DataFrame, idle: str = "600 seconds", late: str = "10 minutes") -> DataFrame:
