@@ -89,8 +89,9 @@ def estimates(texts: list[str | None]) -> np.ndarray:
     commas, dots = (x[first[own] + size[own]] - x[first[own]] for x in (commas, dots))
     plain = size[own] - commas - dots
     cost[own] = np.where(commas > 0, commas * 2 + 1.0, np.where(dots > 0, np.maximum(2.0, plain / 3 + dots * 1.5), np.where(plain <= 3, 1.0, plain / 2.5)))
-    total = np.bincount(np.searchsorted(begins, first, "right") - 1, cost, len(raw)) if len(first) else np.zeros(len(raw))
-    return np.where(n > 0, np.maximum(1, np.floor(total + 0.5)), 0).astype(np.int64)
+    # whole millionths, so that the order of adding up decides no half
+    total = np.bincount(np.searchsorted(begins, first, "right") - 1, np.rint(cost * 1e6), len(raw)) if len(first) else np.zeros(len(raw))
+    return np.where(n > 0, np.maximum(1, (total.astype(np.int64) + 500_000) // 1_000_000), 0)
 
 
 def _latin(units: np.ndarray, n: np.ndarray, begins: np.ndarray, first: np.ndarray, size: np.ndarray, own: np.ndarray) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.functions import tokens as K
 from tidemark.functions.tokens import estimate_tokens
 from tidemark.operators import offload as O
 from tidemark.plans.base import ENTRIES_SQL, FIRST_MS, table, tool_entries
@@ -197,6 +198,26 @@ QUICK_SQL = f"CAST(ceil(1.5 * len(regexp_extract_all(coalesce(text, ''), '{T.CJK
 _CHAT = f"chat AS (SELECT conv_id, turn, role, {QUICK_SQL} AS tokens, role = 'assistant' AND turn % 3 = 0 AS is_tool FROM conversations)"
 _BLOCKS = f"""blocks AS (SELECT conv_id, turn, block, kind, CASE WHEN kind <> 'text' THEN 'call_' || ((conv_id * 3 + turn + block) % 40) END AS tool_call_id, tokens FROM (
     SELECT conv_id, turn, {QUICK_SQL} AS tokens, unnest(CASE WHEN role = 'assistant' THEN [{{'block': 0, 'kind': 'text'}}, {{'block': 1, 'kind': 'tool_use'}}, {{'block': 2, 'kind': 'tool_use'}}] ELSE [{{'block': 0, 'kind': 'tool_result'}}] END, recursive := true) FROM conversations))"""
+def _steps_sql(n: str, steps: tuple, more: float) -> str:
+    return "CASE " + " ".join(f"WHEN {n} <= {most} THEN {cost}" for most, cost in steps) + f" ELSE {steps[-1][1]} + ({n} - {steps[-1][0]}) * {more} END"
+
+
+_CLASSES = "CASE " + " ".join(f"WHEN {' OR '.join(f'u BETWEEN {a} AND {b}' for a, b in ranges)} THEN '{name}'" for name, ranges in K.RANGES.items()) + " WHEN u > 65535 THEN 'pair' ELSE '' END"
+#: Token estimates by classes of characters; texts have no character beyond the basic plane before position SAMPLE, where units and characters would part.
+ESTIMATES_SQL = f"""c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> ''),
+    k AS (SELECT doc_id, i, u, {_CLASSES} AS k FROM (SELECT doc_id, i, ascii(ch) AS u FROM c)),
+    j AS (SELECT doc_id, i, u, CASE WHEN u = 39 AND lag(k) OVER w = 'latin' AND lead(k) OVER w = 'latin' THEN 'latin' WHEN u IN (44, 46) AND lag(k) OVER w = 'digits' AND lead(k) OVER w = 'digits' THEN 'digits' ELSE k END AS k,
+        k = 'latin' AND u >= 128 AS accent FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    e AS (SELECT *, min(CASE WHEN accent THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nearest, CASE WHEN k = lag(k) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM j),
+    n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
+    f AS (SELECT doc_id, count(*) FILTER (WHERE u BETWEEN 65 AND 90 OR u BETWEEN 97 AND 122) AS letters, count(*) FILTER (WHERE accent) AS accents FROM j WHERE i <= {K.SAMPLE} GROUP BY 1),
+    r AS (SELECT doc_id, k, min(i) AS a, count(*) AS n, count(*) FILTER (WHERE u = 44) AS commas, count(*) FILTER (WHERE u = 46) AS dots FROM n GROUP BY doc_id, run, k),
+    t AS (SELECT r.*, letters > 100 AND accents > letters * 0.005::DOUBLE AND coalesce(e.nearest < r.a + r.n + {K.WINDOW}, false) AS near FROM r JOIN f USING (doc_id) LEFT JOIN e ON r.k = 'latin' AND e.doc_id = r.doc_id AND e.i = greatest(r.a - {K.WINDOW}, 1)),
+    p AS (SELECT doc_id, CAST(CASE k WHEN 'latin' THEN CASE WHEN near THEN {_steps_sql('n', K.ACCENTED, K.ACCENTED_MORE)} ELSE {_steps_sql('n', K.ENGLISH, K.ENGLISH_MORE)} END
+        WHEN 'han' THEN {K.HAN} * n * CASE WHEN n >= 4 THEN {K.HAN_FOUR} WHEN n >= 2 THEN {K.HAN_TWO} ELSE 1 END
+        WHEN 'kana' THEN CASE WHEN n <= 4 THEN [{', '.join(map(str, K.KANA))}][n] WHEN n <= 6 THEN n * {K.KANA_MORE} ELSE n * {K.KANA_LONG} END
+        WHEN 'digits' THEN CASE WHEN commas > 0 THEN commas * 2 + 1 WHEN dots > 0 THEN greatest(2, (n - dots)::DOUBLE / 3 + dots * 1.5) WHEN n <= 3 THEN 1 ELSE n::DOUBLE / 2.5 END
+        WHEN 'pair' THEN 5.0 * n {' '.join(f"WHEN '{name}' THEN {cost} * n" for name, cost in K.PER_UNIT.items())} ELSE 0 END::DOUBLE * 1000000 AS BIGINT) AS cost FROM t)"""
 _SCORED = """m AS (SELECT session_key, idx * 2 + 1 AS idx, 'result' AS kind, [tool_call_id] AS ids, event_id % 50 AS size FROM entries UNION ALL
         SELECT session_key, min(idx) * 2, 'use', list_sort(list(tool_call_id)), 0 FROM entries GROUP BY session_key, idx // 3),
     s AS (SELECT session_key, idx, kind, ids, min(score) AS score, kind = 'use' OR min(summary_size) <= any_value(size) AS fits FROM (SELECT *, unnest(ids) AS tool_call_id FROM m)
@@ -259,5 +280,6 @@ ORACLES = {
     "x26_x27_x35_texts": f"""WITH {ENTRIES_SQL}, t AS (SELECT *, '[Offloaded Tool Result | node: ' || coalesce(node_id, 'N/A') || ']' || chr(10) || 'Summary: ' || summary || chr(10) || 'result_ref: refs/' || event_id || ' (read this file for full tool call and raw result)' AS text FROM entries)
         SELECT event_id, 'grep(' || substr(repeat(summary, 20), 1, 200) || ')' AS tool_call, '[L1 degraded] grep: ' || CASE WHEN length(repeat(summary, 12)) > 300 THEN substr(repeat(summary, 12), 1, 297) || '...' ELSE repeat(summary, 12) END AS summary,
         text, length(text) - length(t.summary) AS delta, CASE WHEN length(repeat(t.summary, 20)) <= 300 THEN repeat(t.summary, 20) ELSE substr(repeat(t.summary, 20), 1, 300) || '…' END AS compact, replace(tool_call_id, '_', '') AS key FROM t""",
+    "x7_token_estimate": f"WITH {ESTIMATES_SQL} SELECT doc_id, coalesce(greatest(1, (CAST(sum(cost) AS BIGINT) + 500000) // 1000000), 0) AS tokens FROM documents LEFT JOIN p USING (doc_id) GROUP BY doc_id",
     "f18_statuses": f"WITH {ENTRIES_SQL} SELECT DISTINCT unnest([tool_call_id, replace(tool_call_id, '_', '')]) AS id, event_id % 3 = 0 AS deleted FROM entries WHERE event_id % 3 < 2",
 }
