@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, read_table
+from tidemark.llm.common import Scratch, read_table
 from tidemark.llm.decontamination import keep_clean
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.near_dedup import near_duplicates
@@ -39,8 +39,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of 2048 tokens."""
-    return pack(docs, payload=F.crc32, payload_name="ids_crc32")
+    """The pieces of all documents in windows of 2048 tokens, small sources more often than they are."""
+    return pack(docs, temper=0.7, payload=F.crc32, payload_name="ids_crc32")
 
 
 STAGES = [
@@ -57,7 +57,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each stage's rows written before the next reads them."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, scratch = read_table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop_but(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

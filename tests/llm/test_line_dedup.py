@@ -24,9 +24,9 @@ def test_against_brute_force(spark):
         (4, None), (5, ""), (None, "Shared line here"), (6, "\n\nShared line here\x0b\nShared line here"), (7, "ÉTÉ shared too"), (8, "x" * 5000 + "\nShared line here"),
     ]
     for min_docs in (1, 2, 3, 5, 9):
-        docs = spark.createDataFrame([(*r, "a", 7) for r in rows], "doc_id long, text string, h1 string, n_lines long")
+        docs = spark.createDataFrame([(*r, "a", 7, "i", "d") for r in rows], "doc_id long, text string, h1 string, n_lines long, __id string, __dropped string")
         got = dedup_lines(docs, min_chars=10, min_docs=min_docs)
-        assert {"h1", "n_lines"} <= set(got.columns)
+        assert {"h1", "n_lines", "__id", "__dropped"} <= set(got.columns) and {(r["__id"], r["__dropped"]) for r in got.collect()} == {("i", "d")}
         assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == brute(rows, 10, min_docs)
     assert dedup_lines(docs.limit(0)).count() == 0
 

@@ -49,3 +49,20 @@ def test_stages_against_brute_force(spark, data_dir):
     check_pieces([(r.doc_id, r.text, r.source) for r in rows["decontamination"]], rows["packing"], 2048)
     # which place a document takes in its queue depends on the partitions; that all stages apply does not
     check_pieces([(r.doc_id, r.text, r.source) for r in rows["decontamination"]], corpus_pipeline.run(spark, data_dir).collect(), 2048)
+
+
+def test_stages_take_odd_rows(spark, data_dir):
+    """Null ids and texts, repeated rows, clashing columns and empty tables: each stage keeps the columns of documents."""
+    good = next(r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect() if r.text and len(r.text) > 1500)
+    rows = [(1, good, "en", "a", 1, "x"), (None, good, "en", None, 1, "x"), (2, None, None, "a", None, "x"), (3, "", "en", "b", 0, "x"), (1, good, "en", "a", 1, "x"), (4, good + " more", "en", "b", 2, "x")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, __id string"
+    docs = spark.createDataFrame(rows, kind)
+    for name, stage in corpus_pipeline.STAGES:
+        for frame in (docs, docs.limit(0)):
+            out = stage(spark, frame, data_dir)
+            if name != "packing":
+                assert out.columns == list(corpus_pipeline.COLUMNS)
+            got = out.collect()
+            assert not got or frame is docs
+        if name == "near_dedup":
+            assert sorted(-1 if r.doc_id is None else r.doc_id for r in stage(spark, docs, data_dir).collect()) == [-1, 1, 1, 2, 3]

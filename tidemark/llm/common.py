@@ -37,13 +37,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: later passes neither recompute it nor lose it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Scratch:
     """Written tables of one job, which go when nothing reads them any more."""
 
