@@ -93,7 +93,7 @@ class WordHashes(dict):
     Emptied when it holds `bound` words, so that memory stays bounded; results don't depend on it.
     """
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 250_000):
         super().__init__()
         self.bound = bound
 

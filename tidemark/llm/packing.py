@@ -42,7 +42,7 @@ class _ChunkIds(dict):
     are met again come back, and the old ones before go; so memory stays bounded and what is frequent stays.
     """
 
-    def __init__(self, tokenizer, kind: np.dtype, bound: int = 450_000):
+    def __init__(self, tokenizer, kind: np.dtype, bound: int = 250_000):
         super().__init__()
         self.tokenizer, self.code, self.bound, self.size = tokenizer, "H" if kind.itemsize == 2 else "I", bound, 0
         self.old: dict[bytes, bytes] = {}
