@@ -84,17 +84,30 @@ def backfill(entries: DataFrame, mapping: DataFrame, waiting: DataFrame, canvas_
 
 
 def new_entries(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Entries whose id, written with or without underscores, isn't stored; repeats within the batch stay."""
-    known = stored.select(T.tool_key(F.col("tool_call_id")).alias("__k")).distinct()
-    return batch.withColumn("__k", T.tool_key(F.col("tool_call_id"))).join(known, "__k", "left_anti").drop("__k")
+    """Entries whose id, written with or without underscores, isn't stored in their session; repeats within the batch stay.
+
+    Both: (session_key, tool_call_id, ...). Entries without an id (null or empty) are always new.
+    """
+    has_id = F.coalesce(F.col("tool_call_id") != "", F.lit(False))
+    known = stored.where(has_id).select("session_key", T.tool_key(F.col("tool_call_id")).alias("__k")).distinct()
+    own = batch.withColumn("__k", F.when(has_id, T.tool_key(F.col("tool_call_id"))))
+    return own.join(known, ["session_key", "__k"], "left_anti").select(*batch.columns)
 
 
 def lookup(ids: DataFrame, entries: DataFrame) -> DataFrame:
-    """Entries of asked ids: by the exact id, else by the id without underscores (the first by id). ids: (tool_call_id)."""
-    exact = entries.select("tool_call_id", F.col("event_id").alias("exact"))
-    loose = entries.groupBy(T.tool_key(F.col("tool_call_id")).alias("__k")).agg(F.min("event_id").alias("loose"))
-    out = ids.join(exact, "tool_call_id", "left").withColumn("__k", T.tool_key(F.col("tool_call_id"))).join(loose, "__k", "left")
-    return out.select("tool_call_id", F.coalesce("exact", "loose").alias("event_id"))
+    """Asked ids with `entry`, the stored entry of their session (null: none), a struct of the other columns of `entries`.
+
+    ids: (session_key, tool_call_id, ...); entries: (session_key, idx, tool_call_id, ...). The last entry of the exact id
+    counts; else the last one of the id without underscores, else the first whose id gives that without its own.
+    """
+    key = ["session_key", "tool_call_id"]
+    entry = F.struct(*(c for c in entries.columns if c not in key))
+    bare = T.tool_key(F.col("tool_call_id"))
+    last = entries.groupBy(*key).agg(F.max_by(entry, "idx").alias("__last"))
+    plain = F.col("tool_call_id") == bare
+    loose = entries.groupBy("session_key", bare.alias("__k")).agg(F.max_by(F.when(plain, entry), F.when(plain, F.col("idx"))).alias("__plain"), F.min_by(F.when(~plain, entry), F.when(~plain, F.col("idx"))).alias("__first"))
+    out = ids.withColumn("__k", bare).join(last, key, "left").join(loose, ["session_key", "__k"], "left")
+    return out.select(*(F.col(c) for c in ids.columns), F.coalesce("__last", "__plain", "__first").alias("entry"))
 
 
 def chunks(pairs: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -131,13 +144,21 @@ def head_cut(messages: DataFrame, threshold: Column) -> DataFrame:
 
 
 def tail_keep(messages: DataFrame, target: Column) -> DataFrame:
-    """(conv_id, keep_from, n): the longest tail within the target, at least KEEP_TAIL messages, with the last user row."""
-    back = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    m = messages.withColumn("suffix", F.sum("tokens").over(back)).withColumn("pos", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).withColumn("target", target)
+    """(conv_id, keep_from, n): the tail to keep, from the position `keep_from` on.
+
+    messages: (conv_id, turn, role, tokens, is_tool_result). The longest tail within the target, without tool results at
+    its head, whose calls are gone; with the last user row; of KEEP_TAIL messages at least. One shuffle, by conversation.
+    """
+    all_, order = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy("turn")
+    m = messages.withColumn("pos", F.row_number().over(order) - 1).withColumn("target", target)
+    m = m.withColumn("suffix", F.sum("tokens").over(all_) - F.sum("tokens").over(order) + F.col("tokens"))
+    m = m.withColumn("from", F.coalesce(F.max(F.when(F.col("suffix") > F.col("target"), F.col("pos") + 1)).over(all_), F.lit(0)))
     s = m.groupBy("conv_id").agg(
-        F.count("*").alias("n"), F.coalesce(F.max(F.when(F.col("suffix") > F.col("target"), F.col("pos") + 1)), F.lit(0)).alias("from"), F.max(F.when(F.col("role") == "user", F.col("pos"))).alias("user"),
+        F.count("*").alias("n"), F.min(F.when((F.col("pos") >= F.col("from")) & ~F.col("is_tool_result"), F.col("pos"))).alias("from"),
+        F.max(F.when(F.col("role").isin("user", "human"), F.col("pos"))).alias("user"),
     )
-    kept = F.when((F.col("user") < F.col("from")) & (F.col("from") < F.col("n")), F.col("user")).otherwise(F.col("from"))
+    start = F.coalesce("from", "n")
+    kept = F.when((F.col("user") < start) & (start < F.col("n")), F.col("user")).otherwise(start)
     kept = F.when(F.col("n") - kept < KEEP_TAIL, F.greatest(F.col("n") - KEEP_TAIL, F.lit(0))).otherwise(kept)
     return s.select("conv_id", kept.cast("long").alias("keep_from"), "n")
 
@@ -167,12 +188,12 @@ def canvas_budget(canvases: DataFrame, deleted: DataFrame, budget: int) -> DataF
 
 
 def reapply_deleted(blocks: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Blocks that stay: tool results and tool uses with a deleted id go, and so do rows of which nothing is left.
+    """Blocks that stay: tool results and tool uses with an id deleted in their conversation go, and so do rows of which nothing is left.
 
-    blocks: (conv_id, turn, kind, tool_call_id, text); deleted: (tool_call_id).
+    blocks: (conv_id, turn, kind, tool_call_id, ...); deleted: (conv_id, tool_call_id). Ids count without underscores.
     """
-    known = deleted.select(T.tool_key(F.col("tool_call_id")).alias("__k")).distinct()
-    return blocks.withColumn("__k", T.tool_key(F.coalesce("tool_call_id", F.lit("")))).join(known, "__k", "left_anti").drop("__k")
+    known = deleted.select("conv_id", T.tool_key(F.col("tool_call_id")).alias("__k")).distinct()
+    return blocks.withColumn("__k", T.tool_key(F.col("tool_call_id"))).join(known, ["conv_id", "__k"], "left_anti").select(*blocks.columns)
 
 
 def summary_text(node: Column, summary: Column, ref: Column) -> Column:
@@ -201,9 +222,9 @@ def largest_group(blocks: DataFrame) -> DataFrame:
 
 
 def replaceable(results: DataFrame, entries: DataFrame) -> DataFrame:
-    """Tool results of which an entry is stored, by the id without underscores. Both: (tool_call_id, ...)."""
-    known = entries.select(T.tool_key(F.col("tool_call_id")).alias("__k")).distinct()
-    return results.withColumn("__k", T.tool_key(F.col("tool_call_id"))).join(known, "__k", "left_semi").drop("__k")
+    """Tool results of which their session has an entry, by the id without underscores. Both: (session_key, tool_call_id, ...)."""
+    known = entries.select("session_key", T.tool_key(F.col("tool_call_id")).alias("__k")).distinct()
+    return results.withColumn("__k", T.tool_key(F.col("tool_call_id"))).join(known, ["session_key", "__k"], "left_semi").select(*results.columns)
 
 
 def scored_messages(messages: DataFrame, entries: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def j7_boundaries(spark, d):
 def a18_triggers(spark, d):
     k = F.substring("session_key", 2, 20).cast("long")
     last = tool_entries(spark, d).select("session_key").distinct().where(k % 3 != 0).withColumn("last_ms", F.lit(NOW_MS - 1_000_000_000) + k * 7_919_000 % 1_000_000_000)
-    return O.triggers(tool_entries(spark, d).where("event_id % 3 <> 0 or event_id % 2 = 0"), boundaries(spark, d), last, NOW_MS)
+    return O.triggers(tool_entries(spark, d), boundaries(spark, d), last, NOW_MS)
 
 
 def a20_residue(spark, d):
@@ -48,17 +48,26 @@ def j10_backfill(spark, d):
     return O.backfill(e.select("session_key", "tool_call_id", "node_id"), mapping.unionByName(again), e.where("event_id % 5 < 3").select("session_key", "tool_call_id"), "000-N9")
 
 
+def _shared_ids(spark, d):
+    """Tool entries whose ids every session counts anew, so sessions share them; some ids come twice in a session, in two spellings."""
+    n = F.col("idx") - F.when(F.col("idx") % 9 == 8, 4).otherwise(0)
+    return tool_entries(spark, d).withColumn("tool_call_id", F.concat(F.when(F.col("idx") % 3 == 0, F.lit("call")).otherwise(F.lit("call_")), n))
+
+
 def j8_new_entries(spark, d):
-    e = tool_entries(spark, d)
-    stored = e.where("event_id % 3 = 0").select(F.when(F.col("event_id") % 2 == 0, F.replace("tool_call_id", F.lit("_"), F.lit(""))).otherwise(F.col("tool_call_id")).alias("tool_call_id"))
-    batch = e.where("event_id % 2 = 0").select("tool_call_id", "event_id")
+    """Entries of even events that are not stored in their own session."""
+    e = _shared_ids(spark, d)
+    stored = e.where("event_id % 3 = 0").select("session_key", F.when(F.col("event_id") % 2 == 0, F.replace("tool_call_id", F.lit("_"), F.lit(""))).otherwise(F.col("tool_call_id")).alias("tool_call_id"))
+    batch = e.where("event_id % 2 = 0").select("session_key", F.when(F.col("event_id") % 14 != 0, F.col("tool_call_id")).alias("tool_call_id"), "event_id")
     return O.new_entries(batch.unionByName(batch.where("event_id % 5 = 0")), stored)
 
 
 def j9_lookup(spark, d):
-    e = tool_entries(spark, d)
-    asked = e.where("event_id % 2 = 0").select(F.when(F.col("event_id") % 4 == 0, F.col("tool_call_id")).when(F.col("event_id") % 6 == 0, F.concat(F.lit("none_"), "tool_call_id")).otherwise(F.replace("tool_call_id", F.lit("_"), F.lit(""))).alias("tool_call_id"))
-    return O.lookup(asked, e)
+    """The stored entry of each asked id in its session."""
+    e = _shared_ids(spark, d)
+    spelling = F.when(F.col("event_id") % 4 == 0, F.col("tool_call_id")).when(F.col("event_id") % 6 == 0, F.concat(F.lit("none_"), "tool_call_id")).when(F.col("event_id") % 4 == 1, F.concat(F.lit("c_"), F.substring("tool_call_id", 2, 99)))
+    asked = e.select("session_key", F.coalesce(spelling, F.replace("tool_call_id", F.lit("_"), F.lit(""))).alias("tool_call_id"), F.col("event_id").alias("asked"))
+    return O.lookup(asked, e.where("event_id % 5 <> 0").select("session_key", "idx", "tool_call_id", "event_id")).select("session_key", "tool_call_id", "asked", F.col("entry.event_id").alias("event_id"))
 
 
 def j11_orphans(spark, d):
@@ -94,10 +103,10 @@ def w10_canvas_budget(spark, d):
 
 
 def u5_replaceable(spark, d):
-    """Tool results that stored entries can replace, here with ids written in two ways."""
-    e = tool_entries(spark, d)
-    results = e.select("event_id", F.when(F.col("event_id") % 2 == 0, F.replace("tool_call_id", F.lit("_"), F.lit(""))).otherwise(F.col("tool_call_id")).alias("tool_call_id"))
-    return O.replaceable(results, e.where("event_id % 3 <> 0")).select("event_id", "tool_call_id")
+    """Tool results that their session's stored entries can replace, here with ids written in two ways."""
+    e = _shared_ids(spark, d)
+    results = e.select("session_key", "event_id", F.when(F.col("event_id") % 2 == 0, F.replace("tool_call_id", F.lit("_"), F.lit(""))).otherwise(F.col("tool_call_id")).alias("tool_call_id"))
+    return O.replaceable(results, e.where("event_id % 3 <> 0"))
 
 
 def _messages(spark, d):
@@ -137,8 +146,10 @@ def _blocks(spark, d):
 
 
 def j18_reapply(spark, d):
-    deleted = spark.range(40).where("id % 3 = 0").select(F.concat(F.lit("call"), "id").alias("tool_call_id"))
-    return O.reapply_deleted(_blocks(spark, d), deleted).select("conv_id", "turn", "block", "kind")
+    """Blocks of conversations without the calls that were deleted in them; conversations share ids."""
+    b = _blocks(spark, d)
+    deleted = b.where("kind = 'tool_use' and (conv_id + turn) % 3 = 0").select("conv_id", F.replace("tool_call_id", F.lit("_"), F.lit("")).alias("tool_call_id"))
+    return O.reapply_deleted(b, deleted).select("conv_id", "turn", "block", "kind")
 
 
 def j14_heartbeat_rows(spark, d):
@@ -218,16 +229,17 @@ ESTIMATES_SQL = f"""c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, g
         WHEN 'kana' THEN CASE WHEN n <= 4 THEN [{', '.join(map(str, K.KANA))}][n] WHEN n <= 6 THEN n * {K.KANA_MORE} ELSE n * {K.KANA_LONG} END
         WHEN 'digits' THEN CASE WHEN commas > 0 THEN commas * 2 + 1 WHEN dots > 0 THEN greatest(2, (n - dots)::DOUBLE / 3 + dots * 1.5) WHEN n <= 3 THEN 1 ELSE n::DOUBLE / 2.5 END
         WHEN 'pair' THEN 5.0 * n {' '.join(f"WHEN '{name}' THEN {cost} * n" for name, cost in K.PER_UNIT.items())} ELSE 0 END::DOUBLE * 1000000 AS BIGINT) AS cost FROM t)"""
+_SHARED = "shared AS (SELECT * REPLACE (CASE WHEN idx % 3 = 0 THEN 'call' ELSE 'call_' END || (idx - CASE WHEN idx % 9 = 8 THEN 4 ELSE 0 END) AS tool_call_id) FROM entries)"
 _SCORED = """m AS (SELECT session_key, idx * 2 + 1 AS idx, 'result' AS kind, [tool_call_id] AS ids, event_id % 50 AS size FROM entries UNION ALL
         SELECT session_key, min(idx) * 2, 'use', list_sort(list(tool_call_id)), 0 FROM entries GROUP BY session_key, idx // 3),
     s AS (SELECT session_key, idx, kind, ids, min(score) AS score, kind = 'use' OR min(summary_size) <= any_value(size) AS fits FROM (SELECT *, unnest(ids) AS tool_call_id FROM m)
         JOIN (SELECT session_key, tool_call_id, score, event_id % 40 AS summary_size FROM entries WHERE event_id % 7 <> 0) USING (session_key, tool_call_id) GROUP BY 1, 2, 3, 4 HAVING count(*) = len(ids))"""
 ORACLES = {
     "j7_boundaries": f"WITH {ENTRIES_SQL}, {_B} SELECT event_id, result, target FROM own",
-    "a18_triggers": f"""WITH {ENTRIES_SQL}, {_B}, held AS (SELECT * FROM entries WHERE event_id % 3 <> 0 OR event_id % 2 = 0),
-        e AS (SELECT * FROM own WHERE (event_id % 3 <> 0 OR event_id % 2 = 0) AND (node_id IS NULL OR (node_id = 'wait' AND ({NOW_MS} - ts_ms) / 1000.0 >= 120)) AND result = 'long' AND target IS NOT NULL),
+    "a18_triggers": f"""WITH {ENTRIES_SQL}, {_B},
+        e AS (SELECT * FROM own WHERE (node_id IS NULL OR (node_id = 'wait' AND ({NOW_MS} - ts_ms) / 1000.0 >= 120)) AND result = 'long' AND target IS NOT NULL),
         s AS (SELECT session_key, count(DISTINCT (target, tool_call_id)) AS eligible, count(*) FILTER (WHERE node_id IS NULL) AS nulls, count(DISTINCT target) AS canvases FROM e GROUP BY 1),
-        o AS (SELECT session_key, min_by(ts_ms, idx) AS oldest, max(ts_ms) AS latest FROM held WHERE node_id IS NULL GROUP BY 1),
+        o AS (SELECT session_key, min_by(ts_ms, idx) AS oldest, max(ts_ms) AS latest FROM entries WHERE node_id IS NULL GROUP BY 1),
         l AS (SELECT DISTINCT session_key, {NOW_MS - 1_000_000_000} + CAST(substr(session_key, 2) AS BIGINT) * 7919000 % 1000000000 AS last_ms FROM entries WHERE CAST(substr(session_key, 2) AS BIGINT) % 3 <> 0)
         SELECT session_key, eligible, nulls, canvases, CASE WHEN nulls >= 4 THEN 'null_count' WHEN last_ms IS NOT NULL AND ({NOW_MS} - last_ms) / 1000.0 >= 300 AND (eligible > nulls OR latest > last_ms) THEN 'timeout'
             WHEN last_ms IS NULL AND eligible > nulls THEN 'retry_wait' WHEN last_ms IS NULL AND ({NOW_MS} - oldest) / 1000.0 >= 300 THEN 'oldest_null' END AS reason FROM s LEFT JOIN o USING (session_key) LEFT JOIN l USING (session_key)""",
@@ -238,8 +250,14 @@ ORACLES = {
         c AS (SELECT session_key, node, row_number() OVER (PARTITION BY session_key ORDER BY count(*) DESC, min(pos)) AS rn FROM m GROUP BY 1, 2), b AS (SELECT session_key, node AS best FROM c WHERE rn = 1)
         SELECT e.session_key, e.tool_call_id, CASE WHEN m.node IS NOT NULL THEN m.node WHEN node_id = 'wait' AND event_id % 5 < 3 THEN coalesce(best, '000-N9') ELSE node_id END AS node_id
         FROM entries e LEFT JOIN m USING (session_key, tool_call_id) LEFT JOIN b USING (session_key)""",
-    "j8_new_entries": f"""WITH {ENTRIES_SQL} SELECT tool_call_id, event_id FROM entries WHERE event_id % 2 = 0 AND event_id % 3 <> 0 UNION ALL SELECT tool_call_id, event_id FROM entries WHERE event_id % 10 = 0 AND event_id % 3 <> 0""",
-    "j9_lookup": f"""WITH {ENTRIES_SQL} SELECT CASE WHEN event_id % 4 = 0 THEN tool_call_id WHEN event_id % 6 = 0 THEN 'none_' || tool_call_id ELSE replace(tool_call_id, '_', '') END AS tool_call_id, CASE WHEN event_id % 4 = 0 OR event_id % 6 <> 0 THEN event_id END AS event_id FROM entries WHERE event_id % 2 = 0""",
+    "j8_new_entries": f"""WITH {ENTRIES_SQL}, {_SHARED}, stored AS (SELECT DISTINCT session_key, replace(tool_call_id, '_', '') AS k FROM shared WHERE event_id % 3 = 0),
+        batch AS (SELECT session_key, CASE WHEN event_id % 14 <> 0 THEN tool_call_id END AS tool_call_id, event_id, unnest(range(CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END)) AS copy FROM shared WHERE event_id % 2 = 0)
+        SELECT session_key, tool_call_id, event_id FROM batch b WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.session_key = b.session_key AND s.k = replace(b.tool_call_id, '_', ''))""",
+    "j9_lookup": f"""WITH {ENTRIES_SQL}, {_SHARED}, stored AS (SELECT session_key, idx, tool_call_id AS id, replace(tool_call_id, '_', '') AS k, event_id FROM shared WHERE event_id % 5 <> 0),
+        asked AS (SELECT session_key, event_id AS asked, CASE WHEN event_id % 4 = 0 THEN tool_call_id WHEN event_id % 6 = 0 THEN 'none_' || tool_call_id WHEN event_id % 4 = 1 THEN 'c_' || substr(tool_call_id, 2) ELSE replace(tool_call_id, '_', '') END AS tool_call_id FROM shared),
+        met AS (SELECT a.session_key, a.asked, s.event_id, CASE WHEN s.id = a.tool_call_id THEN 0 WHEN s.id = s.k THEN 1 ELSE 2 END AS place, s.idx FROM asked a JOIN stored s ON s.session_key = a.session_key AND s.k = replace(a.tool_call_id, '_', '')),
+        best AS (SELECT asked, event_id FROM met QUALIFY row_number() OVER (PARTITION BY asked ORDER BY place, CASE WHEN place < 2 THEN -idx ELSE idx END) = 1)
+        SELECT session_key, tool_call_id, asked, event_id FROM asked LEFT JOIN best USING (asked)""",
     "j11_orphans": f"WITH {ENTRIES_SQL} SELECT 'refs/' || event_id || '.md' AS result_ref, ts_ms AS mtime_ms FROM entries WHERE event_id % 3 = 0 AND ts_ms < {FIRST_MS + 15 * 86_400_000}",
     "w17_chunks": f"""WITH {ENTRIES_SQL} SELECT event_id, session_key, (row_number() OVER (PARTITION BY session_key ORDER BY idx) - 1) // 5 AS chunk, count(*) OVER (PARTITION BY session_key) >= 4 AS due FROM entries WHERE event_id % 9 <> 0""",
     "w8_head_cut": f"""WITH {_CHAT}, p AS (SELECT *, row_number() OVER w AS pos, sum(tokens) OVER w AS s, 120 + conv_id % 90 AS lim FROM chat WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
@@ -248,16 +266,19 @@ ORACLES = {
         a AS (SELECT f.*, CASE WHEN raw <= 0 OR raw >= n THEN raw ELSE coalesce((SELECT min(pos) - 1 FROM p WHERE p.conv_id = f.conv_id AND pos > raw AND NOT is_tool), n) END AS adj FROM f),
         c AS (SELECT *, CASE WHEN adj <= 0 THEN 0 WHEN lu IS NULL OR adj <= lu THEN adj ELSE lu END AS cut FROM a)
         SELECT conv_id, cut, CAST(total - coalesce((SELECT s FROM p WHERE p.conv_id = c.conv_id AND pos = cut), 0) AS BIGINT) AS tokens_left FROM c""",
-    "w9_tail_keep": f"""WITH {_CHAT}, m AS (SELECT conv_id // 10 AS conv_id, turn + conv_id * 10 AS turn, role, tokens FROM chat),
+    "w9_tail_keep": f"""WITH {_CHAT}, m AS (SELECT conv_id // 10 AS conv_id, turn + conv_id * 10 AS turn, role, tokens, is_tool FROM chat),
         p AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS suffix, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM m),
         s AS (SELECT conv_id, count(*) AS n, coalesce(max(pos + 1) FILTER (WHERE suffix > 900 + conv_id % 500), 0) AS f, max(pos) FILTER (WHERE role = 'user') AS u FROM p GROUP BY 1),
-        k AS (SELECT *, CASE WHEN u < f AND f < n THEN u ELSE f END AS k FROM s) SELECT conv_id, CASE WHEN n - k < 10 THEN greatest(n - 10, 0) ELSE k END AS keep_from, n FROM k""",
-    "j18_reapply": f"WITH {_BLOCKS} SELECT conv_id, turn, block, kind FROM blocks WHERE tool_call_id IS NULL OR CAST(substr(tool_call_id, 6) AS BIGINT) % 3 <> 0",
+        g AS (SELECT conv_id, n, u, coalesce((SELECT min(pos) FROM p WHERE p.conv_id = s.conv_id AND pos >= f AND NOT is_tool), n) AS f FROM s),
+        k AS (SELECT *, CASE WHEN u < f AND f < n THEN u ELSE f END AS k FROM g) SELECT conv_id, CASE WHEN n - k < 10 THEN greatest(n - 10, 0) ELSE k END AS keep_from, n FROM k""",
+    "j18_reapply": f"""WITH {_BLOCKS} SELECT conv_id, turn, block, kind FROM blocks b WHERE tool_call_id IS NULL OR NOT EXISTS (
+        SELECT 1 FROM blocks d WHERE d.kind = 'tool_use' AND (d.conv_id + d.turn) % 3 = 0 AND d.conv_id = b.conv_id AND d.tool_call_id = b.tool_call_id)""",
     "j14_heartbeat_rows": f"""WITH {_BLOCKS}, i AS (SELECT DISTINCT conv_id, tool_call_id FROM blocks WHERE kind = 'tool_use' AND conv_id % 5 = 0)
         SELECT conv_id, turn, count(*) AS blocks FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.conv_id = b.conv_id AND i.tool_call_id = b.tool_call_id) GROUP BY 1, 2""",
     "t10_largest_group": f"""WITH {_BLOCKS}, s AS (SELECT conv_id, tool_call_id, CAST(sum(tokens) AS BIGINT) AS tokens FROM blocks WHERE tool_call_id IS NOT NULL GROUP BY 1, 2)
         SELECT conv_id, tool_call_id, tokens FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY tokens DESC, tool_call_id) AS rn FROM s) WHERE rn = 1""",
-    "u5_replaceable": f"WITH {ENTRIES_SQL} SELECT event_id, CASE WHEN event_id % 2 = 0 THEN replace(tool_call_id, '_', '') ELSE tool_call_id END AS tool_call_id FROM entries WHERE event_id % 3 <> 0",
+    "u5_replaceable": f"""WITH {ENTRIES_SQL}, {_SHARED} SELECT session_key, event_id, CASE WHEN event_id % 2 = 0 THEN replace(tool_call_id, '_', '') ELSE tool_call_id END AS tool_call_id FROM shared r
+        WHERE EXISTS (SELECT 1 FROM shared s WHERE s.event_id % 3 <> 0 AND s.session_key = r.session_key AND replace(s.tool_call_id, '_', '') = replace(r.tool_call_id, '_', ''))""",
     "p4_t9_a8_cascade": f"""WITH {ENTRIES_SQL}, {_SCORED}, n AS (SELECT session_key, count(*) AS n FROM m GROUP BY 1),
         k AS (SELECT s.*, least(score, 7) AS level FROM s JOIN n USING (session_key) WHERE idx < floor(n * 0.7) AND score >= 1),
         r AS (SELECT session_key, idx, max(level) AS level FROM (SELECT session_key, idx, level FROM k WHERE fits UNION ALL
