@@ -35,12 +35,13 @@ _PIECES = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _OTHER_SPACE = re.compile(f"[{_OTHER}]")
 #: White space to some libraries only.
 _UNSURE = re.compile(r"[\x1c-\x1f]")
-_LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-_WORD = re.compile(f"([{_LETTERS}]+)([,.;:!?]*)")
+#: Signs that no letter follows in a pretoken.
+_SIGNS = ",.;:!?#*$%&|<>()[]{}=+-/_"
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
 
 class PieceIds(dict):
-    """Packed identifiers of the pieces of texts.
+    """Packed identifiers of the pieces of texts, made when a piece is first asked for.
 
     A piece after one space stands as itself, one that begins a line with a line feed before it, any other
     with a carriage return before it. Plain words go straight to the merges, signs after them apart. At
@@ -48,24 +49,25 @@ class PieceIds(dict):
     are met again come back, and the old ones before go; so memory stays bounded and what is frequent stays.
     """
 
-    def __init__(self, tokenizer, bound: int = 250_000):
+    def __init__(self, tokenizer, bound: int = 600_000):
         super().__init__()
-        self.tokenizer, self.model, self.bound, self.size = tokenizer, tokenizer.model, bound, 0
+        self.tokenizer, self.tokenize, self.bound, self.size = tokenizer, tokenizer.model.tokenize, bound, 0
         self.width = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.width.itemsize == 2 else "I"
         self.old: dict[str, bytes] = {}
         self.shown = {b: c for c, b in byte_symbols().items()}
+        self.space = self.shown[32]
         self.specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.line_feed = self.encoded("\n")
-        self.direct = self._letters("\u00c9t\u00e9", " ") == self.encoded(" \u00c9t\u00e9") and self._letters("It", "") == self.encoded("It")
+        self.direct = all(self._letters(w, s) == self.encoded(s + w) for w in ("\u00c9t\u00e9", "It") for s in ("", " "))
 
     def encoded(self, text: str) -> bytes:
         """What the library gives for a whole text."""
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _letters(self, word: str, before: str) -> bytes:
-        shown = (before + word).encode().decode("latin-1").translate(self.shown)
-        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+        return array(self.code, [t.id for t in self.tokenize(self.space + shown if before else shown)]).tobytes()
 
     def pieces_of(self, text: str) -> list[str] | None:
         """The pieces of a text; None where it has to be encoded as a whole."""
@@ -84,39 +86,27 @@ class PieceIds(dict):
             lead = self.line_feed
         elif piece[0] != "\r":
             before, text = " ", piece
-        m = _WORD.fullmatch(text) if self.direct else None
-        if m is None:
-            return lead + self.encoded(before + text)
-        word, signs = m.groups()
-        base = word if before else "\r" + word
-        known = self.get(base) or self.old.get(base)
-        if known is None:
-            known = self[base] = self._letters(word, before)
-        if not signs:
-            return lead + known
-        end = "\r" + signs
-        if end not in self:
-            self[end] = self.encoded(signs)
-        return lead + known + self[end]
-
-    def learn(self, pieces: set[str]) -> None:
-        """Make sure that all of `pieces` are at hand."""
-        new = pieces - self.keys()
-        more = sum(map(len, new))
-        if len(self) + 3 * len(new) > self.bound or self.size + 2 * more > 32 * self.bound:
-            self.old = dict(self)
+        word = text.rstrip(_SIGNS)
+        if self.direct and (word.isalpha() if word.isascii() else _LATIN(word)):
+            if word == text and not lead:
+                return self._letters(word, before)
+            return lead + self[word if before else "\r" + word] + (self["\r" + text[len(word) :]] if word != text else b"")
+        return lead + self.encoded(before + text)
+
+    def __missing__(self, piece: str) -> bytes:
+        made = self.old.get(piece)
+        if made is None:
+            made = self._made(piece)
+        if len(self) >= self.bound or self.size > 32 * self.bound:
+            self.old, self.size = dict(self), 0
             self.clear()
-            self.size, new = 0, pieces
-            more = sum(map(len, new))
-        self.size += 2 * more
-        for p in new:
-            before = self.old.get(p)
-            self[p] = self._made(p) if before is None else before
+        self.size += len(piece)
+        self[piece] = made
+        return made
 
-    def of(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.pieces_of(t or "") for t in texts]
-        self.learn(set().union(*filter(None, split)))
-        return [self.encoded(t) if pieces is None else b"".join(map(self.__getitem__, pieces)) for t, pieces in zip(texts, split)]
+    def of(self, text: str | None) -> bytes:
+        pieces = self.pieces_of(text or "")
+        return self.encoded(text) if pieces is None else b"".join(map(self.__getitem__, pieces))
 
 
 _KNOWN: dict[str, PieceIds] = {}
@@ -208,7 +198,7 @@ def encoded_rows(docs: DataFrame, tokenizer: str | None, end_id: int, size: int,
                 high = max(low + 1, min(low + 512, int(np.searchsorted(ends, before + CHARS_AT_ONCE, "right"))))
                 some = batch.slice(low, high - low)
                 low = high
-                ids = [x + end for x in known.of(some.column(1).to_pylist())]
+                ids = [known.of(t) + end for t in some.column(1).to_pylist()]
                 n = np.array([len(x) // wide for x in ids], np.int64)
                 own = n // size
                 yield pa.RecordBatch.from_arrays(
