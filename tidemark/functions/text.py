@@ -231,10 +231,22 @@ def profile_id(scope: Column, kind: Column, name: Column) -> Column:
     return F.concat(F.lit("profile:v1:"), F.sha2(F.concat(scope, zero, kind, zero, name), 256))
 
 
+def utf16_length(c: Column) -> Column:
+    """Units of UTF-16: characters beyond the basic plane count twice."""
+    return F.char_length(c) + F.regexp_count(c, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
+def utf16_units(c: Column) -> Column:
+    """The units of UTF-16 as numbers, a pair for each character beyond the basic plane."""
+    code = F.transform(F.filter(F.split(c, ""), lambda ch: ch != ""), F.ascii)
+    pair = lambda u: F.array(F.floor((u - 0x10000) / 1024).cast("int") + 0xD800, (u - 0x10000) % 1024 + 0xDC00)
+    return F.flatten(F.transform(code, lambda u: F.when(u < 0x10000, F.array(u)).otherwise(pair(u))))
+
+
 def quick_tokens(c: Column) -> Column:
-    """ceil(1.5 x CJK characters + the rest / 4)."""
+    """ceil(1.5 x CJK characters + the other units of UTF-16 / 4)."""
     cjk = F.regexp_count(c, F.lit(CJK))
-    return F.ceil(cjk * 1.5 + (F.length(c) - cjk) / 4).cast("long")
+    return F.ceil(cjk * 1.5 + (utf16_length(c) - cjk) / 4).cast("long")
 
 
 def tool_key(c: Column) -> Column:
@@ -242,10 +254,10 @@ def tool_key(c: Column) -> Column:
 
 
 def fingerprint(role: Column, content: Column) -> Column:
-    """A signed 32-bit hash (from 5381, times 33 plus the character) of the role and the first 200 characters."""
-    chars = F.split(F.concat(role, F.lit(":"), F.substring(content, 1, 200)), "")
+    """A signed 32-bit hash (from 5381, times 33 plus the unit) of the role and the first 200 units of UTF-16."""
+    units = F.concat(utf16_units(F.concat(role, F.lit(":"))), F.slice(utf16_units(F.substring(content, 1, 200)), 1, 200))
     wrap = lambda v: F.pmod(v + (1 << 31), F.lit(1 << 32)) - (1 << 31)
-    return F.aggregate(chars, F.lit(5381).cast("long"), lambda h, ch: F.when(ch == "", h).otherwise(wrap(h * 33 + F.ascii(ch))))
+    return F.aggregate(units, F.lit(5381).cast("long"), lambda h, u: wrap(h * 33 + u))
 
 
 def canvas_nodes(c: Column) -> Column:

@@ -72,7 +72,7 @@ def a13_validation(spark, d):
 
 
 def s5_transcripts(spark, d):
-    """Conversations as transcripts in four forms, and the last turn of each file."""
+    """Conversations as transcripts in four forms: by the line, as lines that hold a list, and as large documents in folders of their own."""
     c, path = table(spark, d, "conversations").where("text is not null and trim(text) <> ''"), shared_folder(spark, "transcripts")
     plain = F.struct(F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "ai").otherwise(F.col("role")).alias("role"), F.col("text").alias("content"))
     blocks = F.struct(F.col("role"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"))
@@ -81,9 +81,12 @@ def s5_transcripts(spark, d):
     lines = c.withColumn("line", F.when(F.col("conv_id") % 4 == 0, F.to_json(plain)).when(F.col("conv_id") % 4 == 1, F.to_json(blocks)).when(F.col("conv_id") % 4 == 2, F.to_json(item)).otherwise(F.to_json(event)))
     lines.where("conv_id % 5 < 3 and (role <> 'system' or conv_id % 4 <> 3)").select(F.col("line").alias("value")).write.text(f"{path}/lines")
     listed = lines.where("conv_id % 5 >= 3 and (role <> 'system' or conv_id % 4 <> 3)").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), ", ").alias("items"))
-    document = F.when(F.col("conv_id") % 5 == 3, F.concat(F.lit("["), "items", F.lit("]"))).otherwise(F.concat(F.lit('{"messages": ['), "items", F.lit("]}")))
-    listed.select(document.alias("value")).write.text(f"{path}/documents")
-    rows = R.read_transcripts(spark, f"{path}/lines").unionByName(R.read_transcripts(spark, f"{path}/documents"))
+    document_of = lambda k, items: F.when(k % 2 == 1, F.concat(F.lit("["), items, F.lit("]"))).otherwise(F.concat(F.lit('{"messages": ['), items, F.lit("]}")))
+    document = document_of(F.col("conv_id"), F.col("items"))
+    listed.where("conv_id % 3 = 0").select(document.alias("value")).write.text(f"{path}/listed")
+    large = listed.where("conv_id % 3 <> 0").groupBy((F.col("conv_id") % 8).alias("file")).agg(F.array_join(F.collect_list("items"), ",\n").alias("items"))
+    large.select("file", document_of(F.col("file"), F.col("items")).alias("value")).write.partitionBy("file").text(f"{path}/documents")
+    rows = R.read_transcripts(spark, path)
     return rows.groupBy("role", "content").agg(F.count("*").alias("n"))
 
 
@@ -117,7 +120,7 @@ def s8_export(spark, d):
 def s9_migration_counts(spark, d):
     """Rows of both layers into an empty target each, with the counts on both sides."""
     out = None
-    for layer, source in (("L0", _l0(spark, d)), ("L1", memories(spark, d).where("doc_id % 10 <> 0"))):
+    for layer, source in (("L0", _l0(spark, d)), ("L1", memories(spark, d))):
         path = shared_folder(spark, "target")
         R.migrate(source, path, spark)
         there = spark.read.schema(source.schema).parquet(path)
@@ -128,14 +131,15 @@ def s9_migration_counts(spark, d):
 
 
 def s10_scene_files(spark, d):
-    """Scenes written as texts of one file a task, here told apart by their content, and read as rows."""
+    """Scenes written as texts, one folder a source, and read as rows with the path that they come from."""
     from tidemark.operators import stores as S
 
     path = shared_folder(spark, "scenes")
     docs = table(spark, d, "documents")
     raw = S.format_scene(F.lit("2024-01-01"), F.concat(F.lit("2024-02-"), F.col("doc_id") % 28 + 1), F.concat(F.lit("about "), "source"), F.col("n_chars"), F.lit("body"))
-    docs.groupBy("source").agg(F.min_by(raw, "doc_id").alias("value")).repartition("source").select("value").write.option("maxRecordsPerFile", 1).text(path)
-    return R.read_scenes(spark, path).select("created", "updated", "summary", "heat", "content")
+    docs.groupBy("source").agg(F.min_by(raw, "doc_id").alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("source").text(path)
+    rows = R.read_scenes(spark, path).select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("folder"), F.col("filename").rlike(r"^part-.*\.txt$").alias("named"), "created", "updated", "summary", "heat", "content")
+    return rows
 
 
 def s11_payloads(spark, d):
@@ -225,8 +229,8 @@ ORACLES = {
     "s7_safe_lines": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"a": "x' || event_id || '"}' WHEN 1 THEN '{}' ELSE '{"a": "é' || event_id || '"}' END AS line FROM events""",
     "s8_export": """WITH c AS (SELECT 'vectors' AS collection, greatest(0, least(50, count(*) FILTER (WHERE label = 1) - 3)) AS documents FROM embeddings UNION ALL SELECT 'memories', greatest(0, least(50, count(*) - 3)) FROM documents
         UNION ALL SELECT 'messages', greatest(0, least(50, count(*) FILTER (WHERE role = 'user') - 3)) FROM conversations) SELECT * FROM c UNION ALL SELECT 'total', CAST(sum(documents) AS BIGINT) FROM c""",
-    "s9_migration_counts": "SELECT 'L0' AS layer, count(*) AS source, count(*) AS target, count(DISTINCT 'agent:a' || (conv_id % 5) || ':s' || (conv_id % 20)) AS keys FROM conversations UNION ALL SELECT 'L1', count(*), count(*), count(DISTINCT doc_id) FROM documents WHERE doc_id % 10 <> 0",
-    "s10_scene_files": "SELECT '2024-01-01' AS created, '2024-02-' || (min(doc_id) % 28 + 1) AS updated, 'about ' || source AS summary, min_by(n_chars, doc_id) AS heat, 'body' AS content FROM documents GROUP BY source",
+    "s9_migration_counts": "SELECT 'L0' AS layer, count(*) AS source, count(*) AS target, count(DISTINCT 'agent:a' || (conv_id % 5) || ':s' || (conv_id % 20)) AS keys FROM conversations UNION ALL SELECT 'L1', count(*), count(*), count(DISTINCT doc_id) FROM documents",
+    "s10_scene_files": "SELECT source AS folder, true AS named, '2024-01-01' AS created, '2024-02-' || (min(doc_id) % 28 + 1) AS updated, 'about ' || source AS summary, min_by(n_chars, doc_id) AS heat, 'body' AS content FROM documents GROUP BY source",
     "s11_payloads": f"""WITH {ENTRIES_SQL}, t AS (SELECT *, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS ts FROM entries)
         SELECT tool_call_id, 'refs/' || replace(replace(ts, ':', '-'), '.', '-') || '-' || tool_call_id || '.md' AS result_ref, length('# grep' || chr(10) || ts || chr(10) || chr(10) || summary) AS size FROM t""",
     "x19_extractions": """WITH b AS (SELECT doc_id AS batch_id, source FROM documents WHERE doc_id % 4 < 3)

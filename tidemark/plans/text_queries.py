@@ -116,7 +116,7 @@ def x2_word_set(spark, d):
 
 
 def x8_quick_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.quick_tokens(F.concat("text", F.lit("日本"))).alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", T.quick_tokens(F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit("日本🙂🚀")).otherwise(F.lit("日本")))).alias("tokens"))
 
 
 def x9_x10_x11_memory_lines(spark, d):
@@ -171,7 +171,10 @@ def x28_escape_tags(spark, d):
 
 
 def x29_fingerprints(spark, d):
-    return messages(spark, d).select("record_id", T.fingerprint(F.col("role"), F.col("message_text")).alias("fingerprint"))
+    """Fingerprints of messages, some with characters beyond the basic plane, also across the end of what counts."""
+    face = F.concat(F.substring("message_text", 1, 3), F.lit("🙂"), F.substring("message_text", 4, 195), F.lit("🚀🚀"), F.col("message_text"))
+    text = F.when(F.col("turn") % 2 == 0, face).otherwise(F.col("message_text"))
+    return messages(spark, d).select("record_id", T.fingerprint(F.col("role"), text).alias("fingerprint"))
 
 
 def x30_canvas_nodes(spark, d):
@@ -200,6 +203,11 @@ QUERIES = {f.__name__: f for f in (
     f2_sanitize, f3_code_blocks, f4_f5_f6_gates, f7_f8_session_filter, x1_terms, x2_word_set, x8_quick_tokens, x9_x10_x11_memory_lines, x12_session_keys, x16_profile_ids,
     x23_x24_x25_times, x28_escape_tags, x29_fingerprints, x30_canvas_nodes, x32_overflow, x14_x15_scene_names,
 )}
+def _units_sql(text: str) -> str:
+    code = f"list_transform(string_split({text}, ''), lambda x: CAST(unicode(x) AS HUGEINT))"
+    return f"flatten(list_transform({code}, lambda u: CASE WHEN u < 65536 THEN [u] ELSE [55296 + (u - 65536) // 1024, 56320 + (u - 65536) % 1024] END))"
+
+
 _FOLD = f"translate(lower(text), '{T.FOLD_FROM}', '{T.FOLD_TO}')"
 _KEY = f"({_list(_KEYS)}[conv_id % {len(_KEYS)} + 1] || session_key)"
 _SESSION = "CASE conv_id % 4 WHEN 0 THEN session_key || ':swebench-w' || (conv_id % 3) WHEN 1 THEN 'agent::x' WHEN 2 THEN session_key || '/..?' ELSE 'user:a' END"
@@ -217,7 +225,7 @@ ORACLES = {
         a AS (SELECT doc_id, list_concat(list_concat(l, k), [k[i] || k[i + 1] for i in range(1, len(k))]) AS x FROM w),
         u AS (SELECT doc_id, y, min(i) AS i FROM (SELECT doc_id, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a) GROUP BY 1, 2)
         SELECT a.doc_id, coalesce(string_agg(y, ' ' ORDER BY i), '') AS words FROM a LEFT JOIN u USING (doc_id) GROUP BY 1""",
-    "x8_quick_tokens": f"""SELECT doc_id, CAST(ceil(1.5 * n + (length(text) + 2 - n) / 4.0) AS BIGINT) AS tokens FROM (SELECT doc_id, text, len(regexp_extract_all(text || '日本', '{T.CJK}')) AS n FROM documents)""",
+    "x8_quick_tokens": f"""SELECT doc_id, CAST(ceil(1.5 * n + (length(text) + 2 + CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 0 END - n) / 4.0) AS BIGINT) AS tokens FROM (SELECT doc_id, text, len(regexp_extract_all(text || '日本', '{T.CJK}')) AS n FROM documents)""",
     "x9_x10_x11_memory_lines": f"""WITH {MEMORIES_SQL}, parts AS (
             SELECT record_id, type, CASE WHEN priority % 2 = 0 AND scene_name <> '' THEN type || '|' || scene_name ELSE type END AS tag,
                    {sanitize_sql("regexp_replace(content, '\\n', ' ', 'g')")} AS c, priority % 4 AS p, {_display_sql(8)} AS far, {_display_sql(0)} AS near FROM memories),
@@ -232,8 +240,9 @@ ORACLES = {
     "x23_x24_x25_times": f"""WITH {MESSAGES_SQL}, t AS (SELECT record_id, timestamp + conv_id * 7200000 AS ts FROM messages)
         SELECT record_id, strftime(make_timestamp(ts * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, ts AS ms, CAST(0 AS BIGINT) AS bad, {_zone_sql('kolkata', 'Asia/Kolkata')}, {_zone_sql('new_york', 'America/New_York')} FROM t""",
     "x28_escape_tags": f"WITH {DIRTY_SQL} SELECT conv_id, turn, regexp_replace(text, {_sql_text(T.CONTEXT_TAGS)}, '&lt;\\1&gt;', 'g') AS escaped FROM dirty",
-    "x29_fingerprints": f"""WITH {MESSAGES_SQL}, c AS (SELECT record_id, list_transform(string_split(role || ':' || substr(message_text, 1, 200), ''), lambda x: CAST(ascii(x) AS HUGEINT)) AS l FROM messages)
-        SELECT record_id, CAST(list_reduce(list_prepend(CAST(5381 AS HUGEINT), l), lambda a, b: ((a * 33 + b + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS BIGINT) AS fingerprint FROM c""",
+    "x29_fingerprints": f"""WITH {MESSAGES_SQL}, m AS (SELECT record_id, role, CASE WHEN turn % 2 = 0 THEN substr(message_text, 1, 3) || '🙂' || substr(message_text, 4, 195) || '🚀🚀' || message_text ELSE message_text END AS t FROM messages),
+        u AS (SELECT record_id, list_concat({_units_sql("role || ':'")}, ({_units_sql("substr(t, 1, 200)")})[1:200]) AS l FROM m)
+        SELECT record_id, CAST(list_reduce(list_prepend(CAST(5381 AS HUGEINT), l), lambda a, b: ((a * 33 + b + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS BIGINT) AS fingerprint FROM u""",
     "x30_canvas_nodes": f"""WITH {ENTRIES_SQL}, c AS (SELECT session_key, string_agg(node_id, '; ' ORDER BY idx) AS canvas FROM entries WHERE node_id IS NOT NULL GROUP BY session_key),
         n AS (SELECT session_key, regexp_extract_all(canvas, '\\d{{3}}-N\\d+') AS l FROM c)
         SELECT session_key, array_to_string([x for x, i in l if list_position(l, x) = i], ',') AS nodes,

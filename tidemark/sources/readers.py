@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,14 @@ from tidemark import schemas
 from tidemark.functions import jsontext as J
 from tidemark.functions.timefn import iso_to_ms, local_date
 from tidemark.operators.stores import parse_scene
+from tidemark.sources.documents import forms, json_items
 
 #: Files of a day: named by it, or written into its folder.
 SHARD = r"(^|/)\d{4}-\d{2}-\d{2}\.jsonl$|/shard_date=\d{4}-\d{2}-\d{2}/[^/]+\.json$"
 UNSAFE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\u2028\u2029\uFFFE\uFFFF]"
 NARROW = r"[^\x09\x0a\x0d\x20-\x7e\u00A0-\uD7FF\uE000-\uFFFD]"
+#: Keys under which a transcript may hold its list of messages.
+LISTS = ("messages", "conversation", "transcript")
 ROLES = {"human": "user", "user": "user", "user_message": "user", "ai": "assistant", "assistant": "assistant", "assistant_message": "assistant", "model": "assistant", "system": "system", "tool": "tool"}
 
 
@@ -23,10 +28,10 @@ def _shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where(F.col("_metadata.file_path").rlike(SHARD)).where("_bad is null").drop("_bad")
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, line) of text files, which may be split over tasks: pos is a struct that orders a file's lines."""
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, pos, line) of text files, which may be split over tasks: file is the full path, pos a struct that orders a file's lines."""
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), at.alias("pos"), F.col("value").alias("line"))
+    return spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("pos"), F.col("value").alias("line"))
 
 
 def read_l0(spark: SparkSession, path: str) -> DataFrame:
@@ -51,26 +56,22 @@ def append_l1(memories: DataFrame, path: str, zone: str = "UTC") -> None:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """(session_no, sessionKey, sessionId, round, message, role, content, timestamp_ms) of bulk files.
+    """(file, session_no, sessionKey, sessionId, round, message, role, content, raw_timestamp, timestamp_ms) of bulk files.
 
-    Each file is `{"sessions": [...]}` or the list itself; times are numbers or ISO texts.
+    Each file is `{"sessions": [...]}` or the list itself; times are numbers or ISO texts. A file is read by as many
+    tasks as it has byte ranges, session by session.
     """
-    session = schemas.SESSIONS.removeprefix("array<struct<").removesuffix(">>").replace("sessionKey:", "sessionKey ").replace("sessionId:", "sessionId ").replace("conversations:", "conversations ")
-    raw = spark.read.schema(f"sessions {schemas.SESSIONS}, {session}").option("multiLine", "true").json(path)
-    raw = raw.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    # an object is one row with its sessions; a list gives a row for each session, read one after the other
-    listed = raw.where("sessions is null").withColumn("session_no", F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1)
-    whole = raw.where("sessions is not null").select(F.posexplode("sessions").alias("session_no", "s"))
-    s = whole.unionByName(listed.select("session_no", F.struct("sessionKey", "sessionId", "conversations").alias("s")))
-    r = s.select("session_no", "s.sessionKey", "s.sessionId", F.posexplode("s.conversations").alias("round", "r"))
-    m = r.select("session_no", "sessionKey", "sessionId", "round", F.posexplode("r").alias("message", "m"))
+    session = schemas.SESSIONS.removeprefix("array<").removesuffix(">")
+    s = json_items(spark, path, ("sessions",)).select("file", F.col("item_no").alias("session_no"), F.from_json("item", session).alias("s"))
+    r = s.select("file", "session_no", "s.sessionKey", "s.sessionId", F.posexplode("s.conversations").alias("round", "r"))
+    m = r.select("file", "session_no", "sessionKey", "sessionId", "round", F.posexplode("r").alias("message", "m"))
     number = F.col("m.timestamp").try_cast("long")
     ms = F.when(F.col("m.timestamp").isNotNull(), F.coalesce(number, F.nullif(iso_to_ms(F.col("m.timestamp")), F.lit(0))))
-    return m.select("session_no", "sessionKey", "sessionId", "round", "message", "m.role", "m.content", F.col("m.timestamp").alias("raw_timestamp"), ms.alias("timestamp_ms"))
+    return m.select("file", "session_no", "sessionKey", "sessionId", "round", "message", "m.role", "m.content", F.col("m.timestamp").alias("raw_timestamp"), ms.alias("timestamp_ms"))
 
 
 def validate_history(rows: DataFrame) -> DataFrame:
-    """(session_no, round, message, stage, error): one row for each thing that is wrong."""
+    """(file, session_no, round, message, stage, error): one row for each thing that is wrong."""
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     bad_time = F.col("raw_timestamp").isNotNull() & F.col("timestamp_ms").isNull()
     checks = [
@@ -78,10 +79,10 @@ def validate_history(rows: DataFrame) -> DataFrame:
         (blank(F.col("content")), "message", "content is empty"), (bad_time, "message", "timestamp can't be read"),
     ]
     found = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(stage).alias("stage"), F.lit(error).alias("error"))) for test, stage, error in checks)))
-    each = rows.select("session_no", "round", "message", F.explode(found).alias("e")).select("session_no", "round", "message", "e.stage", "e.error")
-    roles = rows.groupBy("session_no", "round").agg(F.collect_set("role").alias("roles"))
+    each = rows.select("file", "session_no", "round", "message", F.explode(found).alias("e")).select("file", "session_no", "round", "message", "e.stage", "e.error")
+    roles = rows.groupBy("file", "session_no", "round").agg(F.collect_set("role").alias("roles"))
     missing = roles.where(~(F.array_contains("roles", "user") & F.array_contains("roles", "assistant")))
-    return each.unionByName(missing.select("session_no", "round", F.lit(None).cast("int").alias("message"), F.lit("round").alias("stage"), F.lit("needs a user and an assistant row").alias("error")))
+    return each.unionByName(missing.select("file", "session_no", "round", F.lit(None).cast("int").alias("message"), F.lit("round").alias("stage"), F.lit("needs a user and an assistant row").alias("error")))
 
 
 def time_presence(rows: DataFrame) -> DataFrame:
@@ -101,17 +102,22 @@ def _items(value: Column) -> Column:
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, role, content) of transcripts: lists of messages, objects with such a list, or one message or entry a line.
 
-    Entries may be of type response_item or event_msg. Files that are one document over several lines are read
-    whole, all others by the line; lines that can't be read are left out. pos orders the messages of a file.
+    Entries may be of type response_item or event_msg. A file that is one document, over several lines or in a single
+    one, is split at its items by as many tasks as it has byte ranges; all others are read by the line, and lines that
+    can't be read are left out. file is the full path, pos orders the messages of a file. The driver holds the paths, as
+    it does for any scan.
     """
-    lines = _lines(spark, path).where(F.trim("line") != "")
-    good = F.get_json_object("line", "$").isNotNull()
-    start = F.min_by(F.struct("line", good.alias("good")), "pos").alias("start")
-    spread = lines.groupBy("file").agg(start, F.count("*").alias("n")).where((F.col("n") > 1) & ~F.col("start.good") & F.ltrim("start.line").rlike(r"^[\[{]")).select("file")
-    zero = F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("line"))
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), zero.alias("pos"), F.col("value").alias("line")).join(F.broadcast(spread), "file", "left_semi")
-    documents = lines.join(F.broadcast(spread), "file", "left_anti").unionByName(whole)
-    each = documents.select("file", "pos", F.posexplode(_items(F.col("line"))).alias("k", "item"))
+    paths = {True: [], False: []}
+    for file, is_document in forms(spark, path, LISTS).toLocalIterator():
+        paths[is_document].append(file)
+    parts = []
+    if paths[True]:
+        at = F.struct(F.lit(0).cast("long").alias("block"), F.col("item_no").alias("line"), F.lit(0).alias("k"))
+        parts.append(json_items(spark, paths[True], LISTS).select("file", at.alias("pos"), "item"))
+    if paths[False] or not parts:
+        each = _lines(spark, paths[False] or path).where(F.trim("line") != "").select("file", "pos", F.posexplode(_items(F.col("line"))).alias("k", "item"))
+        parts.append(each.select("file", F.struct("pos.block", "pos.line", "k").alias("pos"), "item"))
+    each = reduce(DataFrame.unionByName, parts)
     get = lambda p: F.get_json_object("item", p)
     kind, inner = get("$.type"), get("$.payload.type")
     event_role = F.when(inner == "user_message", "user").when(inner == "agent_message", "assistant")
@@ -120,7 +126,7 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     text = lambda c: F.nullif(F.trim(_text(c)), F.lit(""))
     content = F.coalesce(F.when(event.isNotNull(), text(F.coalesce(get("$.payload.content"), get("$.payload.message")))), *(text(get(f"$.{key}")) for key in ("content", "text", "message")))
     known = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
-    out = each.select("file", F.struct("pos.block", "pos.line", "k").alias("pos"), known[F.lower(role)].alias("role"), content.alias("content"))
+    out = each.select("file", "pos", known[F.lower(role)].alias("role"), content.alias("content"))
     return out.where("role is not null and content <> ''")
 
 
@@ -163,9 +169,9 @@ def safe_line(c):
 
 
 def read_scenes(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, created, updated, summary, heat, content) of a folder of scene files."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("filename"), parse_scene(F.col("value")).alias("s"))
-    return raw.select("filename", "s.*")
+    """(path, filename, created, updated, summary, heat, content) of a folder of scene files, told apart by their full path."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("filename"), parse_scene(F.col("value")).alias("s"))
+    return raw.select("path", "filename", "s.*")
 
 
 def export(tables: dict[str, DataFrame], path: str, where: dict[str, Column] | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
