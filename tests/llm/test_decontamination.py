@@ -1,3 +1,4 @@
+import pytest
 import random
 
 import numpy as np
@@ -138,3 +139,11 @@ def test_recall_by_length_at_all_allowed_edits(spark):
 def test_walks_follow_the_target():
     assert repeats(3, 25) == 2 and 2 <= repeats(4, 25) <= repeats(12, 25) < MOST_WALKS
     assert repeats(60, 25) == repeats(64, 25) and repeats(64, 5) < repeats(64, 25)
+
+
+def test_shares_of_edits_that_could_lose_windows_are_refused(spark):
+    rows = spark.createDataFrame([(1, "some words of a text here")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "some words of a text")], "item_id long, text string")
+    for percent in (50, 80, -1):
+        with pytest.raises(ValueError):
+            find_leaks(rows, items, percent=percent)

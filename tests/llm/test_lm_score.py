@@ -165,3 +165,12 @@ def test_scores_equal_a_plain_forward_pass(spark, data_dir, monkeypatch):
             total += math.log10(alpha.sum() * part)
             alpha = alpha / alpha.sum()
         assert math.isclose(got[i], total, rel_tol=1e-6)
+
+
+def test_held_words_break_ties_by_the_word(spark, monkeypatch):
+    rows = [(b"", 9)] + [(f"w{k:03d}".encode(), 3) for k in range(50)] + [(b"often", 20), (b"rare", 1)]
+    frame = spark.createDataFrame(rows, "word binary, c long").repartition(3)
+    for most, wanted in ((10, 8), (2, 0), (40, 38), (1000, 50)):
+        monkeypatch.setattr(lm_score, "HELD_WORDS", most)
+        held = [bytes(w) for w in lm_score.held_words(frame).word]
+        assert held == [b"often", b"", *(f"w{k:03d}".encode() for k in range(wanted)), *([b"rare"] if most > 100 else [])]

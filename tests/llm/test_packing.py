@@ -4,13 +4,14 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.common import tokenizer_path
-from tidemark.llm.packing import _ChunkIds, op7_packing, pack
+from tidemark.llm.packing import TURN, _ChunkIds, op7_packing, pack
 
 PATH = tokenizer_path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -29,22 +30,36 @@ def served_by_rounds(queues, quantum):
     return order
 
 
-def test_documents_are_served_by_rounds_and_deficits(spark):
+def by_turns(docs, turn):
+    """A queue's documents as runs of `turn` tokens (None: whole): ((id, start), tokens)."""
+    return [((i, start), min(turn or n, n - start)) for i, n in docs for start in range(0, n, turn or n)]
+
+
+@pytest.mark.parametrize("turn", [None, 7, 64])
+def test_documents_are_served_by_rounds_and_deficits(spark, turn):
     rng = random.Random(5)
     for k, shares in enumerate(({"a": 0.5, "b": 0.25, "c": 0.25}, {"a": 0.125, "b": 0.125, "c": 0.75})):
         rows = [(i, " ".join("word" for _ in range(rng.choice([0, 1, 3, 20, 150]))), rng.choice("abc")) for i in range(120)]
         docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
-        pieces = sorted(pack(docs, size=64, shares=shares).collect(), key=lambda p: (p.sequence_id, p.offset))
+        pieces = sorted(pack(docs, size=64, shares=shares, turn=turn).collect(), key=lambda p: (p.sequence_id, p.offset))
         queues = defaultdict(list)
         for i, text, source in rows:
             queues[source].append((i, len(LIBRARY.encode(text, add_special_tokens=False).ids) + 1))
-        wanted = served_by_rounds(queues, {q: Fraction(64) * Fraction(s) for q, s in shares.items()})
-        assert [p.doc_id for p in pieces if p.start == 0] == [i for i, _ in wanted]
-        at = 0
-        for i, n in wanted:  # cut at the windows' ends alone
-            own = [p for p in pieces if p.doc_id == i]
-            assert own[0].sequence_id * 64 + own[0].offset == at and len(own) == (at + n - 1) // 64 - at // 64 + 1
+        wanted = served_by_rounds({q: by_turns(own, turn) for q, own in queues.items()}, {q: Fraction(64) * Fraction(s) for q, s in shares.items()})
+        at, runs = 0, []
+        for (i, start), n in wanted:  # runs that follow each other are one, cut at the windows' ends alone
+            if runs and runs[-1][0] == i and runs[-1][1] + runs[-1][3] == start:
+                runs[-1][3] += n
+            else:
+                runs.append([i, start, at, n])
             at += n
+        cut = []
+        for i, start, place, n in runs:
+            while n:
+                some = min(n, 64 - place % 64)
+                cut.append((i, start, some, place // 64, place % 64))
+                start, place, n = start + some, place + some, n - some
+        assert [(p.doc_id, p.start, p.length, p.sequence_id, p.offset) for p in pieces] == cut
 
 
 @settings(max_examples=200, deadline=None)
@@ -101,7 +116,7 @@ def test_query_packs_all_tokens(spark, data_dir):
     own = defaultdict(int)
     for i, n in n_of.items():
         own[source[i]] += n
-    total, longest = sum(own.values()), max(n_of.values())
+    total, longest = sum(own.values()), TURN
     weight = {s: (n / total) ** 0.7 for s, n in own.items()}
     target = {s: w / sum(weight.values()) for s, w in weight.items()}
     lasts = min(own[s] / target[s] for s in own)
@@ -118,7 +133,7 @@ def test_query_packs_all_tokens(spark, data_dir):
 def test_shares_odd_rows_and_many_sources(spark):
     rows = [(i, None if i % 7 == 0 else ("word " * (i % 50)).strip(), None if i % 5 == 0 else f"s{i % 3}") for i in range(300)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, ids string").repartition(5)
-    for extra in ({"shares": {"s0": 0.7, "s1": 0.2}}, {"temper": 0.5}, {}):
+    for extra in ({"shares": {"s0": 0.7, "s1": 0.2}}, {"temper": 0.5, "turn": 5}, {"turn": 1}, {}):
         pieces = pack(docs, size=64, payload=F.crc32, payload_name="ids_crc32", **extra).collect()
         check_pieces(rows, pieces, 64)
     assert pack(docs.limit(0)).count() == 0

@@ -170,6 +170,10 @@ class Items:
     lengths: np.ndarray | None = None
     single: np.ndarray | None = None
 
+    def __post_init__(self):
+        if not 0 <= self.percent < 50:
+            raise ValueError("percent must be below 50: from there on a window could hold an item without a word pair in common")
+
     def most(self, number: int) -> int:
         """Edits that an item may have."""
         return edits_of(len(self.words[number]), self.percent)

@@ -297,8 +297,12 @@ def likelihoods(coded: DataFrame, hmm: Hmm, class_logs: np.ndarray) -> DataFrame
         model, logs = shared.value
         for batch in batches:
             packed, out = batch.column(5).to_pylist(), []
-            for low in range(0, len(packed), 4096):
-                sequences = [np.frombuffer(x, "<u2") for x in packed[low : low + 4096]]
+            ends = np.cumsum([len(x) // 2 for x in packed])
+            low = 0
+            while low < len(packed):  # so many tokens at once, or one text
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + TOKENS_AT_ONCE, "right")))
+                sequences = [np.frombuffer(x, "<u2") for x in packed[low:high]]
+                low = high
                 found = log_likelihoods(model, sequences) / np.log(10)
                 out.append(found - [logs[s].sum() for s in sequences])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(np.concatenate(out) if out else [], pa.float64()), batch.column(6)], names=[*batch.schema.names[:5], "chain", batch.schema.names[6]])
@@ -344,20 +348,24 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def held_words(vocabulary: DataFrame):
-    """The most frequent words, HELD_WORDS at most, as pandas rows in order; always with the end token.
+    """The HELD_WORDS most frequent words, ties by the word, as pandas rows in order; always with the end token.
 
-    Cut between steps of a logarithmic histogram of the counts, so that only what is held goes to the driver.
+    Taken by steps of a logarithmic histogram of the counts: whole steps as they come, the rest from the next one, sorted.
+    So only what is held goes to the driver, and only one step is sorted.
     """
     step = F.floor(F.log2("c") * 16)
     steps = sorted(((r.step, r.n) for r in vocabulary.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, held = None, 1
+    whole, rest, left = None, None, HELD_WORDS - 1
     for value, n in steps:
-        held += n
-        if held > HELD_WORDS:
+        if n > left:
+            rest = value
             break
-        least = value
-    wanted = F.length("word") == 0 if least is None else (step >= least) | (F.length("word") == 0)
-    return vocabulary.where(wanted).toPandas().sort_values(["c", "word"], ascending=[False, True])
+        whole, left = value, left - n
+    is_end = F.length("word") == 0
+    held = vocabulary.where(is_end if whole is None else (step >= whole) | is_end)
+    if rest is not None and left:
+        held = held.unionByName(vocabulary.where((step == rest) & ~is_end).orderBy(F.desc("c"), "word").limit(left))
+    return held.toPandas().sort_values(["c", "word"], ascending=[False, True])
 
 
 def class_totals(vocabulary: DataFrame, frequent: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

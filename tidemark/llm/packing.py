@@ -1,12 +1,12 @@
 """Packing: mixture-controlled sequences by deficit round-robin over source queues.
 
 Every source is a queue of documents. In each round a queue earns its quantum, its target part of a
-window's tokens, and serves whole documents from its head as long as what it has earned covers them; what
-is left is its deficit, which it carries on over rounds, windows and partitions. So with x tokens before
-it in its queue, a document of n tokens is served in round ceil((x + n) / quantum). Rounds follow each
-other, queues have a fixed order within one, and the stream of documents is cut where windows end. A
-document's place in the stream is the sum of all rounds before, which partitions find without waiting
-for each other.
+window's tokens, and serves from its head as long as what it has earned covers it: whole documents, or
+`turn` tokens of one at a time, so that a long document leaves room for other sources in a window. What is
+left is a queue's deficit, which it carries on over rounds, windows and partitions. So with x tokens before
+it in its queue, a run of n tokens is served in round ceil((x + n) / quantum). Rounds follow each other,
+queues have a fixed order within one, and the stream is cut where windows end. A run's place in the stream
+is the sum of all rounds before, which partitions find without waiting for each other.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from tidemark.llm.token_counts import byte_symbols
 
 _QUEUED = "id {id}, queue string, part int, row long, at long, n long, ids binary"
 _PIECE = "id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+#: Tokens of one document that a round serves at once, in the query: a sixteenth of a window.
+TURN = 128
 #: Rounds that one task sums up.
 ROUNDS_AT_ONCE = 4096
 
@@ -98,8 +100,9 @@ class _ChunkIds(dict):
 _KNOWN: dict[str, tuple[_ChunkIds, np.dtype]] = {}
 
 
-def known_chunks(tokenizer: str) -> tuple[_ChunkIds, np.dtype]:
-    """The chunks that this worker process knows; tasks of a process share them."""
+def known_chunks(tokenizer: str | None) -> tuple[_ChunkIds, np.dtype]:
+    """The chunks that this worker process knows; tasks of a process share them. The file is looked up where the task runs."""
+    tokenizer = tokenizer or tokenizer_path("word_bpe_49k.json")
     if tokenizer not in _KNOWN:
         from tokenizers import Tokenizer
 
@@ -109,7 +112,7 @@ def known_chunks(tokenizer: str) -> tuple[_ChunkIds, np.dtype]:
     return _KNOWN[tokenizer]
 
 
-def queue_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def queue_tokens(docs: DataFrame, tokenizer: str | None, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(id, queue, part, row, at, n, ids): identifiers of each row, its number in its task, and where they start in its queue there."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -169,6 +172,7 @@ def pack(
     size: int = 2048,
     shares: dict[str, float] | None = None,
     temper: float = 1.0,
+    turn: int | None = None,
     tokenizer: str | None = None,
     end_id: int = 1,
     payload: Callable[[Column], Column] = lambda ids: ids,
@@ -183,58 +187,75 @@ def pack(
     `end_id` alone); each lies in one piece. A source's weight is its part in `shares`, or else its own
     part of all tokens to the power of `temper` (below 1 small sources come more often); its quantum is
     `size` times its part of all weights. While all queues last, what a queue has been served stays
-    within its quantum and one document of what it has earned. A queue that runs dry leaves its part to
+    within its quantum and one document (with `turn`, that many tokens) of what it has earned. A queue that runs dry leaves its part to
     the others, so only the last window is short. `payload` is a Column function of a piece's identifiers
     (little-endian unsigned 32-bit). A null source is a queue of its own; there may be any number of
     sources. Repeated rows and null ids are packed as they come. No rows: no pieces. The order in a queue
     is that of partitions and rows. Numbers alone are sorted, a round of them at a time; identifiers are
     shuffled once, to meet their place.
     """
+    if turn is not None and turn < 1:
+        raise ValueError("turn must be above 0")
     scratch = Scratch(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    queued = scratch.write(queue_tokens(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), end_id, id_col, text_col, source_col), "queued")
-    numbers = queued.select("queue", "part", "row", "at", "n")
+    queued = scratch.write(queue_tokens(docs, tokenizer, end_id, id_col, text_col, source_col), "queued")
+    numbers = queued.select("queue", "part", "row", F.lit(0).cast("long").alias("start"), "at", "n")
     sum_before = lambda over: F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     by_part = numbers.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     begins = scratch.write(by_part.select("queue", "part", "n", sum_before(Window.partitionBy("queue").orderBy("part")).alias("begin")), "begins")
     quantum = quanta(begins.groupBy("queue").agg(F.sum("n").alias("total")), size, shares, temper)
+    runs = numbers
+    if turn is not None:
+        runs = numbers.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(turn).cast("long"))))
+        runs = runs.withColumns({"at": F.col("at") + F.col("start"), "n": F.least(F.lit(turn), F.col("n") - F.col("start")).cast("long")})
     x = F.col("begin") + F.col("at")
-    served = numbers.join(begins.drop("n").join(quantum, "queue"), ["queue", "part"]).select("queue", "part", "row", "n", x.alias("x"), F.ceil((x + F.col("n")) / F.col("quantum")).alias("round"))
+    served = runs.join(begins.drop("n").join(quantum, "queue"), ["queue", "part"]).select("queue", "part", "row", "start", "n", x.alias("x"), F.ceil((x + F.col("n")) / F.col("quantum")).alias("round"))
     in_round = served.withColumn("before", sum_before(Window.partitionBy("round").orderBy("queue", "x")))
-    placed = in_round.join(begins_of(served.groupBy("round").agg(F.sum("n").alias("n"))), "round")
-    placed = scratch.write(placed.select("part", "row", (F.col("begin") + F.col("before")).alias("place")), "placed")
+    placed = in_round.join(begins_of(served.groupBy("round").agg(F.sum("n").alias("n"))), "round").select("part", "row", "start", (F.col("begin") + F.col("before")).alias("place"))
+    if turn is None:
+        placed = placed.select("part", "row", F.array("place").alias("places"))
+    else:
+        placed = placed.groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("start", "place"))).alias("p")).select("part", "row", F.col("p.place").alias("places"))
+    placed = scratch.write(placed, "placed")
     scratch.drop_but(queued, placed)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 2048):
                 batch = whole.slice(low, 2048)
-                n, ids, place = batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_numpy()
+                n, ids, lists = batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3)
+                many, place = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+                doc = np.repeat(np.arange(len(n)), many)
+                begin = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * (turn or 0)
+                size_of = n[doc] - begin if turn is None else np.minimum(turn, n[doc] - begin)
+                new = np.ones(len(doc), bool)  # runs that follow each other in their document and in the stream are one
+                new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + size_of[:-1])
+                first_of = np.flatnonzero(new)
+                doc, begin, place, length = doc[first_of], begin[first_of], place[first_of], np.add.reduceat(size_of, first_of)
                 first = place // size
-                pieces = (place + n - 1) // size - first + 1
-                run = np.repeat(np.arange(len(n)), pieces)
+                pieces = (place + length - 1) // size - first + 1
+                run = np.repeat(np.arange(len(doc)), pieces)
                 window = np.repeat(first, pieces) + np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 start = np.maximum(0, window * size - place[run])
-                end = np.minimum(n[run], (window + 1) * size - place[run])
+                end = np.minimum(length[run], (window + 1) * size - place[run])
+                offset, of = place[run] + start - window * size, doc[run]
+                start, end = begin[run] + start, begin[run] + end
                 wide = [np.frombuffer(i, "<u2" if len(i) == 2 * k else "<u4").astype("<u4") for i, k in zip(ids, n.tolist())]
-                cut_ids = [wide[r][s:e].tobytes() for r, s, e in zip(run.tolist(), start.tolist(), end.tolist())]
+                cut_ids = [wide[r][s:e].tobytes() for r, s, e in zip(of.tolist(), start.tolist(), end.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(run)), pa.array(start), pa.array(end - start), pa.array(n[run]), pa.array(window),
-                        pa.array(place[run] + start - window * size), pa.array(cut_ids, pa.binary()),
-                    ],
+                    [batch.column(0).take(pa.array(of)), pa.array(start), pa.array(end - start), pa.array(n[of]), pa.array(window), pa.array(offset), pa.array(cut_ids, pa.binary())],
                     names=["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
                 )
 
-    with_place = queued.select("id", "n", "ids", "part", "row").join(placed.hint("shuffle_hash"), ["part", "row"]).select("id", "n", "ids", "place")
+    with_place = queued.select("id", "n", "ids", "part", "row").join(placed.hint("shuffle_hash"), ["part", "row"]).select("id", "n", "ids", "places")
     pieces = with_place.mapInArrow(cut, _PIECE.format(id=kind)).withColumn(payload_name, payload(F.col("ids")))
     return pieces.select(F.col("id").alias(id_col), "start", "length", payload_name, "doc_tokens", "sequence_id", "offset")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small sources come more often than they are: parts of all tokens to the power of 0.7."""
+    """Small sources come more often than they are: parts of all tokens to the power of 0.7; documents are served in turns of TURN tokens."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return pack(docs, temper=0.7, payload=F.crc32, payload_name="ids_crc32")
+    return pack(docs, temper=0.7, turn=TURN, payload=F.crc32, payload_name="ids_crc32")
 
 
 QUERIES = {"op7_packing": op7_packing}

@@ -144,10 +144,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tokens. Repeated rows and null ids are counted as they come. Other columns are not read. Pieces
     of text are kept with their counts up to a bound, which changes the speed only.
     """
-    path = tokenizer or tokenizer_path("byte_bpe_50k.json")
-
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(path) as f:
+        with open(tokenizer or tokenizer_path("byte_bpe_50k.json")) as f:  # looked up where the task runs
             counter = TokenCounter(json.load(f))
         for batch in batches:
             texts = batch.column(1).to_pylist()
