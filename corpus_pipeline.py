@@ -9,7 +9,7 @@ from tidemark.llm.common import Scratch, read_table
 from tidemark.llm.decontamination import keep_clean
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.near_dedup import near_duplicates
-from tidemark.llm.packing import pack
+from tidemark.llm.packing import TURN, pack
 from tidemark.llm.quality_rules import fit_field, keep_good
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 2048 tokens, small sources more often than they are."""
-    return pack(docs, temper=0.7, payload=F.crc32, payload_name="ids_crc32")
+    return pack(docs, temper=0.7, turn=TURN, payload=F.crc32, payload_name="ids_crc32")
 
 
 STAGES = [
