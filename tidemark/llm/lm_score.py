@@ -353,15 +353,14 @@ def held_words(vocabulary: DataFrame):
     Taken by steps of a logarithmic histogram of the counts: whole steps as they come, the rest from the next one, sorted.
     So only what is held goes to the driver, and only one step is sorted.
     """
-    step = F.floor(F.log2("c") * 16)
-    steps = sorted(((r.step, r.n) for r in vocabulary.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    step, is_end = F.floor(F.log2("c") * 16), F.length("word") == 0
+    steps = sorted(((r.step, r.n) for r in vocabulary.where(~is_end).groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
     whole, rest, left = None, None, HELD_WORDS - 1
     for value, n in steps:
         if n > left:
             rest = value
             break
         whole, left = value, left - n
-    is_end = F.length("word") == 0
     held = vocabulary.where(is_end if whole is None else (step >= whole) | is_end)
     if rest is not None and left:
         held = held.unionByName(vocabulary.where((step == rest) & ~is_end).orderBy(F.desc("c"), "word").limit(left))
