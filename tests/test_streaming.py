@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.sessions import batches
 from tidemark.streaming.capture import capture, idle_windows, newer_than_cursor, once_per_call, round_batches
+from tidemark.streaming.state import VectorTable, paired_calls, session_rows
 
 
 def stream_of(spark, frames, path):
@@ -71,3 +72,41 @@ def test_idle_sessions_are_forgotten(spark, tmp_path):
         assert until(2) == [5, 10]
     finally:
         q.stop()
+
+
+def test_sessions_without_pending_work_are_forgotten_and_their_state_goes(spark, tmp_path):
+    frame = lambda *rows: spark.createDataFrame(rows, "session_key string, id long, t long").select("session_key", "id", F.timestamp_seconds("t").alias("ts"))
+    frames = [frame(("a", 1, 10), ("a", 2, 20), ("a", 3, 30), ("b", 4, 30)), frame(("c", 5, 9000), ("c", 6, 9001), ("c", 7, 9002)), frame(("a", 8, 9100), ("b", 9, 9100), ("c", 10, 9001), ("c", 11, 9100))]
+    held = []
+    for k, f in enumerate(frames):
+        f.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        rows = session_rows(spark.readStream.schema(f.schema).parquet(str(tmp_path / "in")), 3, 3_600_000)
+        q = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        held.append({r.key.session_key for r in spark.read.format("statestore").option("stateVarName", "cursor").load(str(tmp_path / "check")).collect()})
+    got = {(r.session_key, r.id): (r.place, r.batch) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert held == [{"a", "b"}, {"b", "c"}, {"a", "b", "c"}]  # b's row waits for its batch, so b stays
+    assert got == {("a", 1): (0, 0), ("a", 2): (1, 0), ("a", 3): (2, 0), ("b", 4): (0, 0), ("c", 5): (0, 0), ("c", 6): (1, 0), ("c", 7): (2, 0), ("a", 8): (0, 0), ("b", 9): (1, 0), ("c", 11): (3, 1)}
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    store = VectorTable(spark, f"file://{tmp_path}/t", "id", "id bigint, text string")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
+    shown = lambda: sorted((r.id, r.text, r.embedding) for r in store.rows().collect())
+    assert shown() == []
+    for _ in range(2):
+        store.add_rows(rows, 0)
+    assert shown() == [(1, "a", None), (2, "b", None)]
+    vectors = lambda *v: spark.createDataFrame(v, "id long, embedding array<double>")
+    for _ in range(2):
+        store.add_vectors(vectors((1, [1.0]), (2, [0.0]), (9, [2.0])), 0)
+    assert shown() == [(1, "a", [1.0]), (2, "b", None)]
+    store.add_vectors(vectors((1, [3.0])), 1)
+    store.add_vectors(vectors((1, [1.0]), (9, [2.0])), 0)
+    assert shown() == [(1, "a", [3.0]), (2, "b", None)]
+
+
+def test_pairs_of_tables(spark):
+    calls = spark.createDataFrame([("s", "1", 0), ("s", "2", 0), ("t", "1", 5)], "session_key string, tool_call_id string, t long").select("session_key", "tool_call_id", F.timestamp_seconds("t").alias("called"))
+    results = spark.createDataFrame([("s", "1", 600, "x"), ("s", "2", 601, "late"), ("t", "1", 4, "early")], "session_key string, tool_call_id string, t long, result string").select("session_key", "tool_call_id", F.timestamp_seconds("t").alias("answered"), "result")
+    assert sorted((r.session_key, r.tool_call_id, r.result) for r in paired_calls(calls, results).collect()) == [("s", "1", "x"), ("s", "2", None), ("t", "1", None)]

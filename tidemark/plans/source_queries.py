@@ -12,6 +12,7 @@ from tidemark.plans.text_queries import DIRTY_SQL, dirty
 from tidemark.sources import readers as R
 from tidemark.sources.folders import shared_folder
 from tidemark.streaming import capture as C
+from tidemark.streaming import state as Z
 
 
 def _l0(spark, d):
@@ -201,17 +202,67 @@ def st6_once_per_call(spark, d):
     return _streamed(spark, (e.unionByName(e.where("ts_ms % 2 = 0")),), C.once_per_call, "calls").select("tool_call_id", F.unix_millis("ts").alias("ts_ms"))
 
 
-def st8_late_vectors(spark, d):
-    """Rows written without their vectors, which come later by id; zero vectors and those of no row are ignored."""
+def st7_forgotten_sessions(spark, d):
+    """Sessions of all events in runs of five days: rows are numbered within a session, which is forgotten after two idle days unless rows wait for a batch of three."""
+    e = table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("session_key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.floor((F.dayofmonth("ts") - 1) / 5).alias("part"))
+    parts = [e.where(F.col("part") == k).drop("part") for k in range(7)]
+    got = _streamed(spark, parts, lambda stream: Z.session_rows(stream, 3, 2 * 86_400_000), "sessions")
+    return got.select("session_key", "id", "place", "batch")
+
+
+def _late_vectors(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = v.where("vec_id % 5 <> 0").select("vec_id", F.lit(None).cast("array<double>").alias("embedding"))
     late = v.where("vec_id % 3 <> 0").withColumn("embedding", F.when(F.col("vec_id") % 4 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding")))
-    return M.fill_vectors(rows, late, "vec_id").select("vec_id", F.round(F.col("embedding")[0], 6).alias("first"))
+    return v.where("vec_id % 5 <> 0").select("vec_id"), late
+
+
+def st8_late_vectors(spark, d):
+    """Rows written without their vectors, which come later by id; zero vectors and those of no row are ignored."""
+    rows, late = _late_vectors(spark, d)
+    filled = M.fill_vectors(rows.withColumn("embedding", F.lit(None).cast("array<double>")), late, "vec_id")
+    return filled.select("vec_id", F.round(F.col("embedding")[0], 6).alias("first"))
+
+
+def st8_two_phase_stream(spark, d):
+    """The same as two streams: rows first, vectors merged later, and the last batch of each handed over once more."""
+    rows, late = _late_vectors(spark, d)
+    store = Z.VectorTable(spark, shared_folder(spark, "two-phase"), "vec_id", "vec_id bigint")
+    for frame, add, name in ((rows, store.add_rows, "rows"), (late, store.add_vectors, "vectors")):
+        into, checks, seen = shared_folder(spark, f"{name}-in"), shared_folder(spark, f"{name}-checks"), []
+        for k in range(2):
+            frame.where(F.col("vec_id") % 2 == k).write.mode("append").parquet(into)
+            stream = spark.readStream.schema(frame.schema).parquet(into)
+            store.writing(stream, lambda batch, number: (add(batch, number), seen.append(number)), checks).awaitTermination()  # noqa: B023
+        add(frame.where("vec_id % 2 = 1"), max(seen))
+    return store.rows().select("vec_id", F.round(F.col("embedding")[0], 6).alias("first"))
+
+
+def _calls(spark, d):
+    """Calls and results of events: some without a result, some too late, ids shared by sessions."""
+    e = tool_entries(spark, d).select("session_key", F.concat(F.lit("call_"), "idx").alias("tool_call_id"), F.timestamp_millis("ts_ms").alias("called"), "event_id")
+    wait = F.make_dt_interval(secs=(F.col("event_id") % 900).cast("decimal(18,6)"))
+    results = e.where("event_id % 4 <> 0").select("session_key", "tool_call_id", (F.col("called") + wait).alias("answered"), F.concat(F.lit("r"), "event_id").alias("result"))
+    return e.select("session_key", "tool_call_id", "called"), results
+
+
+def f9_paired_stream(spark, d):
+    """Calls paired with their results as they come; the clock then goes on, so that calls without a result come out."""
+    calls, results = _calls(spark, d)
+    into, out, checks = (shared_folder(spark, f"pairs-{x}") for x in ("in", "out", "checks"))
+    end = F.timestamp_millis(F.lit(FIRST_MS + 400 * 86_400_000))
+    later = spark.range(1).select(F.lit("end").alias("session_key"), F.lit("end").alias("tool_call_id"), end.alias("t"))
+    for part_calls, part_results in ((calls, results), (later.withColumnRenamed("t", "called"), later.withColumnRenamed("t", "answered").withColumn("result", F.lit("")))):
+        part_calls.write.mode("append").parquet(f"{into}/calls")
+        part_results.write.mode("append").parquet(f"{into}/results")
+        stream = Z.paired_calls(spark.readStream.schema(calls.schema).parquet(f"{into}/calls"), spark.readStream.schema(results.schema).parquet(f"{into}/results"))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checks).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(stream.schema).parquet(out).where("session_key <> 'end'")
+    return got.select("session_key", "tool_call_id", F.unix_millis("called").alias("called_ms"), F.unix_millis("answered").alias("answered_ms"), "result")
 
 
 QUERIES = {f.__name__: f for f in (
     s1_s2_l0_shards, s3_l1_shards, s4_history, a13_validation, s5_transcripts, s6_tolerant_lines, s7_safe_lines, s8_export, s9_migration_counts, s10_scene_files, s11_payloads, x19_extractions, p2_model_step,
-    st1_st2_capture, st3_idle_sessions, st6_once_per_call, st8_late_vectors,
+    st1_st2_capture, st3_idle_sessions, st6_once_per_call, st7_forgotten_sessions, st8_late_vectors, st8_two_phase_stream, f9_paired_stream,
 )}
 _HISTORY = f"""h AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS message, CASE WHEN conv_id % 7 = 0 AND turn = 1 THEN 'robot' ELSE role END AS role,
     CASE WHEN conv_id % 5 = 0 AND turn = 0 THEN '  ' ELSE coalesce(text, '') END AS content, CASE conv_id % 3 WHEN 0 THEN NULL WHEN 1 THEN {FIRST_MS} + conv_id * 1000 ELSE {FIRST_MS} + turn END AS timestamp_ms FROM conversations)"""
@@ -242,5 +293,17 @@ ORACLES = {
         n AS (SELECT *, sum(new) OVER (PARTITION BY session_key ORDER BY t, new ROWS UNBOUNDED PRECEDING) AS k FROM g), w AS (SELECT session_key, min(t) AS f, max(t) + 600000000 AS e, count(*) AS rounds FROM n GROUP BY session_key, k)
         SELECT session_key, CAST(f // 1000 AS BIGINT) AS first_ms, CAST(e // 1000 AS BIGINT) AS end_ms, rounds FROM w WHERE e // 1000 <= (SELECT max(t) // 1000 - 600000 FROM e)""",
     "st6_once_per_call": f"WITH {ENTRIES_SQL} SELECT tool_call_id, ts_ms FROM entries",
+    "st7_forgotten_sessions": """WITH RECURSIVE e AS (SELECT 'u' || user_id AS s, event_id AS id, epoch_us(ts) // 1000 AS t, (day(ts) - 1) // 5 AS part FROM events),
+        o AS (SELECT *, row_number() OVER (PARTITION BY s, part ORDER BY t, id) - 1 AS k FROM e), g AS (SELECT s, part, count(*) AS n, max(t) AS last FROM e GROUP BY 1, 2),
+        p AS (SELECT part, max(max(t)) OVER (ORDER BY part) AS clock FROM e GROUP BY part),
+        r AS (SELECT s, CAST(-1 AS BIGINT) AS part, CAST(0 AS BIGINT) AS before, CAST(0 AS BIGINT) AS held, CAST(NULL AS BIGINT) AS last FROM (SELECT DISTINCT s FROM e) UNION ALL
+            SELECT s, part, kept, kept + n, greatest(coalesce(new, last), coalesce(last, new)) FROM (
+                SELECT r.s, r.part + 1 AS part, coalesce(g.n, 0) AS n, g.last AS new, r.last,
+                    CASE WHEN r.last + 172800000 <= (SELECT clock FROM p WHERE p.part = r.part) AND r.held % 3 = 0 THEN 0 ELSE r.held END AS kept
+                FROM r LEFT JOIN g ON g.s = r.s AND g.part = r.part + 1 WHERE r.part < 6))
+        SELECT o.s AS session_key, id, before + k AS place, (before + k) // 3 AS batch FROM o JOIN r ON r.s = o.s AND r.part = o.part""",
+    "st8_two_phase_stream": "SELECT vec_id, CASE WHEN vec_id % 3 <> 0 AND vec_id % 4 <> 0 THEN round(CAST(embedding[1] AS DOUBLE), 6) END AS first FROM embeddings WHERE vec_id % 5 <> 0",
+    "f9_paired_stream": f"""WITH {ENTRIES_SQL}, c AS (SELECT session_key, 'call_' || idx AS tool_call_id, ts_ms, event_id FROM entries), r AS (SELECT session_key, tool_call_id, ts_ms + event_id % 900 * 1000 AS answered_ms, 'r' || event_id AS result FROM c WHERE event_id % 4 <> 0)
+        SELECT c.session_key, c.tool_call_id, ts_ms AS called_ms, answered_ms, result FROM c LEFT JOIN r ON r.session_key = c.session_key AND r.tool_call_id = c.tool_call_id AND answered_ms BETWEEN ts_ms AND ts_ms + 600000""",
     "st8_late_vectors": "SELECT vec_id, CASE WHEN vec_id % 3 <> 0 AND vec_id % 4 <> 0 THEN round(CAST(embedding[1] AS DOUBLE), 6) END AS first FROM embeddings WHERE vec_id % 5 <> 0",
 }
