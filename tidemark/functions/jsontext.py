@@ -48,3 +48,38 @@ def memory_type(c: Column) -> Column:
     for old, new in TYPES.items():
         out = F.when(F.lower(F.trim(c)) == old, F.lit(new)).otherwise(out)
     return F.when(c.isNull() | (F.trim(c) == ""), F.lit("episodic")).otherwise(out)
+
+
+def escaped(text: Column) -> Column:
+    """The text with control characters inside JSON strings escaped; those between strings stay, as white space does."""
+    pieces = F.regexp_extract_all(text, F.lit(r'(?s)("(?:[^"\\]|\\.)*"|[^"]+|")'), F.lit(1))
+
+    def inside(piece: Column) -> Column:
+        out = piece
+        for code in range(32):
+            short = {9: "t", 10: "n", 13: "r", 8: "b", 12: "f"}.get(code)
+            out = F.replace(out, F.lit(chr(code)), F.lit(f"\\{short}" if short else f"\\u{code:04x}"))
+        return out
+
+    is_string = lambda p: p.startswith('"') & (F.length(p) > 1) & p.rlike(r"[\x00-\x1f]")
+    return F.array_join(F.transform(pieces, lambda p: F.when(is_string(p), inside(p)).otherwise(p)), "")
+
+
+def tolerant(text: Column) -> Column:
+    """A JSON text that can be read: as it is, with control characters in strings escaped, or without the rare ones; else null."""
+    readable = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
+    return F.coalesce(readable(text), readable(escaped(text)), readable(F.regexp_replace(text, RARE_CONTROL, "")))
+
+
+def metadata(value: Column) -> Column:
+    """Metadata as a VARIANT object: of a JSON text or of a VARIANT; `{}` for all that is no object, can't be read or is null."""
+    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value).otherwise(F.parse_json(F.lit("{}")))
+
+
+def metadata_of(text: Column) -> Column:
+    return metadata(F.try_parse_json(text))
+
+
+def field(value: Column, path: str, kind: str) -> Column:
+    """A field of a VARIANT by its path (`$.a.b[0]`); null where it is missing or of another kind."""
+    return F.try_variant_get(value, path, kind)
