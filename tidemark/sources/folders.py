@@ -8,12 +8,17 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under `spark.checkpoint.dir`; only a local session without that setting gets a folder of its own."""
+def shared_root(spark: SparkSession) -> str:
+    """`spark.checkpoint.dir`; only a local session without that setting gets a folder of its own."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         held = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", held)
-    return f"{held.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return held.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
