@@ -6,6 +6,7 @@ import string
 
 from pyspark.sql import functions as F
 
+from tidemark.llm import pseudonyms
 from tidemark.llm.pseudonyms import ANY, date_pseudonym, op5_pseudonyms, permute_characters, permute_number, pseudonym, pseudonymise
 
 
@@ -160,3 +161,17 @@ def test_query_leaves_clean_texts_alone(spark, data_dir):
     assert {r.doc_id for r in got} == set(before)
     assert all((r.text == before[r.doc_id]) == (r.n_values == 0) for r in got)
     assert any(r.n_numbers for r in got)
+
+
+def test_the_query_keeps_one_key_and_shows_none(spark, data_dir):
+    rows = lambda: sorted(tuple(r) for r in pseudonyms.op5_pseudonyms(spark, data_dir).collect())
+    first = rows()
+    key = pseudonyms.stored_key(spark)
+    assert first == rows() and key == pseudonyms.stored_key(spark) and key.startswith(pseudonyms.KEY_FORM)
+    frame = pseudonyms.op5_pseudonyms(spark, data_dir)
+    assert key not in frame._jdf.queryExecution().toString() and key not in frame._jdf.queryExecution().simpleString()
+    spark.conf.set(pseudonyms.KEY_SETTING, "another")
+    try:
+        assert pseudonyms.stored_key(spark) == "another" and rows() != first
+    finally:
+        spark.conf.unset(pseudonyms.KEY_SETTING)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.folders import shared_folder
+
 #: Bytes that separate words: space and tab to carriage return.
 WORD_SEPARATORS = " \t\n\x0b\f\r"
 
@@ -21,22 +21,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is `spark.checkpoint.dir` where the session names one. Only a local session without that
-    setting gets a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
 class Scratch:
     """Written tables of one job, which go when nothing reads them any more."""
 
@@ -44,7 +28,7 @@ class Scratch:
         self.spark, self.held = spark, []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        path = shared_folder(self.spark, name)
         df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.held.append((table, path))

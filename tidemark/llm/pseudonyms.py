@@ -13,6 +13,7 @@ splits the same way.
 
 from __future__ import annotations
 
+import re
 import secrets
 import uuid
 from collections.abc import Callable
@@ -21,12 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import read_table
+from tidemark.sources.folders import shared_root
 
 ROUNDS = 8
 #: A control character that marks places while a text is put together again.
 MARK = "\x02"
 #: The setting of a session that holds the key of `op5_pseudonyms`.
 KEY_SETTING = "spark.tidemark.pseudonyms.key"
+#: How a key that is made here begins, and the setting that hides what matches it in shown plans.
+KEY_FORM, REDACTION = "tidemark-key-", "spark.sql.redaction.string.regex"
 #: Days that dates are permuted among: a square number of them from 1850-01-01 on, so that no walking is needed.
 FIRST_DAY, DAY_SIDE = "1850-01-01", 302
 
@@ -247,7 +251,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """`docs` with the personal values of `text_col` replaced, and `n_numbers`, `n_dates`, `n_values` (replacing columns so named).
 
     `key` is the caller's secret: who has it can turn pseudonyms back, and equal keys give equal pseudonyms
-    in all runs. n_numbers counts cards, national ids, telephone numbers and machine addresses, n_dates dates,
+    in all runs. The key stands in the plan: set `spark.sql.redaction.string.regex` to what hides it. n_numbers counts cards, national ids, telephone numbers and machine addresses, n_dates dates,
     n_values all that was replaced, mail addresses and secrets included. Null texts stay null with
     counts of 0; empty texts stay empty. Values that fail validation, and dates outside 1850-01-01
     to 2099-09-14, stay. Every row is treated by itself: no shuffle, repeated rows come out alike,
@@ -274,9 +278,30 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     }).drop(values, kinds, new)
 
 
+def stored_key(spark: SparkSession) -> str:
+    """The session's key, or that of all jobs with this shared folder: made at random once and kept there.
+
+    Who can read the folder can turn pseudonyms back, so its permissions guard the key; a session that sets
+    KEY_SETTING leaves none there.
+    """
+    if key := spark.conf.get(KEY_SETTING, None):
+        return key
+    path = f"{shared_root(spark)}/pseudonyms-key"
+    made = spark.createDataFrame([(KEY_FORM + secrets.token_hex(32),)], "value string").coalesce(1)
+    made.write.mode("ignore").text(path)  # one that is there stays
+    return spark.read.schema("value string").text(path).orderBy("value").first()[0]
+
+
+def redacted(spark: SparkSession, key: str) -> None:
+    """Keep the key out of plans as `explain` and the event log show them, where the session has no rule of its own."""
+    if not spark.conf.get(REDACTION, None):
+        spark.conf.set(REDACTION, f"{KEY_FORM}[0-9a-f]+" if key.startswith(KEY_FORM) else re.escape(key))
+
+
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents under the session's key; a session that sets none gets a random one for the run."""
-    key = spark.conf.get(KEY_SETTING, None) or secrets.token_hex(16)
+    """All documents under the session's key, or the one stored in the shared folder, so that runs and jobs link."""
+    key = stored_key(spark)
+    redacted(spark, key)
     return pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
