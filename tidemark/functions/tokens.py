@@ -44,6 +44,7 @@ _CLASS = np.zeros(1 << 16, np.uint8)
 for _k, _name in reversed(list(enumerate(RANGES, 1))):  # the first that fits counts
     for _low, _high in RANGES[_name]:
         _CLASS[_low : _high + 1] = _k
+_PLAIN, _ACCENT = ((_CLASS == 1) & (x == (np.arange(1 << 16) < 0x80)) for x in (True, False))
 _OF = {name: k for k, name in enumerate(_NAMES)}
 _COST = np.array([PER_UNIT.get(name, 0.0) for name in _NAMES])
 _GAP = 2 * WINDOW + 2
@@ -68,15 +69,16 @@ def estimates(texts: list[str | None]) -> np.ndarray:
     kind = _CLASS[units]
     latin, digits = _OF["latin"], _OF["digits"]
 
-    def joined(of: int, *signs: str) -> None:
+    def joined(at: np.ndarray, of: int) -> None:
         """Signs between two units of a class belong to its run."""
-        at = np.flatnonzero(np.isin(units, [ord(c) for c in signs]))
         at = at[(at > 0) & (at < len(units) - 1)]
         kind[at[(kind[at - 1] == of) & (kind[at + 1] == of)]] = of
 
-    joined(latin, "'")
-    joined(digits, ",", ".")
-    edge = np.flatnonzero(np.diff(kind, prepend=255, append=255) != 0) if len(kind) else np.zeros(1, np.int64)
+    commas, dots = np.flatnonzero(units == 0x2C), np.flatnonzero(units == 0x2E)
+    joined(np.flatnonzero(units == 0x27), latin)
+    joined(np.concatenate([commas, dots]), digits)
+    edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    edge = np.concatenate([[0], edge, [len(kind)]]) if len(kind) else np.zeros(1, np.int64)
     first, size = edge[:-1], np.diff(edge)
     of_run = kind[first] if len(first) else kind[:0]
     cost = _COST[of_run] * size
@@ -85,8 +87,7 @@ def estimates(texts: list[str | None]) -> np.ndarray:
         own = of_run == _OF[name]
         cost[own] = by(size[own])
     own = np.flatnonzero(of_run == digits)
-    commas, dots = (np.concatenate([[0], np.cumsum(units == ord(c))]) for c in ",.")
-    commas, dots = (x[first[own] + size[own]] - x[first[own]] for x in (commas, dots))
+    commas, dots = (np.searchsorted(x, first[own] + size[own]) - np.searchsorted(x, first[own]) for x in (commas, dots))
     plain = size[own] - commas - dots
     cost[own] = np.where(commas > 0, commas * 2 + 1.0, np.where(dots > 0, np.maximum(2.0, plain / 3 + dots * 1.5), np.where(plain <= 3, 1.0, plain / 2.5)))
     # whole millionths, so that the order of adding up decides no half
@@ -96,17 +97,19 @@ def estimates(texts: list[str | None]) -> np.ndarray:
 
 def _latin(units: np.ndarray, n: np.ndarray, begins: np.ndarray, first: np.ndarray, size: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Costs of the runs of Latin letters: dearer near accents, where a text has enough of them."""
-    plain = ((units | 0x20) >= 0x61) & ((units | 0x20) <= 0x7A) & (units < 0x80)
-    accent = (_CLASS[units] == _OF["latin"]) & (units >= 0x80)
-    heads = np.minimum(n, SAMPLE)
-    counts = [np.concatenate([[0], np.cumsum(x)]) for x in (plain, accent)]
-    letters, accents = (c[begins + heads] - c[begins] for c in counts)
+    out = np.zeros(len(first))
+    places = np.flatnonzero(_ACCENT[units])
+    if not len(places):
+        out[own] = _by_length(size[own], ENGLISH, ENGLISH_MORE)
+        return out
+    heads = begins + np.minimum(n, SAMPLE)
+    accents = np.searchsorted(places, heads) - np.searchsorted(places, begins)
+    # every text has units after it, so that each pair of bounds is a range
+    letters = np.add.reduceat(_PLAIN[units], np.stack([begins, heads], 1).ravel(), dtype=np.int64)[::2] * (n > 0)
     foreign = (letters > 100) & (accents > letters * 0.005)
     doc = np.searchsorted(begins, first[own], "right") - 1
-    places = np.flatnonzero(accent)
     after = np.searchsorted(places, first[own] - WINDOW)
     there = np.append(places, np.int64(1) << 62)[after] < first[own] + size[own] + WINDOW
-    out = np.zeros(len(first))
     out[own] = np.where(there & foreign[doc], _by_length(size[own], ACCENTED, ACCENTED_MORE), _by_length(size[own], ENGLISH, ENGLISH_MORE))
     return out
 

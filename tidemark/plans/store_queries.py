@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.timefn import ms_to_iso
+from tidemark.functions import jsontext as J
 from tidemark.operators import stores as S
 from tidemark.plans.base import FIRST_MS, MEMORIES_SQL, MESSAGES_SQL, memories, messages, table
 
@@ -147,8 +148,8 @@ def f21_u4_records(spark, d):
     """Stored rows as records: times without blanks and repeats, metadata read from JSON, anything but an object empty."""
     e = table(spark, d, "events").withColumn("t", F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type")))
     times = F.array_distinct(F.filter(F.array("t", "event_type", "t"), lambda x: x != ""))
-    meta = F.from_json(F.when(F.col("event_id") % 4 == 0, F.lit("[1]")).otherwise(F.lit('{"a": "x"}')), "map<string,string>")
-    return e.select("event_id", F.array_join(times, ",").alias("timestamps"), F.coalesce(meta["a"], F.lit("")).alias("a"))
+    meta = J.metadata_of(F.when(F.col("event_id") % 4 == 0, F.lit("[1]")).otherwise(F.lit('{"a": "x"}')))
+    return e.select("event_id", F.array_join(times, ",").alias("timestamps"), F.coalesce(J.field(meta, "$.a", "string"), F.lit("")).alias("a"))
 
 
 def a3_time_parts(spark, d):
