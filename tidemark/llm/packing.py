@@ -31,12 +31,13 @@ TURN = 128
 #: Rounds that one task sums up.
 ROUNDS_AT_ONCE = 4096
 
-_LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-_WORD = re.compile(f"([{_LETTERS}]+)([,.;:!?#*$%&|<>]*)")
+#: Signs after a word, one pretoken together.
+_SIGNS = b",.;:!?#*$%&|<>"
+_LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
 
 class _ChunkIds(dict):
-    """Packed identifiers of lower-cased chunks between ASCII white space, which no pretoken crosses.
+    """Packed identifiers of lower-cased chunks between ASCII white space, which no pretoken crosses, made when one is first asked for.
 
     A chunk of plain Latin letters, signs after them or not, is one pretoken and one for the signs: its
     letters go straight to the merges, as the bytes' stand-ins. Every other chunk is encoded as a whole.
@@ -44,11 +45,11 @@ class _ChunkIds(dict):
     are met again come back, and the old ones before go; so memory stays bounded and what is frequent stays.
     """
 
-    def __init__(self, tokenizer, kind: np.dtype, bound: int = 250_000):
+    def __init__(self, tokenizer, kind: np.dtype, bound: int = 400_000):
         super().__init__()
         self.tokenizer, self.code, self.bound, self.size = tokenizer, "H" if kind.itemsize == 2 else "I", bound, 0
         self.old: dict[bytes, bytes] = {}
-        self.model = tokenizer.model
+        self.tokenize = tokenizer.model.tokenize
         self.shown = {b: c for c, b in byte_symbols().items()}
         self.direct = self._as_whole("\u00c9T\u00c9") == self._letters("\u00c9T\u00c9") and self._as_whole("it") == self._letters("it")
 
@@ -56,39 +57,30 @@ class _ChunkIds(dict):
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _letters(self, word: str) -> bytes:
-        shown = word.lower().encode().decode("latin-1").translate(self.shown)
-        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
-
-    def learn(self, chunks: set[bytes]) -> None:
-        new = chunks - self.keys()
-        more = sum(map(len, new))
-        if len(self) + 2 * len(new) > self.bound or self.size + more > 32 * self.bound:
-            self.old = dict(self)
-            self.clear()
-            self.size, new = 0, chunks
-            more = sum(map(len, new))
-        self.size += more
-        for c in new:
-            before = self.old.get(c)
-            if before is not None:
-                self[c] = before
-                continue
-            text = c.decode()
-            m = _WORD.fullmatch(text) if self.direct else None
-            if m is None:
-                self[c] = self._as_whole(text)
-                continue
-            word, signs = m.groups()
-            if not signs:
-                if c not in self:
-                    self[c] = self._letters(word)
-                continue
-            base, end = word.encode(), signs.encode()
-            if base not in self:
-                self[base] = self._letters(word)
+        shown = word.lower() if word.isascii() else word.lower().encode().decode("latin-1").translate(self.shown)
+        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
+
+    def _made(self, chunk: bytes) -> bytes:
+        word = chunk.rstrip(_SIGNS)
+        if self.direct and (word.isalpha() if word.isascii() else _LATIN(word.decode())):
+            if len(word) == len(chunk):
+                return self._letters(word.decode())
+            end = chunk[len(word) :]
             if end not in self:
-                self[end] = self._as_whole(signs)
-            self[c] = self[base] + self[end]
+                self[end] = self._as_whole(end.decode())
+            return self[word] + self[end]
+        return self._as_whole(chunk.decode())
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        made = self.old.get(chunk)
+        if made is None:
+            made = self._made(chunk)
+        if len(self) >= self.bound or self.size > 32 * self.bound:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        self.size += len(chunk)
+        self[chunk] = made
+        return made
 
     def lowered(self, text: bytes | None) -> list[bytes]:
         """Chunks of a text; lower-cased, which the tokenizer does anyway, unless that could make a special string."""
@@ -96,6 +88,9 @@ class _ChunkIds(dict):
             return []
         return (text if b"<|" in text else text.lower()).split()
 
+    def of(self, text: bytes | None) -> bytes:
+        return b"".join(map(self.__getitem__, self.lowered(text)))
+
 
 _KNOWN: dict[str, tuple[_ChunkIds, np.dtype]] = {}
 
@@ -123,9 +118,7 @@ def queue_tokens(docs: DataFrame, tokenizer: str | None, end_id: int, id_col: st
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 some = batch.slice(low, 512)
-                split = list(map(known.lowered, some.column(1).to_pylist()))
-                known.learn(set().union(*split))
-                ids = [b"".join(map(known.__getitem__, chunks)) + end for chunks in split]
+                ids = [known.of(text) + end for text in some.column(1).to_pylist()]
                 n = [len(x) // width.itemsize for x in ids]
                 queues, at = some.column(2).to_pylist(), []
                 for q, more in zip(queues, n):
