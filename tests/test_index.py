@@ -42,7 +42,7 @@ def test_keyword_index_leaves_blocks_unread(spark, documents, tmp_path):
 def test_texts_are_made_into_terms_once(spark, documents, tmp_path):
     index = KeywordIndex.write(documents, f"file://{tmp_path}/i", "doc", "body")
     search = index.search(spark.createDataFrame([(1, "w1")], "query_id long, text string"), 3)
-    assert {f.split("/i/")[1].split("/")[0] for f in search.inputFiles()} == {"blocks", "heads", "stats"}
+    assert {f.split("/i/")[1].split("/")[0] for f in search.inputFiles() if "/i/" in f} == {"blocks"}  # with two small tables of the search itself
     assert "body" not in search._jdf.queryExecution().optimizedPlan().toString()
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import search as S
+from tidemark.sources.folders import shared_folder
 
 #: Documents that stand together in a block of each of their terms.
 TILE = 256
@@ -29,7 +30,7 @@ SLACK = 2e-6
 
 
 class KeywordIndex:
-    """Postings in blocks of one term and one tile of documents: `blocks` (term, tile, postings), `heads` (term, tile, n, tops), `stats` (n, known, total).
+    """Postings in blocks of one term and one tile of documents: `blocks` (term, tile, n, tops, postings), `stats` (n, known, total).
 
     tops: for each class of term frequency that a block has, its greatest frequency and its shortest document; no weight
     in the block is above the greatest of these pairs', whatever the mean length. Blocks are sorted by term within files,
@@ -40,7 +41,7 @@ class KeywordIndex:
         self.spark, self.path = spark, path
         posting = f"array<struct<id:{id_type},tf:bigint,len:bigint>>"
         self.blocks = spark.read.schema(f"term string, tile long, postings {posting}").parquet(f"{path}/blocks")
-        self.heads = spark.read.schema("term string, tile long, n long, tops array<struct<tf:bigint,len:bigint>>").parquet(f"{path}/heads")
+        self.heads = spark.read.schema("term string, tile long, n long, tops array<struct<tf:bigint,len:bigint>>").parquet(f"{path}/blocks")  # columns of their own
         self.stats = spark.read.schema("n long, known long, total long").parquet(f"{path}/stats")
 
     @classmethod
@@ -56,11 +57,7 @@ class KeywordIndex:
         in_class = [(F.col("tf") >= a) if b is None else F.col("tf").between(a, b - 1) for a, b in zip(CLASSES, ends)]
         tops = [F.when(F.max(F.when(c, F.col("tf"))).isNotNull(), F.struct(F.max(F.when(c, F.col("tf"))).alias("tf"), F.min(F.when(c, F.col("len"))).alias("len"))) for c in in_class]
         blocks = each.groupBy("term", "tile").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "len"))).alias("postings"), F.array_compact(F.array(*tops)).alias("tops"))
-        whole = blocks.sortWithinPartitions("term", "tile").withColumn("n", F.size("postings").cast("long"))
-        whole.write.parquet(f"{path}/whole")
-        whole = spark.read.parquet(f"{path}/whole")
-        whole.select("term", "tile", "postings").write.parquet(f"{path}/blocks")
-        whole.select("term", "tile", "n", "tops").write.parquet(f"{path}/heads")
+        blocks.withColumn("n", F.size("postings").cast("long")).sortWithinPartitions("term", "tile").write.parquet(f"{path}/blocks")
         return cls(spark, path, docs.schema[id_col].dataType.simpleString())
 
     def _wanted(self, queries: DataFrame) -> DataFrame:
@@ -82,18 +79,23 @@ class KeywordIndex:
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, id, score, rank): what `keyword_search` gives over the indexed documents. queries: (query_id, text)."""
-        seeds, rest = self.plan(queries, k)
-        found = self._scores(seeds).unionByName(self._scores(rest))
-        return S.top(found, k, F.desc("score"), F.asc("id"))
+        first, rest = self._plan(queries, k)[1:]
+        return S.top(first.unionByName(self._scores(rest)), k, F.desc("score"), F.asc("id"))
 
-    def plan(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-        """Blocks read first, and those read then because they can reach a query's k-th score. Each: (query_id, tile, term, idf, avg_len).
+    def _kept(self, rows: DataFrame, name: str) -> DataFrame:
+        """A small table of one search, written to the shared folder as it is read more than once."""
+        path = shared_folder(self.spark, name)
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _plan(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Blocks read first, the scores of their documents, and blocks read then because they can reach a query's k-th score. Blocks: (query_id, tile, term, idf, avg_len).
 
         First come the tiles of the greatest bounds that hold at least k documents of one of the query's terms together. All
         blocks of a tile are read or none, so scores are whole; a tile is left where its bounds add up to less than the
         k-th score of the first. That score is rounded as results are, so a tie is never left.
         """
-        wanted = self._wanted(queries)
+        wanted = self._kept(self._wanted(queries), "wanted")
         tiles = wanted.groupBy("query_id", "tile").agg(F.sum("bound").alias("bound"), F.max("n").alias("n"))
         order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "tile")
         before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -101,14 +103,15 @@ class KeywordIndex:
         keys = ["query_id", "tile"]
         blocks = ["query_id", "tile", "term", "idf", "avg_len"]
         seeds = wanted.join(tiles.where("first").select(*keys), keys).select(*blocks)
-        best = S.top(self._scores(seeds), k, F.desc("score"), F.asc("id")).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("found"))
+        first = self._kept(self._scores(seeds), "first")
+        best = S.top(first, k, F.desc("score"), F.asc("id")).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("found"))
         reach = F.round(S.rank_score(-F.col("bound") * (1 + 1e-12)), 6) >= F.when(F.col("found") >= k, F.col("least")).otherwise(0.0)
         left = tiles.where("not first").join(best, "query_id", "left").where(F.coalesce(reach, F.lit(True))).select(*keys)
-        return seeds, wanted.join(left, keys).select(*blocks)
+        return seeds, first, wanted.join(left, keys).select(*blocks)
 
     def blocks_read(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, blocks, read): blocks of each query's terms, and those of them that its search reads."""
-        seeds, rest = self.plan(queries, k)
+        seeds, _, rest = self._plan(queries, k)
         read = seeds.unionByName(rest).groupBy("query_id").agg(F.count("*").alias("read"))
         return self._wanted(queries).groupBy("query_id").agg(F.count("*").alias("blocks")).join(read, "query_id", "left").select("query_id", "blocks", F.coalesce("read", F.lit(0)).alias("read"))
 
