@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,9 @@ SLACK = 2e-6
 class KeywordIndex:
     """Postings in blocks of one term and one tile of documents: `blocks` (term, tile, n, tops, postings), `stats` (n, known, total).
 
+    A tile's documents stand together in one partition, so a task makes its blocks alone and no tokens are shuffled. A tile that
+    comes in two batches has two blocks of a term; bounds add up, so they hold for these too.
+
     tops: for each class of term frequency that a block has, its greatest frequency and its shortest document; no weight
     in the block is above the greatest of these pairs', whatever the mean length. Blocks are sorted by term within files,
     so a search for few terms skips row groups; a term of many documents is spread over all files by its tiles.
@@ -46,41 +50,48 @@ class KeywordIndex:
 
     @classmethod
     def write(cls, docs: DataFrame, path: str, id_col: str, text_col: str, tile: int = TILE) -> KeywordIndex:
-        """The index of `docs` in a new folder. Texts are made into terms once; null texts count as documents, but not for the mean length."""
+        """The index of `docs`, whose ids are distinct, in a new folder. Texts are made into terms once; null texts count as documents, but not for the mean length."""
         spark = docs.sparkSession
         t = docs.select(F.col(id_col).alias("id"), T.terms(F.col(text_col)).alias("ts"), F.floor(F.monotonically_increasing_id() / tile).alias("tile"))
         t.select("id", "tile", F.when(F.col("ts").isNotNull(), F.size("ts")).cast("long").alias("len"), "ts").write.parquet(f"{path}/terms")
         t = spark.read.parquet(f"{path}/terms")
         t.agg(F.count("*").alias("n"), F.count("len").alias("known"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).write.parquet(f"{path}/stats")
-        each = t.select("tile", "id", "len", F.explode("ts").alias("term")).groupBy("term", "tile", "id", "len").agg(F.count("*").alias("tf"))
-        ends = [*CLASSES[1:], None]
-        in_class = [(F.col("tf") >= a) if b is None else F.col("tf").between(a, b - 1) for a, b in zip(CLASSES, ends)]
-        tops = [F.when(F.max(F.when(c, F.col("tf"))).isNotNull(), F.struct(F.max(F.when(c, F.col("tf"))).alias("tf"), F.min(F.when(c, F.col("len"))).alias("len"))) for c in in_class]
-        blocks = each.groupBy("term", "tile").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "len"))).alias("postings"), F.array_compact(F.array(*tops)).alias("tops"))
-        blocks.withColumn("n", F.size("postings").cast("long")).sortWithinPartitions("term", "tile").write.parquet(f"{path}/blocks")
-        return cls(spark, path, docs.schema[id_col].dataType.simpleString())
+        kind = docs.schema[id_col].dataType.simpleString()
+        blocks = t.select("tile", "id", "len", "ts").mapInArrow(_blocks, f"term string, tile long, n long, tops array<struct<tf:bigint,len:bigint>>, postings array<struct<id:{kind},tf:bigint,len:bigint>>")
+        blocks.sortWithinPartitions("term", "tile").write.parquet(f"{path}/blocks")
+        return cls(spark, path, kind)
 
     def _wanted(self, queries: DataFrame) -> DataFrame:
         """(query_id, tile, term, idf, bound, n) for all blocks of the queries' terms."""
-        asked = queries.select("query_id", F.explode(T.query_terms(F.col("text"))).alias("term"))
+        asked = queries.select("query_id", F.explode(T.query_terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
         words = S.small(asked.select("term").distinct())
         heads = self.heads.join(words, "term", "left_semi")
         df = heads.groupBy("term").agg(F.sum("n").alias("df"))
         stats = F.broadcast(self.stats.select(F.col("n").alias("docs"), F.try_divide("total", "known").alias("avg_len")))
         most = F.array_max(F.transform("tops", lambda t: _tf_part(t["tf"], t["len"], F.col("avg_len"))))
-        own = heads.join(df, "term").crossJoin(stats).select("term", "tile", "n", "avg_len", S.idf(F.col("docs"), F.col("df")).alias("idf"), most.alias("most"))
-        return asked.join(own, "term").select("query_id", "tile", "term", "idf", "avg_len", "n", (F.col("idf") * F.col("most")).alias("bound"))
+        own = heads.join(df, "term").crossJoin(stats).select("term", "tile", "n", "avg_len", S.idf(F.col("docs"), F.col("df")).alias("one"), most.alias("most"))
+        both = S.small(asked).join(own, "term").withColumn("idf", F.col("one") * F.col("times"))
+        return both.select("query_id", "tile", "term", "idf", "avg_len", "n", (F.col("idf") * F.col("most")).alias("bound"))
+
+    def _scores(self, wanted: DataFrame, k: int) -> DataFrame:
+        """(query_id, id, score) of each query's k best documents in each of its wanted tiles; wanted: blocks (query_id, tile, term, idf, avg_len).
+
+        Blocks of the wanted terms and tiles move once by tile, whatever the number of queries, and pairs of query and document not at all.
+        """
+        kind, query_kind = (f.schema[c].dataType.simpleString() for f, c in ((self.blocks.select("postings.id"), "id"), (wanted, "query_id")))
+        kind = kind.removeprefix("array<").removesuffix(">")
+        own = self.blocks.join(S.small(wanted.select("term").distinct()), "term", "left_semi").join(wanted.select("tile").distinct(), "tile", "left_semi")
 
-    def _scores(self, wanted: DataFrame) -> DataFrame:
-        """(query_id, id, score) of all documents in the wanted blocks (query_id, tile, term, idf, avg_len); a query's blocks of a tile come together."""
-        each = self.blocks.join(wanted, ["term", "tile"]).select("query_id", "idf", "avg_len", F.explode("postings").alias("p"))
-        weight = F.col("idf") * _tf_part(F.col("p.tf"), F.col("p.len"), F.col("avg_len"))
-        return each.groupBy("query_id", F.col("p.id").alias("id")).agg(F.round(S.rank_score(-F.sum(weight)), 6).alias("score"))
+        def scored(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+            best = _tile_best(blocks.combine_chunks(), asked.combine_chunks(), k)
+            return pa.table({"query_id": pa.array([], asked.schema.field("query_id").type), "id": pa.array([], blocks.schema.field("postings").type.value_type.field("id").type), "score": pa.array([], pa.float64())}) if best is None else best
+
+        return own.groupBy("tile").cogroup(wanted.groupBy("tile")).applyInArrow(scored, f"query_id {query_kind}, id {kind}, score double")
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, id, score, rank): what `keyword_search` gives over the indexed documents. queries: (query_id, text)."""
         first, rest = self._plan(queries, k)[1:]
-        return S.top(first.unionByName(self._scores(rest)), k, F.desc("score"), F.asc("id"))
+        return S.top(first.unionByName(self._scores(rest, k)), k, F.desc("score"), F.asc("id"))
 
     def _kept(self, rows: DataFrame, name: str) -> DataFrame:
         """A small table of one search, written to the shared folder as it is read more than once."""
@@ -89,7 +100,7 @@ class KeywordIndex:
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def _plan(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Blocks read first, the scores of their documents, and blocks read then because they can reach a query's k-th score. Blocks: (query_id, tile, term, idf, avg_len).
+        """Blocks read first, the best scores of their documents, and blocks read then because they can reach a query's k-th score. Blocks: (query_id, tile, term, idf, avg_len).
 
         First come the tiles of the greatest bounds that hold at least k documents of one of the query's terms together. All
         blocks of a tile are read or none, so scores are whole; a tile is left where its bounds add up to less than the
@@ -103,7 +114,7 @@ class KeywordIndex:
         keys = ["query_id", "tile"]
         blocks = ["query_id", "tile", "term", "idf", "avg_len"]
         seeds = wanted.join(tiles.where("first").select(*keys), keys).select(*blocks)
-        first = self._kept(self._scores(seeds), "first")
+        first = self._kept(self._scores(seeds, k), "first")
         best = S.top(first, k, F.desc("score"), F.asc("id")).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("found"))
         reach = F.round(S.rank_score(-F.col("bound") * (1 + 1e-12)), 6) >= F.when(F.col("found") >= k, F.col("least")).otherwise(0.0)
         left = tiles.where("not first").join(best, "query_id", "left").where(F.coalesce(reach, F.lit(True))).select(*keys)
@@ -116,6 +127,65 @@ class KeywordIndex:
         return self._wanted(queries).groupBy("query_id").agg(F.count("*").alias("blocks")).join(read, "query_id", "left").select("query_id", "blocks", F.coalesce("read", F.lit(0)).alias("read"))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (term, tile, n, tops, postings) of documents (tile, id, len, ts), some tiles at a time."""
+    for whole in batches:
+        tiles = whole.column("tile").to_numpy()
+        starts = np.flatnonzero(np.diff(tiles, prepend=-1))[::16].tolist() + [len(tiles)]
+        for low, high in zip(starts[:-1], starts[1:]):
+            batch = whole.slice(low, high - low)
+            size = pa.compute.list_value_length(batch.column("ts")).fill_null(0).to_numpy()
+            words = batch.column("ts").flatten().dictionary_encode()
+            if not len(words):
+                continue
+            every, place = np.unique(tiles[low:high], return_inverse=True)
+            doc, rows, n = np.repeat(np.arange(high - low), size), high - low, len(words.dictionary)
+            key, tf = np.unique((place[doc] * n + words.indices.to_numpy()) * rows + doc, return_counts=True)
+            block, doc = key // rows, key % rows
+            begin = np.flatnonzero(np.diff(block, prepend=-1))
+            ends, length = np.append(begin, len(block)), batch.column("len").fill_null(0).to_numpy()[doc]
+            posting = pa.StructArray.from_arrays([batch.column("id").take(pa.array(doc)), pa.array(tf), pa.array(length)], names=["id", "tf", "len"])
+            # the greatest frequency and the shortest document of each class that a block has
+            group = np.repeat(np.arange(len(begin)), np.diff(ends)) * len(CLASSES) + np.searchsorted(CLASSES, tf, "right") - 1
+            order = np.argsort(group, kind="stable")
+            first = np.flatnonzero(np.diff(group[order], prepend=-1))
+            top = pa.StructArray.from_arrays([pa.array(np.maximum.reduceat(tf[order], first)), pa.array(np.minimum.reduceat(length[order], first))], names=["tf", "len"])
+            top_ends = np.searchsorted(group[order][first] // len(CLASSES), np.arange(len(begin) + 1))
+            columns = [words.dictionary.take(pa.array(block[begin] % n)), pa.array(every[block[begin] // n]), pa.array(np.diff(ends))]
+            lists = [pa.ListArray.from_arrays(pa.array(x, pa.int32()), y) for x, y in ((top_ends, top), (ends, posting))]
+            yield pa.RecordBatch.from_arrays(columns + lists, names=["term", "tile", "n", "tops", "postings"])
+
+
+def _tile_best(blocks: pa.Table, asked: pa.Table, k: int) -> pa.Table | None:
+    """(query_id, id, score): the k best documents of a tile's blocks (term, postings) for each query of `asked` (query_id, term, idf, avg_len)."""
+    if not blocks.num_rows or not asked.num_rows:
+        return None
+    column = lambda t, c: pa.concat_arrays(t.column(c).chunks)
+    words, lists = column(blocks, "term").dictionary_encode(), column(blocks, "postings")
+    code, posting = np.repeat(words.indices.to_numpy(), lists.value_lengths().to_numpy()), lists.flatten()
+    tf, length = posting.field("tf").to_numpy(), posting.field("len").to_numpy()
+    ids = posting.field("id").dictionary_encode()
+    names = column(asked, "query_id").dictionary_encode("encode")
+    term = pa.compute.index_in(column(asked, "term"), value_set=words.dictionary)
+    there = np.flatnonzero(term.is_valid().to_numpy(zero_copy_only=False))
+    if not len(there):
+        return None
+    query, term = names.indices.to_numpy()[there], term.fill_null(0).to_numpy()[there]
+    each, first = np.unique(query.astype(np.int64) * len(words.dictionary) + term, return_index=True)
+    idf, avg_len = asked.column("idf").to_numpy()[there][first], asked.column("avg_len")[0].as_py()
+    best, step = S.Best(len(names.dictionary), k), max(1, S.SCORES // len(names.dictionary))
+    weight = tf * (S.K1 + 1) / (tf + S.K1 * (1 - S.B + S.B * length / avg_len))
+    doc = ids.indices.to_numpy()
+    for low in range(0, len(ids.dictionary), step):
+        own = (doc >= low) & (doc < low + step)
+        raw = np.zeros((len(names.dictionary), min(step, len(ids.dictionary) - low)))
+        S.add_weights(raw, code[own], doc[own] - low, weight[own], each // len(words.dictionary), each % len(words.dictionary), idf)
+        best.add_raw(raw, ids.dictionary.slice(low, step))
+    if best.ids is None:
+        return None
+    return pa.table({"query_id": names.dictionary.take(pa.array(best.query)), "id": best.ids, "score": pa.array(best.score)})
+
+
 def _tf_part(tf: Column, length: Column, avg_len: Column) -> Column:
     return tf * (S.K1 + 1) / (tf + S.K1 * (1 - S.B + S.B * length / avg_len))
 
