@@ -110,3 +110,79 @@ def test_pairs_of_tables(spark):
     calls = spark.createDataFrame([("s", "1", 0), ("s", "2", 0), ("t", "1", 5)], "session_key string, tool_call_id string, t long").select("session_key", "tool_call_id", F.timestamp_seconds("t").alias("called"))
     results = spark.createDataFrame([("s", "1", 600, "x"), ("s", "2", 601, "late"), ("t", "1", 4, "early")], "session_key string, tool_call_id string, t long, result string").select("session_key", "tool_call_id", F.timestamp_seconds("t").alias("answered"), "result")
     assert sorted((r.session_key, r.tool_call_id, r.result) for r in paired_calls(calls, results).collect()) == [("s", "1", "x"), ("s", "2", None), ("t", "1", None)]
+
+
+class _Calls:
+    """A state handle that counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def getListState(self, name, schema):  # noqa: N802
+        return _Calls()
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def put(self, value):
+        self.update(value)
+
+    def clear(self):
+        self.update(None)
+
+    def listTimers(self):  # noqa: N802
+        self.calls += 1
+        return sorted(self.timers)
+
+    def registerTimer(self, t):  # noqa: N802
+        self.calls += 1
+        self.timers.add(t)
+
+    def deleteTimer(self, t):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(t)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
+
+def test_a_session_asks_little_of_its_state(spark):
+    """A call to the state goes from one process to another: four at most a micro-batch, whatever it brings; a timer never comes too late."""
+    from types import SimpleNamespace as Of
+
+    from tidemark.streaming.state import _Sessions
+
+    h, sessions, rng, t = _Calls(), _Sessions(3, 1000), random.Random(5), 0
+    sessions.init(h)
+    for k in range(60):
+        t += rng.choice([1, 100, 600, 3000])
+        before = h.calls
+        out = [x.asDict() for x in sessions.handleInputRows(("a",), iter([Of(timestamp=t + x, id=x) for x in (2, 0, 1, 0)][: 1 + k % 4]), h)]
+        assert h.calls - before <= 4 and out[0]["ids"] == [[2], [0, 2], [0, 1, 2], [0, 0, 1, 2]][k % 4]
+        t = h.value[0]
+        assert len(h.timers) == 1 and max(h.timers) <= t + 1000
+        h.now = t + rng.choice([0, 500, 999])
+        for timer in [x for x in h.timers if x <= h.now]:
+            assert list(sessions.handleExpiredTimer(("a",), h, None)) == []
+            h.timers.remove(timer)
+            assert h.value and len(h.timers) == 1  # newer rows have come
+    h.now, rows = t + 1000, h.value[1]
+    for timer in list(h.timers):
+        list(sessions.handleExpiredTimer(("a",), h, None))
+        h.timers.remove(timer)
+    while h.timers and rows % 3 == 0:
+        h.now = max(h.timers)
+        list(sessions.handleExpiredTimer(("a",), h, None))
+        h.timers.remove(h.now)
+    assert (h.value is None) == (rows % 3 == 0)

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,48 +13,47 @@ from tidemark.streaming.capture import FORGET_MS
 
 #: The state store that lists and timers need.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-SESSION_ROW = "session_key string, id long, timestamp long, place long, batch long"
+_SESSION_ROWS = "session_key string, before long, ids array<long>, times array<long>"
 
 
 class _Sessions(StatefulProcessor):
-    """One session: its newest time, how many rows it has brought, and the ids that wait for a batch of `n`."""
+    """One session: its newest time, how many rows it has brought, of which `rows` % `n` wait for a batch of `n`, and its timer.
+
+    A call to the state costs more than many rows, so a session reads and writes it once a micro-batch, hands on its new rows
+    as one, and moves its timer when that is over half the time too early; else it is put off when it expires.
+    """
 
     def __init__(self, n: int, forget_ms: int):
         self.n, self.forget_ms = n, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cursor = handle.getValueState("cursor", "newest long, rows long")
-        self.pending = handle.getListState("pending", "id long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = pd.concat(rows).sort_values(["timestamp", "id"])
-        newest, count = self.cursor.get() if self.cursor.exists() else (None, 0)
-        if newest is not None:
-            new = new[new["timestamp"] > newest]
-        if not len(new):
+        self.cursor = handle.getValueState("cursor", "newest long, rows long, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        newest, count, timer = self.cursor.get() or (None, 0, None)
+        new = [(r.timestamp, r.id) for r in rows if r.timestamp is not None and (newest is None or r.timestamp > newest)]
+        if not new:
             return
-        place = range(count, count + len(new))
-        waiting = [x[0] for x in self.pending.get()] if self.pending.exists() else []
-        waiting = (waiting + new["id"].tolist())[: len(waiting) + len(new)]
-        rest = waiting[len(waiting) // self.n * self.n :]
-        newest, count = int(new["timestamp"].max()), count + len(new)
-        self.cursor.update((newest, count))
-        if rest:
-            self.pending.put([(int(x),) for x in rest])
-        else:
-            self.pending.clear()
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(newest + self.forget_ms)
-        yield pd.DataFrame({"session_key": key[0], "id": new["id"], "timestamp": new["timestamp"], "place": list(place), "batch": [p // self.n for p in place]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.pending.exists():  # work waits: the session stays, and is looked at again later
-            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.forget_ms)
-        else:
+        new.sort(key=lambda x: (x[0], x[1] is None, x[1]))
+        due = new[-1][0] + self.forget_ms
+        if timer is None or not 0 <= due - timer <= self.forget_ms // 2:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        self.cursor.update((new[-1][0], count + len(new), timer))
+        yield Row(session_key=key[0], before=count, ids=[x[1] for x in new], times=[x[0] for x in new])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        newest, count, _ = self.cursor.get()
+        due, now = newest + self.forget_ms, timerValues.getCurrentWatermarkInMs()
+        if due <= now and count % self.n == 0:
             self.cursor.clear()
-            self.pending.clear()
+        else:  # newer rows have come, or work waits: the session stays, and is looked at again later
+            timer = due if due > now else now + self.forget_ms
+            self.handle.registerTimer(timer)
+            self.cursor.update((newest, count, timer))
         return iter(())
 
     def close(self) -> None:
@@ -67,13 +65,17 @@ def session_rows(stream: DataFrame, n: int, forget_ms: int = FORGET_MS, late: st
 
     stream: (session_key, id long, ts timestamp). In event time a session's state goes once the watermark has passed its
     newest row by `forget_ms`, unless rows wait for their batch to fill; a session that comes back after that starts anew.
+    Rows without a time are left out.
     State is kept by RocksDB, so it may be larger than memory; rows of a session in one micro-batch are held together.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = stream.withWatermark("ts", late).withColumn("timestamp", F.unix_millis("ts"))
-    return rows.groupBy("session_key").transformWithStateInPandas(
-        statefulProcessor=_Sessions(n, forget_ms), outputStructType=SESSION_ROW, outputMode="Append", timeMode="EventTime"
+    packed = rows.groupBy("session_key").transformWithState(
+        statefulProcessor=_Sessions(n, forget_ms), outputStructType=_SESSION_ROWS, outputMode="Append", timeMode="EventTime"
     )
+    each = packed.select("session_key", "before", F.posexplode(F.arrays_zip("ids", "times")).alias("at", "row"))
+    place = (F.col("before") + F.col("at")).alias("place")
+    return each.select("session_key", F.col("row.ids").alias("id"), F.col("row.times").alias("timestamp"), place, F.floor(place / n).alias("batch"))
 
 
 class VectorTable:
