@@ -1,5 +1,7 @@
 """Tables by day, statistics kept by changes, table functions in SQL and loose JSON."""
 
+import collections
+import datetime as dt
 import random
 import uuid
 
@@ -43,6 +45,26 @@ def test_guards_keep_small_tables_and_most_rows(spark):
     assert days.expire("2024-01-02T99", 20)[2] == "deleted" and days.rows().where("at <> '' and at < '2024-01-03'").count() == 0
 
 
+def test_many_days_share_partitions(spark):
+    """Partitions of an append are bounded, whatever its number of days; rows, counts and guards stay those of days."""
+    first = dt.date(2023, 11, 1)
+    rows = [(k, f"{first + dt.timedelta(days=k % 450)}T{k % 24:02d}:00:00.000Z") for k in range(1350)] + [(2000, None), (2001, ""), (2002, "it's"), (2003, "'24\\")]
+    days = day_table(spark, rows)
+    days.append(spark.createDataFrame([(3000, "2024-01-06T01:00:00.000Z"), (3001, "2024-01-06T23:00:00.000Z"), (3002, "2024-01-05T23:00:00.000Z")], "id long, at string"))
+    rows += [(3000, "2024-01-06T01:00:00.000Z"), (3001, "2024-01-06T23:00:00.000Z"), (3002, "2024-01-05T23:00:00.000Z")]
+    parts = lambda: {r.partition for r in spark.sql(f"SHOW PARTITIONS {days.name}").collect()}
+    assert len(parts()) <= 25 and {"day=2024-01-05", "day=2024-01-06", "day=2024-01", "day=none"} <= parts()
+    for cutoff in ("2024-01-06T12:00:00.000Z", "2024-03", "2024-03-31T99"):
+        assert sorted(r.id for r in days.of_day("2024-01-06").collect()) == sorted(i for i, t in rows if t and t[:10] == "2024-01-06")
+        left = [r for r in rows if not r[1] or r[1] >= cutoff]
+        assert days.expire(cutoff, 20) == (len(rows), len(rows) - len(left), "deleted")
+        rows = left
+        assert sorted(r.id for r in days.rows().collect()) == sorted(i for i, _ in rows)
+        assert {r.day: r.n for r in days.counts().collect()} == collections.Counter((t or "none")[:10] for _, t in rows)
+        assert days.expire(cutoff, 20) == (len(rows), 0, "nothing")
+    assert not any(p[:11] in ("day=2024-01", "day=2024-02", "day=2024-03") for p in parts())
+
+
 def test_statistics_by_changes_equal_a_rebuild(spark, tmp_path):
     rng, texts = random.Random(9), {}
     stats = TermStats(spark, f"file://{tmp_path}/s")
