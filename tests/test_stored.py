@@ -85,6 +85,18 @@ def test_statistics_by_changes_equal_a_rebuild(spark, tmp_path):
     assert stats.compact(f"file://{tmp_path}/d", most=8) is stats
 
 
+def test_texts_are_cut_once(spark, tmp_path, monkeypatch):
+    """Every text of a batch goes through the cutting of terms once, though two columns need them."""
+    plans, write = [], TermStats._write
+    monkeypatch.setattr(TermStats, "_write", lambda self, name, rows, number: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), write(self, name, rows, number)))
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "")], "id long, text string")
+    docs.write.parquet(str(tmp_path / "d"))
+    stats = TermStats(spark, f"file://{tmp_path}/s")
+    stats.apply(spark.read.parquet(str(tmp_path / "d")), docs.limit(0), 0)
+    assert [p.count("regexp_extract_all") for p in plans] == [1, 0, 0]
+    assert sorted((r.id, r.terms, r.len) for r in stats.current().collect()) == [(1, ["a", "b"], 3), (2, None, None), (3, [], 0)]
+
+
 def test_table_functions_in_sql(spark):
     register(spark)
     rows = spark.sql("SELECT * FROM index_terms(TABLE(SELECT * FROM VALUES (1, 'Été été, x'), (2, NULL) t(id, text)))").collect()

@@ -10,6 +10,12 @@ from tidemark.functions import text as T
 _PARTS = {"docs": "id {id}, terms array<string>, len long, gone boolean, batch long", "df": "term string, df long, batch long", "sums": "n long, known long, total long, batch long"}
 
 
+def distinct_terms(docs: DataFrame) -> DataFrame:
+    """(id, terms, len): each text's distinct terms and how many it has with repeats, null for no text; texts are cut once."""
+    every = docs.select("id", T.terms(F.col("text")).alias("every"))  # of its own: an expression in two columns is worked out twice
+    return every.select("id", F.array_distinct("every").alias("terms"), F.when(F.col("every").isNotNull(), F.size("every")).cast("long").alias("len"))
+
+
 class TermStats:
     """Document frequencies and sums of a corpus in a folder, as the sum of the changes of all batches.
 
@@ -37,8 +43,7 @@ class TermStats:
 
     def apply(self, changed: DataFrame, gone: DataFrame, number: int) -> None:
         """Texts that are new or changed (id, text; ids are distinct) and ids (id) that went, as batch `number`, later than all before."""
-        terms = T.terms(F.col("text"))
-        new = changed.select("id", F.array_distinct(terms).alias("terms"), F.when(F.col("text").isNotNull(), F.size(terms)).cast("long").alias("len"), F.lit(False).alias("gone"))
+        new = distinct_terms(changed).withColumn("gone", F.lit(False))
         none = gone.join(changed.select("id"), "id", "left_anti").select("id", F.lit(None).cast("array<string>").alias("terms"), F.lit(None).cast("long").alias("len"), F.lit(True).alias("gone"))
         self._write("docs", new.unionByName(none.distinct()), number)
         new = self._read("docs").where(F.col("batch") == number)
