@@ -160,3 +160,42 @@ def test_lines_in_common_are_not_compared_in_pairs(spark, monkeypatch):
     assert {(r.doc_id, r.class_id) for r in rows} == {(0, 0), (900, 0), (1, 1), (901, 1)}
     print(seen)
     assert sum(seen[1:]) <= 180  # all but the first, which meets one hub a document
+
+
+def test_links_between_members_of_classes(spark):
+    """Two documents whose passages were found with others earlier are linked where they are alike, and runs of one token as long as a passage are alike."""
+    rng = random.Random(51)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+
+    def edited(p, *places):
+        return [f"e{rng.randrange(10**6)}" if k in places else w for k, w in enumerate(p)]
+
+    docs, pairs = [], []
+    for g in range(20):
+        m = words(60)
+        n = edited(m, 20)  # alike, 51 of 61
+        low, high = edited(m, 35), edited(n, 50)  # each alike with one of m and n only: 46 of 66 with the other
+        for k, own in enumerate((low, high, m, n)):
+            docs.append((4 * g + k, " ".join(words(15) + own + words(15))))
+        pairs.append((4 * g + 2, 4 * g + 3))
+    docs += [(900, " ".join(words(70) + ["same"] * 90)), (901, " ".join(["same"] * 70 + words(70)))]
+    rows = find_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    group = {i: i for i, _ in docs}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for r in rows:
+        group[root(r.doc_id)] = root(r.class_id)
+
+    def runs(i):
+        own = docs[i][1].split()[15:75]
+        return {tuple(own[k : k + 5]) for k in range(56)}
+
+    alike = [(a, b) for a, b in pairs if 100 * len(runs(a) & runs(b)) >= 75 * len(runs(a) | runs(b))]
+    assert len(alike) == 20
+    print(sum(root(a) == root(b) for a, b in alike))
+    assert sum(root(a) == root(b) for a, b in alike) >= 19
+    assert root(900) == root(901)
