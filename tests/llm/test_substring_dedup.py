@@ -199,3 +199,50 @@ def test_links_between_members_of_classes(spark):
     print(sum(root(a) == root(b) for a, b in alike))
     assert sum(root(a) == root(b) for a, b in alike) >= 19
     assert root(900) == root(901)
+
+
+def test_windows_of_repeated_values_are_one():
+    from tidemark.llm.substring_dedup import joined_windows
+
+    l, c, d, r = joined_windows(np.full(500, 7, np.uint64), 46)
+    assert len(c) == 1 and (l[0], c[0], r[0]) == (0, 0, 499) and d[0] >= 454
+    rng = np.random.default_rng(9)
+    for n, tokens, top in ((60, 4, 3), (200, 7, 2), (300, 11, 10**6), (200, 6, 5)):
+        values = rng.integers(1, top + 1, n).astype(np.uint64)
+        l, c, d, r = joined_windows(values, tokens)
+        for i in range(n - tokens + 1):  # each run is in one window, whose value is its smallest
+            own = (np.maximum(l, c - tokens + 1) <= i) & (i <= np.minimum(d, r - tokens + 1))
+            assert own.sum() == 1 and values[c[own][0]] == values[i : i + tokens].min()
+
+
+def test_bits_that_a_run_needs():
+    from collections import Counter
+
+    from tidemark.llm.substring_dedup import TOKENS, needs
+
+    rng = np.random.default_rng(10)
+    for n, top in ((60, 4), (120, 30), (200, 500), (47, 1)):
+        bins = rng.integers(0, top, n)
+        for spare, least in zip((6, 16), needs(bins, np.zeros(n, int), 6, 16)):
+            for i in range(n - TOKENS + 1):
+                want, left = 0, spare
+                for times in sorted(Counter(bins[i : i + TOKENS].tolist()).values()):
+                    want, left = (want, left - times) if times <= left else (want + 1, left)
+                assert least[i] == want
+
+
+def test_tokens_do_not_depend_on_spaces_or_chunks(monkeypatch):
+    from tidemark.llm import substring_dedup
+
+    rng = random.Random(61)
+    words = [b"aB", b"ab", b"c" * 200, "é".encode(), b"x", b"A", b"\x00", b"zz\x1c"]
+    texts = [b"".join(rng.choice(words) + rng.choice([b" ", b"\n\t", b"\x0b\x0c\r"]) for _ in range(rng.randint(0, 60))) for _ in range(100)] + [None, b"", b"  "]
+    whole = substring_dedup.tokens_of(texts)
+    monkeypatch.setattr(substring_dedup, "CHUNK", 64)
+    seen = {}
+    for text, tokens, again in zip(texts, whole, substring_dedup.tokens_of(texts)):
+        own = (text or b"").lower().split()
+        assert tokens.tolist() == again.tolist() and len(tokens) == (max(1, len(own) - 4) if own else 0)
+        for k, token in enumerate(tokens.tolist()):
+            assert seen.setdefault(tuple(own[k : k + 5]), token) == token
+    assert len(set(seen.values())) == len(seen)
